@@ -102,25 +102,23 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit XXH64 of words, remembered up to ``limit`` distinct ones."""
 
     def __init__(self, limit: int = 400_000) -> None:
         import xxhash
 
-        self.of, self.limit, self.hash = {}, limit, xxhash.xxh64_intdigest
+        super().__init__()
+        self.limit, self.hash = limit, xxhash.xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        x = self[word] = self.hash(word)
+        return x
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        of, h = self.of, self.hash
-        if len(of) > self.limit:
-            of.clear()
-        out = []
-        for w in words:
-            x = of.get(w)
-            if x is None:
-                x = of[w] = h(w)
-            out.append(x)
-        return np.array(out, dtype=U64)
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
