@@ -82,8 +82,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in col.cast(pa.large_binary()).to_pylist()]
 
 
-def values_of(batch: pa.RecordBatch, column: str) -> list:
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+def slices(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most ``size`` rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
 
 
 def rows(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
@@ -105,7 +108,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class WordHashes(dict):
     """64-bit XXH64 of words, remembered up to ``limit`` distinct ones."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 150_000) -> None:
         import xxhash
 
         super().__init__()

@@ -30,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangency.llm.common import U64, fold_is, map_arrow, mix, partitions, rows, texts_of, written
+from tangency.llm.common import U64, fold_is, map_arrow, mix, partitions, rows, slices, texts_of, written
 
-GROUP = 2_000_000
+GROUP = 1_200_000
 DISCOUNTED = 5
 END, BEGIN = b"\n", b" "
 BEGIN_ID = np.uint32(0xFFFFFFFF)
@@ -83,7 +83,7 @@ def pack_groups(docs: DataFrame, modulus: int = 7, remainder: int = 2, size: int
             vocab = np.fromiter(map(xxhash.xxh64_intdigest, words), U64, len(words))
             return rows(GROUPS, [part << 32 | number], [ids], [train], [pack(size_)], [pack(flat)], [vocab.tobytes()], [pack(np.bincount(learnt, minlength=len(words)).astype(np.uint32))])
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, t in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                 mine = [words[w] for w in t.lower().split()]
                 mine.append(0)
