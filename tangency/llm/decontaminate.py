@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every text is covered by windows of the sizes of the benchmark items.  A window's fingerprint is the majority, bit by bit, of the
-64-bit hashes of its five-word shingles; running byte counters give all windows of a size at once.  Windows slide by ``STRIDE`` words and sizes go in
-steps of one or two strides; every alignment in between is tried again at verification, at the item's own size.  Multi-index blocks: a
+64-bit hashes of its five-word shingles; running byte counters give all windows of a size at once.  Sizes go in steps of two to four
+shingles and windows slide by as much (``step``), so some window lies within a shingle or two of any item-sized passage; every alignment in between is
+tried again at verification, at the item's own size.  Multi-index blocks: a
 fingerprint within ``RADIUS`` bits of an item's agrees with it up to ``RADIUS // 4`` bits in one of four 16-bit blocks, so one table of 65,536
 entries per block, with the items within that many bits of each value, yields all items in the radius; the distance decides.
 Candidates are verified exactly: the weighted Jaccard similarity (multisets of shingles) of the item and an item-sized window is 0.8 or more.
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangency.llm.common import U64, WordHashes, map_arrow, mix, rows, shingle_hashes, texts_of
+from tangency.llm.common import U64, WordHashes, map_arrow, mix, rows, shingle_hashes, slices, texts_of
 
 SHINGLE = 5
 SIMILAR = 0.8
-STRIDE = 2
+CHUNK = 8192  # shingles of several texts looked at together
 RADIUS = 18
 BLOCK_RADIUS = RADIUS // 4
 ITEMS = 1024
@@ -40,7 +41,12 @@ def lanes(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(len(h), 64)
 
 
-def window_prints(running: np.ndarray, size: int, stride: int = STRIDE) -> np.ndarray:
+def step(size: int) -> int:
+    """By how much sizes of this order differ and their windows slide."""
+    return 2 if size < 20 else 3 if size < 28 else 4
+
+
+def window_prints(running: np.ndarray, size: int, stride: int) -> np.ndarray:
     """SimHashes of the windows of ``size`` shingles at 0, stride, ...; ``running`` are counts before each shingle.
 
     Counters wrap around, so their type holds ``size``.
@@ -64,8 +70,8 @@ class Items:
         self.all = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, U64)
         by: dict[int, list[int]] = {}
         for n, s in enumerate(self.words):
-            step = 2 * STRIDE if len(s) >= 14 * STRIDE else STRIDE
-            by.setdefault(max(len(s) // step * step, min(len(s), step)), []).append(n)
+            k = step(len(s))
+            by.setdefault(max(len(s) // k * k, min(len(s), k)), []).append(n)
         self.classes = [(size, members, self._index(members)) for size, members in sorted(by.items())]
 
     def _index(self, members: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -87,29 +93,33 @@ class Items:
         bits = lanes(mix(s, 3)).sum(axis=0, dtype=np.int64) > len(s) // 2
         return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
-    def candidates(self, shingles: np.ndarray) -> list[tuple[int, int]]:
-        """(item, start) of windows whose print is in the radius and whose shared shingles can suffice."""
-        found: list[tuple[int, int]] = []
+    def candidates(self, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(text, item, start) of windows whose print is in the radius and whose shared shingles can suffice."""
+        found: list[tuple[int, int, int]] = []
+        shingles = np.concatenate(texts) if texts else np.zeros(0, U64)
         if not len(shingles) or not self.classes:
             return found
-        largest = self.classes[-1][0]
-        bits = lanes(mix(shingles, 3))
-        kind = np.uint8 if largest < 256 else np.uint32
-        running = np.zeros((len(shingles) + 1, 64), kind)
-        np.cumsum(bits, axis=0, dtype=kind, out=running[1:])
+        lengths = np.array([len(t) for t in texts])
+        begins = np.cumsum(lengths) - lengths
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        n = len(shingles)
+        kind = np.uint8 if self.classes[-1][0] < 256 else np.uint32
+        running = np.zeros((n + 1, 64), kind)
+        np.cumsum(lanes(mix(shingles, 3)), axis=0, dtype=kind, out=running[1:])
         place = np.minimum(np.searchsorted(self.all, shingles), len(self.all) - 1)
         shared = np.concatenate(([0], np.cumsum(self.all[place] == shingles)))
         for size, members, index in self.classes:
-            if len(shingles) < size:
-                # a text a little shorter than the item is one window
-                if len(shingles) >= SIMILAR * size:
-                    found += [(m, 0) for m in members]
+            # a text a little shorter than the item is one window
+            for t in np.flatnonzero((lengths < size) & (lengths >= SIMILAR * size)):
+                found += [(int(t), m, 0) for m in members]
+            if n < size:
                 continue
-            prints = window_prints(running, size)
-            starts = np.arange(len(prints)) * STRIDE
-            # all shingles that the benchmark shares in reach of the window
-            reach = shared[np.minimum(starts + size + 2 * STRIDE, len(shingles))] - shared[np.maximum(starts - STRIDE, 0)]
-            able = reach >= SIMILAR * size
+            k = step(size)
+            prints = window_prints(running, size, k)
+            starts = np.arange(len(prints)) * k
+            # all shingles that the benchmark shares in reach of the window, which lies in one text
+            able = shared[np.minimum(starts + size + 2 * k, n)] - shared[np.maximum(starts - k, 0)] >= SIMILAR * size
+            able &= owner[starts] == owner[starts + size - 1]
             parts = prints.view("<u2").reshape(-1, 4).T.astype(np.int64)
             for g, (of, tables) in enumerate(index):
                 hit = tables[0].take(parts[0])
@@ -118,30 +128,70 @@ class Items:
                 some = np.flatnonzero((hit != 0) & able)
                 if not len(some):
                     continue
-                for k in range(len(of)):
-                    at = some[(hit[some] >> k & 1).astype(bool)]
-                    close = at[np.bitwise_count(prints[at] ^ of[k]) <= RADIUS]
-                    found += [(members[GROUP * g + k], int(starts[i])) for i in close]
+                for j in range(len(of)):
+                    at = some[(hit[some] >> j & 1).astype(bool)]
+                    close = starts[at[np.bitwise_count(prints[at] ^ of[j]) <= RADIUS]]
+                    found += [(int(owner[i]), members[GROUP * g + j], int(i - begins[owner[i]])) for i in close]
         return found
 
-    def matches(self, shingles: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item id, first word, words, similarity) of the best verified window of each item."""
-        best: dict[int, tuple[float, int, int]] = {}
-        near: dict[int, set[int]] = {}
-        for item, start in self.candidates(shingles):
-            near.setdefault(item, set()).update(range(max(0, start - STRIDE), start + STRIDE + 1))
-        for item, starts in near.items():
-            bag, size = self.bags[item], len(self.words[item])
+    def matches(self, texts: list[np.ndarray]) -> dict[int, list[tuple[int, int, int, float]]]:
+        """By text: (item id, first word, words, similarity) of the best verified window of each item."""
+        near: dict[tuple[int, int], set[int]] = {}
+        for text, item, start in self.candidates(texts):
+            k = step(len(self.words[item]))
+            near.setdefault((text, item), set()).update(range(max(0, start - k), start + k + 1))
+        out: dict[int, list[tuple[int, int, int, float]]] = {}
+        for (text, item), starts in sorted(near.items()):
+            bag, size, best = self.bags[item], len(self.words[item]), None
             for s in sorted(starts):
-                window = shingles[s : s + size]
+                window = texts[text][s : s + size]
                 if len(window) < SIMILAR * size:
                     continue
                 seen = Counter(window.tolist())
                 both = sum(min(c, seen[x]) for x, c in bag.items())
                 similar = both / (size + len(window) - both)
-                if similar >= SIMILAR and (item not in best or similar > best[item][0]):
-                    best[item] = (similar, s, len(window))
-        return [(self.ids[i], s, n + SHINGLE - 1, v) for i, (v, s, n) in sorted(best.items())]
+                if similar >= SIMILAR and (best is None or similar > best[0]):
+                    best = (similar, s, len(window))
+            if best:
+                out.setdefault(text, []).append((self.ids[item], best[1], best[2] + SHINGLE - 1, best[0]))
+        return out
+
+
+class Scanner:
+    """Looks texts through for a block of items, several short texts or a piece of a long one at a time."""
+
+    def __init__(self, block: list[tuple[int, bytes]]) -> None:
+        self.items, self.hashes = Items(block), WordHashes()
+        self.overlap = max((len(w) for w in self.items.words), default=0) + 8
+
+    def __call__(self, texts: list[bytes]) -> list[dict]:
+        """For each text its best window of each item: {item id: (first word, words, similarity)}."""
+        found: list[dict] = [{} for _ in texts]
+        pieces: list[np.ndarray] = []
+        whose: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            for piece, hits in self.items.matches(pieces).items():
+                text, at = whose[piece]
+                for item, start, n, v in hits:
+                    if item not in found[text] or v > found[text][item][2]:
+                        found[text][item] = (at + start, n, v)
+            pieces.clear()
+            whose.clear()
+
+        held = 0
+        for i, t in enumerate(texts):
+            s = shingle_hashes(self.hashes(t.lower().split()), SHINGLE)
+            for at in range(0, len(s), CHUNK):
+                pieces.append(s[at : at + CHUNK + self.overlap])
+                whose.append((i, at))
+                held += len(pieces[-1])
+                if held >= CHUNK:
+                    flush()
+                    held = 0
+        if pieces:
+            flush()
+        return found
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
@@ -158,12 +208,6 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield held
 
 
-def _chunks(shingles: np.ndarray, overlap: int, size: int = 200_000):
-    """A long text in overlapping pieces, so that counters stay small."""
-    for s in range(0, max(1, len(shingles)), size):
-        yield s, shingles[s : s + size + overlap]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): the best window of each item in each text that has one."""
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
@@ -173,18 +217,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEMS items and ITEM_BYTES bytes
 
         def run(batches, shared=shared):
-            items, hashes = Items(shared.value), WordHashes()
-            longest = max((len(w) for w in items.words), default=0) + 2 * STRIDE
-            for batch in batches:
-                hits = []
-                for d, t in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                    s = shingle_hashes(hashes(t.lower().split()), SHINGLE)
-                    best: dict[int | None, tuple] = {}
-                    for at, part in _chunks(s, longest):
-                        for item, start, n, v in items.matches(part):
-                            if item not in best or v > best[item][4]:
-                                best[item] = (d, item, at + start, n, v)
-                    hits += best.values()
+            scanner = Scanner(shared.value)
+            for batch in slices(batches):
+                ids = batch.column(0).to_pylist()
+                hits = [(d, item, *best) for d, of in zip(ids, scanner(texts_of(batch)), strict=True) for item, best in of.items()]
                 if hits:
                     yield rows(out, *map(list, zip(*hits, strict=True)))
 
@@ -201,12 +237,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEMS items and ITEM_BYTES bytes
 
         def run(batches, shared=shared):
-            items, hashes = Items(shared.value), WordHashes()
-            longest = max((len(w) for w in items.words), default=0) + 2 * STRIDE
-            for batch in batches:
-                texts = [b"" if t is None else t for t in batch.column(text_at).cast(pa.large_binary()).to_pylist()]
-                clean = [not any(items.matches(p) for _, p in _chunks(shingle_hashes(hashes(t.lower().split()), SHINGLE), longest)) for t in texts]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            scanner = Scanner(shared.value)
+            for batch in slices(batches):
+                yield batch.filter(pa.array([not of for of in scanner(texts_of(batch))], pa.bool_()))
 
         left = map_arrow(left, run, docs.schema)
     return left

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tangency.llm.common import U64, fold_is, map_arrow, mix, partitions, rows, slices, texts_of, written
 
-GROUP = 1_200_000
+GROUP = 2_000_000
 DISCOUNTED = 5
 END, BEGIN = b"\n", b" "
 BEGIN_ID = np.uint32(0xFFFFFFFF)
