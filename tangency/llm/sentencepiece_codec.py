@@ -17,15 +17,19 @@ Nulls: a null text is empty; an empty text has no ids.  Repeated rows are encode
 
 from __future__ import annotations
 
+import copy
+import gc
 import re
 import struct
 from collections.abc import Iterable
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangency.llm.common import map_arrow, rows
+from tangency.llm.common import map_arrow, rows, slices
 
 MARK = "▁"
 MODEL_BYTES = 64 << 20
@@ -84,7 +88,8 @@ class Vocabulary:
                 self.bpe = any(f == 3 and v == 2 for f, v in _fields(value))
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] in (1, 4)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == 6}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        self.spelled = [bytes([byte_of[i]]) if i in byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         if len(self.bytes) != 256:
             raise ValueError("byte pieces are needed for texts to come back exactly")
         self.longest = max(map(len, self.ids), default=1)
@@ -93,12 +98,20 @@ class Vocabulary:
 class Encoder:
     """Ids of marked words; what is known of words and of pairs of pieces is kept up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, limit: int = 600_000) -> None:
         self.v, self.limit = vocabulary, limit
         self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.ids_of: dict[str, tuple[int, ...]] = {}
         self.stand_in = MARK
+        self.usable = self.tails = None
+        if vocabulary.bpe:
+            # pieces of two characters or more that merging makes of their own characters, and the longest by last three
+            self.usable = {p for p in vocabulary.ids if len(p) > 1 and self.merged(p) == [p]}
+            self.tails = {}
+            for p in self.usable:
+                if len(p) > 2:
+                    self.tails[p[-3:]] = max(len(p), self.tails.get(p[-3:], 3))
 
     def merged(self, word: str) -> list[str]:
         """Byte-pair merging by definition: the best adjacent pair first, the leftmost of equals."""
@@ -118,41 +131,50 @@ class Encoder:
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2 * self.limit:
+            if len(self.pairs) > self.limit:
                 self.pairs.clear()
             found = self.pairs[key] = self.merged(left + right) == [left, right]
         return found
 
-    def _extend(self, word: str, states: list[tuple[float, int, str]]) -> None:
-        """Adds the forward state (score, start of the last piece, last piece) of the prefix one character longer."""
-        ids, end = self.v.ids, len(states)
-        if self.v.bpe:
-            whole, pairs = self.whole, self.pairs
-            for start in range(max(0, end - self.v.longest), end - 1):
+    def _grow_bpe(self, word: str, common: int, states: list[tuple[str, tuple[int, ...]]]) -> None:
+        """Adds the states (last piece, ids so far) of the prefixes of ``word`` longer than ``common``."""
+        usable, tails, pairs, ids_of = self.usable, self.tails, self.pairs, self.ids_of
+        for end in range(common + 1, len(word) + 1):
+            # pieces of three characters or more that end as this prefix does are no longer than this
+            start = end - tails.get(word[end - 3 : end], 2) if end > 2 else 0
+            if start < 0:
+                start = 0
+            while start < end - 1:
                 piece = word[start:end]
-                if piece not in ids or not (whole[piece] if piece in whole else self.merged_whole(piece)):
-                    continue
-                if start == 0:
-                    states.append((0.0, 0, piece))
-                    return
-                before = states[start][2]
-                fits = pairs.get((before, piece))
-                if fits if fits is not None else self.compatible(before, piece):
-                    states.append((0.0, start, piece))
-                    return
-            states.append((0.0, end - 1, word[end - 1]))
-            return
-        best = (states[end - 1][0] - 1e3, end - 1, word[end - 1])  # an unknown character, by its bytes
-        for start in range(max(0, end - self.v.longest), end):
-            k = ids.get(word[start:end])
-            if k is not None and states[start][0] + self.v.scores[k] > best[0]:
-                best = (states[start][0] + self.v.scores[k], start, word[start:end])
-        states.append(best)
-
-    def merged_whole(self, piece: str) -> bool:
-        """Whether merging the characters of a piece gives the piece."""
-        found = self.whole[piece] = self.merged(piece) == [piece]
-        return found
+                if piece in usable:
+                    before, so_far = states[start]
+                    if not start:
+                        break
+                    fits = pairs.get((before, piece))
+                    if fits is None:
+                        fits = self.compatible(before, piece)
+                    if fits:
+                        break
+                start += 1
+            else:
+                start = end - 1
+                piece = word[start]
+                so_far = states[start][1]
+            own = ids_of.get(piece)
+            if own is None:
+                own = ids_of[piece] = self.piece_ids(piece)
+            states.append((piece, so_far + own))
+
+    def _grow_unigram(self, word: str, common: int, states: list[tuple[float, tuple[int, ...]]]) -> None:
+        """The same with states (best score, its ids): Viterbi's recurrence."""
+        ids, scores, longest = self.v.ids, self.v.scores, self.v.longest
+        for end in range(common + 1, len(word) + 1):
+            best = states[end - 1][0] - 1e3, states[end - 1][1] + self.piece_ids(word[end - 1])  # an unknown character, by its bytes
+            for start in range(max(0, end - longest), end):
+                k = ids.get(word[start:end])
+                if k is not None and states[start][0] + scores[k] > best[0]:
+                    best = states[start][0] + scores[k], states[start][1] + (k,)
+            states.append(best)
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         k = self.v.ids.get(piece)
@@ -160,25 +182,24 @@ class Encoder:
 
     def learn(self, distinct: Iterable[str]) -> None:
         """Encodes words in sorted order, a depth-first walk of their trie: states of the common prefix stay on the stack."""
-        before, states = "", [(0.0, 0, "")]
+        before, states = "", [("", ()) if self.v.bpe else (0.0, ())]
+        grow, words = self._grow_bpe if self.v.bpe else self._grow_unigram, self.words
         for word in sorted(distinct):
             common, most = 0, min(len(before), len(word))
-            while common < most and before[common] == word[common]:
-                common += 1
+            if before[:most] == word[:most]:
+                common = most
+            else:
+                while before[common] == word[common]:
+                    common += 1
             del states[common + 1 :]
             if word.startswith(MARK * 2) and self.v.bpe:
                 # pieces of spaces alone have equal ranks in such vocabularies; these few words are merged directly
-                self.words[word] = tuple(i for p in self.merged(word) for i in self.piece_ids(p))
+                words[word] = tuple(i for p in self.merged(word) for i in self.piece_ids(p))
                 before = word[:common]
                 continue
-            for _ in range(common, len(word)):
-                self._extend(word, states)
-            before, at, found = word, len(word), []
-            while at:
-                _, start, piece = states[at]
-                found.append(self.piece_ids(piece))
-                at = start
-            self.words[word] = tuple(i for p in reversed(found) for i in p)
+            grow(word, common, states)
+            before = word
+            words[word] = states[-1][1]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [marked_words(t) if MARK not in t else None for t in texts]
@@ -187,11 +208,12 @@ class Encoder:
             self.words.clear()
         known = self.words
         self.learn(fresh.difference(known))
-        return [self._with_marks(t) if ws is None else [i for w in ws for i in known[w]] for t, ws in zip(texts, cut, strict=True)]
+        return [self._with_marks(t) if ws is None else list(chain.from_iterable(map(known.__getitem__, ws))) for t, ws in zip(texts, cut, strict=True)]
 
     def _with_marks(self, text: str) -> list[int]:
         """A text that has U+2581 itself: a character that it does not have stands for it, outside every vocabulary piece."""
-        own = Encoder(self.v, self.limit)
+        own = copy.copy(self)
+        own.words, own.ids_of, own.pairs = {}, {}, {}
         own.stand_in = next(c for c in map(chr, range(0x10FFFF, 0xE000, -1)) if c not in text and c not in self.v.ids)
         words = marked_words(text, own.stand_in)
         own.learn(set(words))
@@ -203,14 +225,8 @@ def marked_words(text: str, stand_in: str = MARK) -> list[str]:
 
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
-    out = bytearray()
-    for i in ids:
-        b = vocabulary.byte_of.get(i)
-        if b is not None:
-            out.append(b)
-        else:
-            out += vocabulary.pieces[i].replace(MARK, " ").encode()
-    return bytes(out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
+    out = b"".join(map(vocabulary.spelled.__getitem__, ids))
+    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
 
 
 def read_model(path: str) -> Vocabulary:
@@ -226,11 +242,16 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in batches:
-            for s in range(0, batch.num_rows, 500):
-                part = batch.slice(s, 500)
+        gc.disable()  # hundreds of thousands of tuples live long and have no cycles
+        try:
+            for part in slices(batches, 2000):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = encoder.encode(texts)
-                yield rows(out, part.column(0), ids, [len(x) for x in ids], [decode(encoder.v, x) == t for x, t in zip(ids, texts, strict=True)])
+                sizes = np.array([len(x) for x in ids], np.int64)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+                yield rows(out, part.column(0), lists, sizes, [decode(encoder.v, x) == t for x, t in zip(ids, texts, strict=True)])
+        finally:
+            gc.enable()
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids array<int>, n_ids long, exact boolean")
