@@ -32,6 +32,7 @@ class Params:
     sample: int = 16_000  # labelled rows learnt from, at most
     terms: int = 4096  # hashed buckets kept
     least_docs: int = 4  # sampled rows that a kept bucket is in, at least
+    least_gain: float = 3.0  # log likelihood ratio of a kept bucket, at least
     rank: int = 4
     epochs: int = 12
     rate: float = 0.1
@@ -126,6 +127,7 @@ def _select(df: DataFrame, n1: int, n0: int, p: Params) -> np.ndarray:
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     share = F.lit(n1 / (n1 + n0))
     scored = counts.where(F.col("n") >= p.least_docs).select("bucket", (part(k, n * share) + part(n - k, n * (1 - share))).alias("g"))
+    scored = scored.where(F.col("g") >= p.least_gain)
     return np.array(sorted(r[0] for r in scored.orderBy(F.desc("g"), "bucket").limit(p.terms).collect()), dtype=np.int64)
 
 
