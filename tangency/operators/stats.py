@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tangency.functions import pvalues
 
@@ -75,17 +76,17 @@ def wilcoxon(runs: DataFrame, a: str, b: str) -> DataFrame:
     return s.join(common, F.lit(True)).select("n", F.when(F.col("common") >= 5, F.least("plus", "minus")).alias("w"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or a != a else pvalues.chi2_sf(a, b) for a, b in zip(x, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def range_p(q: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([pvalues.range_sf(a, int(b)) for a, b in zip(q, k, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wilcoxon_p(w: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or a != a else pvalues.wilcoxon_sf(a, int(b)) for a, b in zip(w, n, strict=True)])
 
