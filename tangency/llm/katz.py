@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tangency.llm.common import U64, fold_is, map_arrow, mix, partitions, rows, slices, texts_of, written
 
 GROUP = 2_000_000
+SPREAD = 3  # buckets to a shuffle partition: a task holds few
 DISCOUNTED = 5
 END, BEGIN = b"\n", b" "
 BEGIN_ID = np.uint32(0xFFFFFFFF)
@@ -361,7 +362,7 @@ def evaluate(groups: DataFrame, replies: DataFrame, n: int, uni: Unigrams, d: np
 
 def katz_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, group: int = GROUP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns where crc32(doc_id) mod 7 is not 2."""
-    n = partitions(docs.sparkSession)
+    n = SPREAD * partitions(docs.sparkSession)
     groups = written(pack_groups(docs, modulus, remainder, group), "katz-groups")
     words = count_words(groups, n)
     sums = [sum(x) for x in zip(*(r["sums"] for r in words.where("kind = 'sums'").select("sums").collect()), strict=True)]  # a row for each bucket
