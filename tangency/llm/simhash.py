@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangency.llm.common import U64, map_arrow, mix, partitions, rows, texts_of, written
+from tangency.llm.common import U64, free_name, map_arrow, mix, partitions, rows, texts_of, written
 from tangency.llm.graph import connected_components
 
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
@@ -164,8 +164,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
     """``docs`` with one row of each group: that of the least id.  Rows that repeat an id count once; rows without an id stay."""
     groups = written(near_duplicates(docs, id_col, text_col, k), "groups")
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    once = docs.join(keep.where("__n = 1"), docs[id_col] == F.col("__id"), "left_semi")
-    if not keep.where("__n > 1").isEmpty():
-        once = once.union(docs.join(keep.where("__n > 1"), docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col]))
+    key = free_name(docs, "kept_id")
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n_rows"))
+    single, several = keep.where("n_rows = 1").select(key), keep.where("n_rows > 1").select(key)
+    once = docs.join(single, F.col(id_col) == F.col(key), "left_semi")
+    if not several.isEmpty():
+        once = once.union(docs.join(several, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col]))
     return once if groups.where("doc_id is null").isEmpty() else once.union(docs.where(F.col(id_col).isNull()))
