@@ -7,6 +7,7 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D and lower case is tak
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -132,6 +133,49 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.where(_GAP, U64(0), mix(np.arange(256, dtype=U64), 77))
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, U64(factor & 0xFFFFFFFFFFFFFFFF))
+    out[:1] = 1
+    return np.cumprod(out, dtype=U64)
+
+
+_NEAR = _powers(_FACTOR, 1 << 12)
+
+
+def word_hashes(text: bytes, piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word of ``text.split()``, without making the words: sums of byte values times powers, then mixed.
+
+    Works on pieces of about ``piece`` bytes that end between words.
+    """
+    out, at = [], 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + piece)
+        end = cut.start() if cut else len(text)
+        a = np.frombuffer(text, np.uint8, end - at, at)
+        at = end
+        gap = _GAP[a]
+        first = ~gap
+        first[1:] &= gap[:-1]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            continue
+        a = a[starts[0] :]
+        starts = starts - starts[0]
+        sizes = np.diff(np.append(starts, len(a)))
+        place = np.arange(len(a)) - np.repeat(starts, sizes)
+        top = int(sizes.max()) >> 12
+        power = _NEAR[place & 0xFFF] * _powers(pow(_FACTOR, 1 << 12, 1 << 64), top + 1)[place >> 12] if top else _NEAR[place]
+        out.append(mix(np.add.reduceat(_BYTE[a] * power, starts), 78))
+    return np.concatenate(out) if out else np.zeros(0, U64)
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` word hashes; a shorter, non-empty text is one shingle."""
     n = len(words)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangency.llm.common import U64, WordHashes, map_arrow, mix, rows, shingle_hashes, slices, texts_of
+from tangency.llm.common import U64, map_arrow, mix, rows, shingle_hashes, slices, texts_of, word_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -59,10 +59,9 @@ class Items:
     """Benchmark items of one block, by class of size."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        hashes = WordHashes()
         self.ids, self.words, self.bags = [], [], []
         for i, t in items:
-            s = shingle_hashes(hashes(t.lower().split()), SHINGLE)
+            s = shingle_hashes(word_hashes(t.lower()), SHINGLE)
             if len(s):
                 self.ids.append(i)
                 self.words.append(s)
@@ -161,7 +160,7 @@ class Scanner:
     """Looks texts through for a block of items, several short texts or a piece of a long one at a time."""
 
     def __init__(self, block: list[tuple[int, bytes]]) -> None:
-        self.items, self.hashes = Items(block), WordHashes()
+        self.items = Items(block)
         self.overlap = max((len(w) for w in self.items.words), default=0) + 8
 
     def __call__(self, texts: list[bytes]) -> list[dict]:
@@ -181,7 +180,7 @@ class Scanner:
 
         held = 0
         for i, t in enumerate(texts):
-            s = shingle_hashes(self.hashes(t.lower().split()), SHINGLE)
+            s = shingle_hashes(word_hashes(t.lower()), SHINGLE)
             for at in range(0, len(s), CHUNK):
                 pieces.append(s[at : at + CHUNK + self.overlap])
                 whose.append((i, at))
@@ -232,7 +231,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the texts that hold a benchmark passage; columns as they were."""
     left = docs
-    text_at = docs.columns.index("text")
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEMS items and ITEM_BYTES bytes
 
