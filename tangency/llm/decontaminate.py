@@ -2,7 +2,7 @@
 
 Every text is covered by windows of the sizes of the benchmark items.  A window's fingerprint is the majority, bit by bit, of the
 64-bit hashes of its five-word shingles; running byte counters give all windows of a size at once.  Sizes go in steps of two to four
-shingles and windows slide by as much (``step``), so some window lies within a shingle or two of any item-sized passage; every alignment in between is
+shingles and windows slide by as much (``step``) from the start of each text, the last one ending with it, so some window lies within a shingle or two of any item-sized passage; every alignment in between is
 tried again at verification, at the item's own size.  Multi-index blocks: a
 fingerprint within ``RADIUS`` bits of an item's agrees with it up to ``RADIUS // 4`` bits in one of four 16-bit blocks, so one table of 65,536
 entries per block, with the items within that many bits of each value, yields all items in the radius; the distance decides.
@@ -33,6 +33,7 @@ RADIUS = 18
 BLOCK_RADIUS = RADIUS // 4
 ITEMS = 1024
 GROUP = 16  # items of one size whose tables are looked up together
+ALIGN = 12  # texts looked at together begin at multiples of this, a multiple of every step
 ITEM_BYTES = 16 << 20
 
 
@@ -95,30 +96,38 @@ class Items:
     def candidates(self, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
         """(text, item, start) of windows whose print is in the radius and whose shared shingles can suffice."""
         found: list[tuple[int, int, int]] = []
-        shingles = np.concatenate(texts) if texts else np.zeros(0, U64)
-        if not len(shingles) or not self.classes:
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        if not lengths.sum() or not self.classes:
             return found
-        lengths = np.array([len(t) for t in texts])
-        begins = np.cumsum(lengths) - lengths
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        n = len(shingles)
+        room = -(-lengths // ALIGN) * ALIGN
+        begins = np.cumsum(room) - room
+        n = int(room.sum())
+        shingles, owner = np.zeros(n, U64), np.full(n, -1)
+        for t, (at, of) in enumerate(zip(begins.tolist(), texts, strict=True)):
+            shingles[at : at + len(of)] = of
+            owner[at : at + len(of)] = t
         kind = np.uint8 if self.classes[-1][0] < 256 else np.uint32
         running = np.zeros((n + 1, 64), kind)
         np.cumsum(lanes(mix(shingles, 3)), axis=0, dtype=kind, out=running[1:])
         place = np.minimum(np.searchsorted(self.all, shingles), len(self.all) - 1)
-        shared = np.concatenate(([0], np.cumsum(self.all[place] == shingles)))
+        shared = np.concatenate(([0], np.cumsum((self.all[place] == shingles) & (owner >= 0))))
+        whole = shared[begins + lengths] - shared[begins]
         for size, members, index in self.classes:
-            # a text a little shorter than the item is one window
-            for t in np.flatnonzero((lengths < size) & (lengths >= SIMILAR * size)):
-                found += [(int(t), m, 0) for m in members]
+            k = step(size)
+            # a text a little shorter or longer than the item is looked at whole
+            for t in np.flatnonzero((lengths < size + 2 * k) & (lengths >= SIMILAR * size) & (whole >= SIMILAR * size)):
+                found += [(int(t), m, at) for m in members for at in ((0, k) if lengths[t] > size else (0,))]
             if n < size:
                 continue
-            k = step(size)
+            # windows at each text's own 0, k, 2k, ..., and the last one
+            last = (begins + lengths - size)[(lengths >= size) & ((lengths - size) % k != 0)]
             prints = window_prints(running, size, k)
-            starts = np.arange(len(prints)) * k
+            starts = np.concatenate((np.arange(len(prints)) * k, last))
+            ends = running[last + size] - running[last]
+            prints = np.concatenate((prints, np.packbits(ends > size // 2, axis=1, bitorder="little").view("<u8").ravel()))
             # all shingles that the benchmark shares in reach of the window, which lies in one text
             able = shared[np.minimum(starts + size + 2 * k, n)] - shared[np.maximum(starts - k, 0)] >= SIMILAR * size
-            able &= owner[starts] == owner[starts + size - 1]
+            able &= (owner[starts] == owner[starts + size - 1]) & (owner[starts] >= 0)
             parts = prints.view("<u2").reshape(-1, 4).T.astype(np.int64)
             for g, (of, tables) in enumerate(index):
                 hit = tables[0].take(parts[0])
