@@ -8,7 +8,9 @@ the wrappers of tasks are aligned host by host, so a host with a third of all pa
 
 The wrapper tells where the article is: an article or main element if the host's pages have one, else the element that gathers
 most slot text outside links.  Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are cut by tag, by class
-words, by the share of links and, outside articles, by slots whose text is one and the same on all pages.  Each page is then matched
+words, by the share of links and, outside articles, by slots whose text is one and the same on all pages: on ``DISTINCT`` different pages at
+least and on nine in ten of a host's, silenced only where a page has that very text, and not at all if they are the larger part of what the
+article's place holds (copies of one page).  Each page is then matched
 against its host's wrapper and the text of its main slots is returned.
 
 Nulls: null html is the empty page and gives ''; a null url is the host ''.  Cut-off pages, unclosed elements and stray ends are read as
@@ -17,6 +19,7 @@ browsers do.  Repeated rows are extracted each.  A page without elements is its
 
 from __future__ import annotations
 
+import hashlib
 import html as html_
 import json
 import re
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tangency.llm.common import map_arrow, rows, texts_of, written
 
+DISTINCT = 5  # different pages that tell a constant slot
 SENT_BYTES = 32 << 20  # wrappers are sent to all tasks up to this size, else joined
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<]*$", re.S)
 _ATTR = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
@@ -129,14 +133,30 @@ def read_page(page: str) -> Element:
 
 # ------------------------------------------------------------------------------------------------------ wrappers
 
-# An item of a wrapper is [signature, optional, repeated, items, pages, slot text, link text, constant, out].  A group has the signature "(a b)".
-SIG, OPT, REP, KIDS, PAGES, CHARS, LINKED, SAME, OUT = range(9)
+# An item of a wrapper is [signature, optional, repeated, items, pages, slot text, link text, constant, out, page marks].
+# Marks are hashes of the first ``DISTINCT`` different pages of a constant slot, so that copies of a page count once.  A group has the signature "(a b)".
+SIG, OPT, REP, KIDS, PAGES, CHARS, LINKED, SAME, OUT, MARKS = range(10)
 
 
-def _item(e: Element) -> list:
-    texts = [t for t in e.children if isinstance(t, tuple)]
-    said = "".join(t for t, _ in texts).strip()
-    return [e.sig, False, False, fold([_item(c) for c in e.children if isinstance(c, Element)]), 1, len(said), sum(len(t) for t, link in texts if link), said[:200], e.out]
+def _said(e: Element) -> str:
+    return "".join(c[0] for c in e.children if isinstance(c, tuple)).strip()
+
+
+def _slot(said: str) -> str:
+    """What tells one slot text from another; none for no text."""
+    return said[:200]
+
+
+def _item(e: Element, mark: str = "") -> list:
+    said = _said(e)
+    linked = sum(len(c[0]) for c in e.children if isinstance(c, tuple) and c[1])
+    return [e.sig, False, False, fold([_item(c, mark) for c in e.children if isinstance(c, Element)]), 1, len(said), linked, _slot(said), e.out, [mark] if said else []]
+
+
+def items_of(page: str) -> list[list]:
+    """The folded items of one page, marked by its hash."""
+    mark = hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).hexdigest()
+    return fold([_item(c, mark) for c in read_page(page).children if isinstance(c, Element)])
 
 
 def fold(items: list[list]) -> list[list]:
@@ -157,7 +177,7 @@ def fold(items: list[list]) -> list[list]:
                     merged[0][REP] = True
                     out += merged
                 else:
-                    out.append([f"({' '.join(sigs)})", False, True, merged, 1, 0, 0, "", False])
+                    out.append([f"({' '.join(sigs)})", False, True, merged, 1, 0, 0, "", False, []])
                 i += n * period
             else:
                 out.append(items[i])
@@ -169,7 +189,8 @@ def fold(items: list[list]) -> list[list]:
 def join(a: list, b: list, pages: bool = True) -> list:
     """Two items of one signature, aligned inside; ``pages``: of different pages."""
     same = a[SAME] if a[SAME] == b[SAME] else None
-    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], align(a[KIDS], b[KIDS]), a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES]), a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], same, a[OUT]]
+    marks = a[MARKS] if a[MARKS] == b[MARKS] else sorted({*a[MARKS], *b[MARKS]})[:DISTINCT]
+    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], align(a[KIDS], b[KIDS]), a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES]), a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], same, a[OUT], marks if same else []]
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -209,7 +230,7 @@ def as_expression(items: list[list]) -> str:
 def wrapper_of(pages: list[str]) -> list[list]:
     out = None
     for p in pages:
-        one = fold([_item(c) for c in read_page(p).children if isinstance(c, Element)])
+        one = items_of(p)
         out = one if out is None else align(out, one)
     return out or []
 
@@ -223,9 +244,9 @@ def _total(item: list) -> int:
 
 
 def main_paths(wrapper: list[list]) -> dict:
-    """Where the article is: {"paths": signature paths, "constant": paths of slots with one text on all pages}."""
+    """Where the article is: {"paths": signature paths, "constant": paths and texts of slots with one text on all pages}."""
     found: list[list[str]] = []
-    constant: list[list[str]] = []
+    pages = max((x[PAGES] for x in wrapper), default=0)
 
     def search(items, path):
         for x in items:
@@ -235,8 +256,6 @@ def main_paths(wrapper: list[list]) -> dict:
             tag = re.split(r"[.#@]", x[SIG])[0]
             if (tag in _MAIN_TAGS or "@main" in x[SIG]) and _total(x) > 0:
                 found.append(here)
-            if x[SAME] and x[PAGES] >= 5:
-                constant.append(here)
             search(x[KIDS], here)
 
     search(wrapper, [])
@@ -254,7 +273,24 @@ def main_paths(wrapper: list[list]) -> dict:
                 path = [*path, top[SIG]]
             items = top[KIDS]
         inner = [path]
-    return {"paths": inner, "constant": constant}
+    constant: list[list] = []
+    size = {True: 0, False: 0}
+
+    def slots(items, path, inside):
+        for x in items:
+            here = path if x[SIG].startswith("(") else [*path, x[SIG]]
+            if x[OUT]:
+                continue
+            within = inside or here in inner
+            if within:
+                fixed = bool(x[SAME]) and len(x[MARKS]) >= DISTINCT and 10 * x[PAGES] >= 9 * pages
+                size[fixed] += x[CHARS]
+                if fixed:
+                    constant.append([here, x[SAME]])
+            slots(x[KIDS], here, within)
+
+    slots(wrapper, [], [] in inner)
+    return {"paths": inner, "constant": constant if size[True] < size[False] else []}
 
 
 def extract(page: str, where: dict | None) -> str:
@@ -262,16 +298,18 @@ def extract(page: str, where: dict | None) -> str:
     root = read_page(page)
     where = where or main_paths(fold([_item(c) for c in root.children if isinstance(c, Element)]))
     wanted = {tuple(p) for p in where["paths"]}
-    constant = {tuple(p) for p in where["constant"]}
+    constant: dict[tuple, set] = {}
+    for p, said in where["constant"]:
+        constant.setdefault(tuple(p), set()).add(said)
 
-    def collect(inside_at_start: bool, wanted: set) -> str:
+    def collect(inside_at_start: bool, wanted: set, constant: dict) -> str:
         parts: list[str] = []
 
         def walk(e: Element, path: tuple[str, ...], inside: bool) -> None:
             inside = inside or path in wanted
             parts.append("\n")
             if not any(isinstance(c, Element) for c in e.children) or inside:
-                quiet = not inside or (path in constant and not any(re.split(r"[.#@]", s)[0] in _MAIN_TAGS for s in path))
+                quiet = not inside or (path in constant and _slot(_said(e)) in constant[path] and not any(re.split(r"[.#@]", s)[0] in _MAIN_TAGS for s in path))
             else:
                 quiet = True
             for c in e.children:
@@ -285,10 +323,10 @@ def extract(page: str, where: dict | None) -> str:
         walk(root, (), inside_at_start)
         return " ".join(html_.unescape("".join(parts)).split())
 
-    text = collect(() in wanted, wanted)
-    if not text and where["paths"] != [[]]:
+    text = collect(() in wanted, wanted, constant)
+    if not text and (where["paths"] != [[]] or constant):
         own = main_paths(fold([_item(c) for c in root.children if isinstance(c, Element)]))  # a page that its host's wrapper does not fit
-        text = collect(() in {tuple(p) for p in own["paths"]}, {tuple(p) for p in own["paths"]})
+        text = collect(() in {tuple(p) for p in own["paths"]}, {tuple(p) for p in own["paths"]}, {})
     return text
 
 
@@ -308,7 +346,7 @@ def infer(pages: DataFrame) -> DataFrame:
         held: dict[str, list] = {}
         for batch in batches:
             for url, p in zip(batch.column(0).to_pylist(), texts_of(batch, "html"), strict=True):
-                one = fold([_item(c) for c in read_page(p.decode("utf-8", "replace")).children if isinstance(c, Element)])
+                one = items_of(p.decode("utf-8", "replace"))
                 host = host_of(url)
                 held[host] = align(held[host], one) if host in held else one
             if len(held) > 20_000:
