@@ -2,7 +2,8 @@
 
 Terms of a text are its lower-cased words without outer punctuation and the first four and six characters of each; they are
 hashed to 2^20 buckets.  On a bounded sample of labelled rows (``Params.sample``, the stated bound) the buckets that tell the
-classes apart most (likelihood ratio) are kept, and a machine of second order,
+classes apart most (likelihood ratio) are kept, and of the most frequent others those that tell more together with another bucket than both do
+alone, by more than the best of as many pairs would by chance.  A machine of second order,
 
     score = sigmoid(b + sum_i w_i + sum_{i<j} <v_i, v_j>)   over the distinct buckets of a text,
 
@@ -33,6 +34,7 @@ class Params:
     terms: int = 4096  # hashed buckets kept
     least_docs: int = 4  # sampled rows that a kept bucket is in, at least
     least_gain: float = 3.0  # log likelihood ratio of a kept bucket, at least
+    frequent: int = 1024  # most frequent buckets looked at in pairs, whatever they tell alone
     rank: int = 4
     epochs: int = 12
     rate: float = 0.1
@@ -117,8 +119,36 @@ def train(samples: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, p:
     return Machine(buckets, b, w, v)
 
 
-def _select(df: DataFrame, n1: int, n0: int, p: Params) -> np.ndarray:
-    """The buckets of the largest likelihood ratio between the classes; at most ``terms`` rows come back."""
+def _likelihood(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Log likelihood of k toxic rows of n under their own share."""
+    n, k = np.maximum(n, 0.0), np.clip(k, 0.0, np.maximum(n, 0.0))
+    return k * np.log(np.maximum(k, 1.0) / np.maximum(n, 1.0)) + (n - k) * np.log(np.maximum(n - k, 1.0) / np.maximum(n, 1.0))
+
+
+def telling_in_pairs(samples: list[np.ndarray], labels: np.ndarray, m: int, often: np.ndarray, p: Params) -> np.ndarray:
+    """Those of ``often`` that with some of ``m`` buckets tell the classes apart better than both alone."""
+    both, toxic = np.zeros((len(often), m), np.float32), np.zeros((len(often), m), np.float32)
+    n, k = np.zeros(m), np.zeros(m)
+    for s in range(0, len(samples), 1024):
+        x, y = np.zeros((len(samples[s : s + 1024]), m), np.float32), labels[s : s + 1024] > 0
+        for r, at in enumerate(samples[s : s + 1024]):
+            x[r, at] = 1
+        both += x[:, often].T @ x
+        toxic += x[y][:, often].T @ x[y]
+        n, k = n + x.sum(0), k + x[y].sum(0)
+    rows_, hits = float(len(samples)), float(labels.sum())
+    alone = _likelihood(n, k) + _likelihood(rows_ - n, hits - k)
+    least = p.least_gain + np.log(max(1, len(often) * m))
+    kept = np.zeros(len(often), bool)
+    for i, j in enumerate(often):
+        a, b = both[i].astype(float), toxic[i].astype(float)
+        cells = _likelihood(a, b) + _likelihood(n[j] - a, k[j] - b) + _likelihood(n - a, k - b) + _likelihood(rows_ - n[j] - n + a, hits - k[j] - k + b)
+        kept[i] = ((cells - alone - alone[j] + _likelihood(rows_, hits) >= least) & (a >= p.least_docs)).any()
+    return often[kept]
+
+
+def _select(df: DataFrame, n1: int, n0: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the largest likelihood ratio between the classes, and the most frequent; at most ``terms`` and ``frequent`` rows come back."""
     counts = df.select("toxic", F.explode("at").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
 
     def part(a, expected):
@@ -128,7 +158,9 @@ def _select(df: DataFrame, n1: int, n0: int, p: Params) -> np.ndarray:
     share = F.lit(n1 / (n1 + n0))
     scored = counts.where(F.col("n") >= p.least_docs).select("bucket", (part(k, n * share) + part(n - k, n * (1 - share))).alias("g"))
     scored = scored.where(F.col("g") >= p.least_gain)
-    return np.array(sorted(r[0] for r in scored.orderBy(F.desc("g"), "bucket").limit(p.terms).collect()), dtype=np.int64)
+    strong = scored.orderBy(F.desc("g"), "bucket").limit(p.terms).collect()
+    often = counts.where(F.col("n") >= p.least_docs).orderBy(F.desc("n"), "bucket").limit(p.frequent).select("bucket").collect()
+    return np.array(sorted(r[0] for r in strong), dtype=np.int64), np.array(sorted(r[0] for r in often), dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), where: object | None = None) -> Machine:
@@ -146,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), where: object
     seen = written(map_arrow(joined, run, "toxic int, at array<int>"), "labelled")
     size = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     n1, n0 = int(size["k"]), int(size["n"] - size["k"])
-    buckets = _select(seen, n1, n0, p) if n1 and n0 else np.zeros(0, np.int64)
+    strong, often = _select(seen, n1, n0, p) if n1 and n0 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    buckets = np.union1d(strong, often)
     kept = set(buckets.tolist())
 
     def narrow(batches):
@@ -156,7 +189,13 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), where: object
     seen = map_arrow(seen, narrow, "toxic int, at array<int>")
     learnt = sorted((tuple(r["at"]), r["toxic"]) for r in seen.collect())  # at most p.sample rows of kept buckets
     samples = [np.searchsorted(buckets, np.array(at, dtype=np.int64)) for at, _ in learnt]
-    return train(samples, np.array([t for _, t in learnt], dtype=float), buckets, p)
+    y = np.array([t for _, t in learnt], dtype=float)
+    paired = telling_in_pairs(samples, y, len(buckets), np.searchsorted(buckets, np.setdiff1d(often, strong)), p)
+    chosen_ = np.union1d(np.searchsorted(buckets, strong), paired).astype(np.int64)
+    place = np.full(len(buckets), -1)
+    place[chosen_] = np.arange(len(chosen_))
+    learnt = sorted((tuple(int(x) for x in place[at] if x >= 0), t) for at, t in zip(samples, y.tolist(), strict=True))
+    return train([np.array(at, dtype=np.int64) for at, _ in learnt], np.array([t for _, t in learnt]), buckets[chosen_], p)
 
 
 class Scorer:
