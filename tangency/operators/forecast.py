@@ -117,8 +117,10 @@ def ljung_box(rets: DataFrame, lags: int = 10) -> DataFrame:
 def copula_correlation(x: np.ndarray) -> np.ndarray:
     """sin(pi tau / 2) of Kendall's tau between the columns, made positive semi-definite with unit diagonal."""
     t, n = x.shape
-    signs = np.sign(x[:, None, :] - x[None, :, :]).reshape(-1, n)
-    tau = signs.T @ signs
+    tau, block = np.zeros((n, n)), max(1, (1 << 20) // max(1, x.size))
+    for s in range(0, len(x), block):  # pairs of all rows, so many rows at once that a block has about a million signs
+        signs = np.sign(x[s : s + block, None, :] - x[None, :, :]).reshape(-1, n)
+        tau += signs.T @ signs
     d = np.sqrt(np.maximum(np.diag(tau), 1e-12))
     r = np.sin(np.pi / 2 * tau / np.outer(d, d))
     np.fill_diagonal(r, 1.0)
@@ -147,7 +149,7 @@ def copula_correlations(chosen: DataFrame, rets: DataFrame) -> DataFrame:
         wide = pdf.pivot(index="t", columns="ticker", values="ret").sort_index()
         names, x = list(wide.columns), wide.to_numpy(float)
         try:
-            rho = copula_correlation(np.column_stack([standardised(x[:, i]) for i in range(len(names))])[-500:])
+            rho = copula_correlation(np.column_stack([standardised(x[:, i]) for i in range(len(names))]))
             if not np.isfinite(rho).all():
                 raise ValueError("not finite")
         except (ValueError, np.linalg.LinAlgError):
