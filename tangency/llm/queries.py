@@ -50,7 +50,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeats(table(spark, sf_dir, "documents"))
+    return passages.repeat_classes(table(spark, sf_dir, "documents"))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
