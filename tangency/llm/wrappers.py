@@ -1,20 +1,26 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A wrapper is a union-free regular expression over page structure: elements in order, each required or optional (?) and single or repeated (+),
-with text slots.  It is inferred by alignment.  A page's element stream is folded (adjacent repetitions of one to three siblings become a
-repeated group); two such streams are aligned by their longest common subsequence of element signatures (tag, class, id, role); what only one of them
-has becomes optional, what both have is aligned inside, and differing text becomes a slot.  Tasks fold the pages of each host first, then
-the wrappers of tasks are aligned host by host, so a host with a third of all pages costs one row a task.
-
-The wrapper tells where the article is: an article or main element if the host's pages have one, else the element that gathers
-most slot text outside links.  Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are cut by tag, by class
-words, by the share of links and, outside articles, by slots whose text is one and the same on all pages: on ``DISTINCT`` different pages at
-least and on nine in ten of a host's, silenced only where a page has that very text, and not at all if they are the larger part of what the
-article's place holds (copies of one page).  Each page is then matched
-against its host's wrapper and the text of its main slots is returned.
-
-Nulls: null html is the empty page and gives ''; a null url is the host ''.  Cut-off pages, unclosed elements and stray ends are read as
-browsers do.  Repeated rows are extracted each.  A page without elements is its text.
+with text slots.  It is inferred by alignment.  A page's elements are folded (adjacent repetitions of one to three siblings become a
+repeated group); two such expressions are aligned by their longest common subsequence of element signatures (tag, class, id, role); what only one of them
+has becomes optional, a run that the other repeats joins its group, what both have is aligned inside, and differing text becomes a slot.  Sibling lists of over ``LOOP`` items
+become one repeated group of optional items, so a wrapper is no larger than its host's distinct elements.
+
+How it runs.  Pages of one host and one folded shape have one expression; tasks add up what their slots hold, and partial sums meet by (host, shape).
+Distinct shapes are aligned in the order of their text, first in ``SALTS`` parts of a host, streamed, then part by part.  So a host with a third of all
+pages is many small groups, and the wrapper does not depend on partitions or the order of rows.
+
+Every page is then matched against its host's expression, item by item, and the item decides what its text is (``judged``):
+
+* The article is the host's ``article`` elements (of nested ones the outer, the inner are comments; those in ``main`` before others), else ``main``, else the element that gathers
+  most slot text outside links, not further in than where its h1 is.
+* Cut are tags (nav, footer, aside, form, ...), roles, hidden elements and elements with a class or id such as ``site-footer`` or ``comments``.  Such marks do not count on html, body, the article, an element
+  that holds the article, or one that holds h1 and over half of all text; nor do ``no-sidebar``, ``has-sidebar``, ``comments-open``.  Of headers inside the article the headings stay.
+* Outside ``article`` and ``main`` elements, repeated groups and lists that are mostly links are cut, and so is a slot with one text on ``DISTINCT`` different pages at
+  least and on nine in ten of a host's, where a page has that very text; but not if such slots are the larger part of the article (copies of one page).
+
+A page for which its host's wrapper leaves nothing is its own wrapper.  Nulls: null html is the empty page and gives ''; a null url is the host ''.  Cut-off pages, unclosed elements and stray ends are read as
+browsers do; a tag that never ends takes the rest of the page.  Elements over ``DEPTH`` deep are siblings at that depth.  Repeated rows are extracted each.  A page without elements is its text.  Reading is linear in the page.
 """
 
 from __future__ import annotations
@@ -23,140 +29,245 @@ import hashlib
 import html as html_
 import json
 import re
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangency.llm.common import map_arrow, rows, texts_of, written
+from tangency.llm.common import map_arrow, partitions, rows, slices, texts_of, written
 
 DISTINCT = 5  # different pages that tell a constant slot
 SENT_BYTES = 32 << 20  # wrappers are sent to all tasks up to this size, else joined
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<]*$", re.S)
-_ATTR = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+DEPTH = 64
+LOOP = 32
+CELLS = 40_000  # of a table for the longest common subsequence; beyond that, items meet first come first served
+SALTS = 256
+KNOWN = 20_000  # shapes, and elements, whose meaning a task remembers
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
+_ATTR = re.compile(r"""(?<![\w-])([\w-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
-_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+_P_SCOPE = {"article", "main", "section", "div", "td", "th", "li", "body", "blockquote", "aside", "header", "footer", "nav", "form"}
 _OUT_TAGS = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "fieldset"}
-_OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
+_OUT_ROLES = {"navigation", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 _OUT_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "copyright",
-    "disqus", "footer", "form", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted",
-    "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "copyright",
+    "disqus", "footer", "form", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted",
+    "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
 }
-_MAIN_TAGS = {"article", "main"}
+_HEADER_WORDS = {"header", "masthead", "topbar", "banner"}
+_WHOLE_WORDS = {"widget", "widgets"}
+_NOT_SO = {"no", "not", "non", "has", "have", "with", "without", "open", "closed", "close", "collapsed", "enabled", "disabled", "free", "off", "on"}
+_OF_ARTICLE = {"article", "post", "entry", "story", "content"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CUT, HEADER = 1, 2  # how an element is marked
 
+# -------------------------------------------------------------------------------------------------------- reading
 
-class Element:
-    __slots__ = ("tag", "sig", "out", "children")
 
-    def __init__(self, tag: str, sig: str, out: bool) -> None:
-        self.tag, self.sig, self.out, self.children = tag, sig, out, []
+def _marks(words: Iterable[str]) -> int:
+    """How an element with these classes and this id is marked."""
+    found = 0
+    for token in words:
+        parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+        if not parts or _NOT_SO.intersection(parts):
+            continue
+        if parts[0] in _OUT_WORDS or parts[-1] in _OUT_WORDS or len(parts) == 1 and parts[0] in _WHOLE_WORDS:
+            return CUT
+        if (parts[0] in _HEADER_WORDS or parts[-1] in _HEADER_WORDS) and not _OF_ARTICLE.intersection(parts):
+            found = HEADER
+    return found
 
 
-def _element(tag: str, attrs: str) -> Element:
+def _element(tag: str, attrs: str) -> tuple[str, int]:
+    """Signature of an element and how it is marked."""
+    own = CUT if tag in _OUT_TAGS else HEADER if tag == "header" else 0
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return Element(tag, tag, tag in _OUT_TAGS)
+        return tag, own
     a = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    cls, id_, role = a.get("class", ""), a.get("id", ""), a.get("role", "")
+    cls, id_, role = a.get("class", "").split(), a.get("id", ""), a.get("role", "").strip().lower()
+    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) or "display:none" in a.get("style", "").replace(" ", "") or a.get("aria-hidden") == "true" or role in _OUT_ROLES:
+        own = CUT
+    elif tag not in ("html", "body"):
+        found = own, _marks([*cls, *id_.split()]), HEADER if role == "banner" else 0
+        own = CUT if CUT in found else HEADER if HEADER in found else 0
     id_ = "" if re.search(r"\d", id_) else id_  # numbered ids name one element of one page
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{cls} {id_}").lower()))
-    hidden = re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) is not None or "display:none" in a.get("style", "").replace(" ", "") or a.get("aria-hidden") == "true"
-    cls = " ".join(c for c in cls.split() if not re.search(r"\d{2}", c))
-    sig = tag + "".join(f"{m}{x}" for m, x in ((".", cls), ("#", id_), ("@", role)) if x)
-    return Element(tag, sig, tag in _OUT_TAGS or hidden or role in _OUT_ROLES or bool(words & _OUT_WORDS))
+    kept = " ".join(c for c in cls if not re.search(r"\d{2}", c))
+    return tag + "".join(f"{m}{x}" for m, x in ((".", kept), ("#", id_), ("@", role)) if x), own
 
 
-def read_page(page: str) -> Element:
-    """A page as a tree.  Children are elements or (text, inside a link)."""
-    root = Element("#root", "#root", False)
-    stack, at, links, inline = [root], 0, 0, []
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            stack[-1].children.append((text, links > 0))
+class Page:
+    """Elements of a page in order (a parent comes before its children), and its texts in order, each with its element; -1 is a border of blocks."""
+
+    def __init__(self) -> None:
+        self.tags, self.sigs, self.marks, self.kids = ["#root"], ["#root"], [0], [[]]
+        self.texts: list[tuple[int, str]] = []
+        self.chars, self.linked, self.said = [0], [0], [[]]
+
+
+def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Where the tag's > is, quoted values passed over, or the page's length."""
+    while True:
+        m = _STOP.search(page, at)
         if not m:
+            return len(page)
+        k = m.start()
+        if page[k] == ">":
+            return k
+        before = k - 1
+        while page[before].isspace():
+            before -= 1
+        at = k + 1
+        if page[before] == "=" and page[k] not in unclosed:
+            end = page.find(page[k], at)
+            if end < 0:
+                unclosed.add(page[k])
+            else:
+                at = end + 1
+
+
+def read_page(page: str, known: dict | None = None) -> Page:
+    known = {} if known is None else known
+    out = Page()
+    stack, names, links = [0], {}, 0
+    unclosed: set[str] = set()
+    at = 0
+
+    def said(text: str) -> None:
+        if text:
+            e = stack[-1]
+            plain = html_.unescape(text) if "&" in text else text
+            out.texts.append((e, plain))
+            size = 0 if plain.isspace() else len(plain)
+            out.chars[e] += size
+            out.linked[e] += size if links else 0
+            out.said[e].append(plain)
+
+    def close(depth: int) -> None:
+        if any(out.tags[e] not in _INLINE for e in stack[depth:]):
+            out.texts.append((-1, "\n"))
+        for e in stack[depth:]:
+            names[out.tags[e]] -= 1
+        del stack[depth:]
+
+    while at < len(page):
+        lt = page.find("<", at)
+        if lt < 0:
+            said(page[at:])
             break
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+        m = _NAME.match(page, lt)
+        if not m:
+            if page.startswith("<!--", lt):
+                said(page[at:lt])
+                end = page.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else len(page)
+            elif page[lt + 1 : lt + 2] in ("!", "?"):
+                said(page[at:lt])
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                said(page[at : lt + 1])
+                at = lt + 1
             continue
-        if m["end"]:
+        said(page[at:lt])
+        end = _tag_end(page, m.end(), unclosed)
+        at = end + 1
+        if end == len(page):
+            break
+        tag = m[1].lower()
+        if page[lt + 1] == "/":
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in _INLINE and not (inline and inline[-1] == tag):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    if inline and inline[-1] == tag:
-                        inline.pop()
-                    break
+            if names.get(tag):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if out.tags[stack[depth]] == tag:
+                        close(depth)
+                        break
+            elif tag not in _INLINE:
+                out.texts.append((-1, "\n"))
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            raw = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            at = _tag_end(page, raw.end(), unclosed) + 1 if raw else len(page)
             continue
-        if tag == "br" or tag == "hr":
-            stack[-1].children.append(("\n", False))
+        if tag in ("br", "hr"):
+            out.texts.append((-1, "\n"))
             continue
-        if tag in _VOID or m["attrs"].endswith("/") and tag not in _INLINE and tag not in _ENDS_P and tag != "p":
+        attrs = page[m.end() : end]
+        if tag in _VOID or attrs.endswith("/") and tag not in _INLINE and tag not in _ENDS_P and tag != "p":
             continue
-        e = _element(tag, m["attrs"])
+        element = known.get((tag, attrs))
+        if element is None:
+            element = _element(tag, attrs)
+            if len(attrs) < 200:
+                if len(known) > KNOWN:
+                    known.clear()
+                known[tag, attrs] = element
+        sig, mark = element
         if tag in _INLINE:
             if tag == "a":
                 links += 1
-            if not e.out:
+            if not mark:
                 continue
-            inline.append(tag)
-        if tag in _CLOSES or tag in _ENDS_P:
+        else:
+            if tag in _ENDS_P:
+                links = 0
             shut = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            stop = _SCOPE.get(tag, {"article", "main", "section", "div", "td", "li", "body", "blockquote"} if tag == "p" or tag in _ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in shut:
-                    del stack[i:]
-                    break
-        stack[-1].children.append(e)
+            if any(names.get(s) for s in shut):
+                stop = _SCOPE.get(tag, _P_SCOPE)
+                for depth in range(len(stack) - 1, 0, -1):
+                    open_ = out.tags[stack[depth]]
+                    if open_ in shut:
+                        close(depth)
+                        break
+                    if open_ in stop:
+                        break
+            out.texts.append((-1, "\n"))
+        e = len(out.tags)
+        if len(stack) >= DEPTH:
+            mark = mark or out.marks[stack[-1]]
+        out.kids[stack[min(len(stack), DEPTH) - 1]].append(e)
+        out.tags.append(tag)
+        out.sigs.append(sig)
+        out.marks.append(mark)
+        out.kids.append([])
+        out.chars.append(0)
+        out.linked.append(0)
+        out.said.append([])
+        names[tag] = names.get(tag, 0) + 1
         stack.append(e)
-        if tag not in _INLINE:
-            links = 0 if tag in _ENDS_P else links
-    return root
+    return out
 
 
 # ------------------------------------------------------------------------------------------------------ wrappers
 
-# An item of a wrapper is [signature, optional, repeated, items, pages, slot text, link text, constant, out, page marks].
-# Marks are hashes of the first ``DISTINCT`` different pages of a constant slot, so that copies of a page count once.  A group has the signature "(a b)".
-SIG, OPT, REP, KIDS, PAGES, CHARS, LINKED, SAME, OUT, MARKS = range(10)
-
-
-def _said(e: Element) -> str:
-    return "".join(c[0] for c in e.children if isinstance(c, tuple)).strip()
+# An item of a wrapper: signature, optional, repeated, items, pages, slot text, link text, constant, mark, page marks; of a single page also its elements.
+# Page marks are hashes of ``DISTINCT`` different pages of a constant slot, so that copies of a page count once.  A group has the signature "(a b)", a loop "(*)".
+SIG, OPT, REP, KIDS, PAGES, CHARS, LINKED, SAME, OUT, MARKS, NODES = range(11)
+ANY = "(*)"
 
 
 def _slot(said: str) -> str:
     """What tells one slot text from another, its length and a hash of the whole; none for no text."""
+    said = " ".join(said.split())
     return f"{len(said)}:{hashlib.blake2b(said.encode('utf-8', 'replace'), digest_size=8).hexdigest()}" if said else ""
 
 
-def _item(e: Element, mark: str = "") -> list:
-    said = _said(e)
-    linked = sum(len(c[0]) for c in e.children if isinstance(c, tuple) and c[1])
-    return [e.sig, False, False, fold([_item(c, mark) for c in e.children if isinstance(c, Element)]), 1, len(said), linked, _slot(said), e.out, [mark] if said else []]
-
-
-def items_of(page: str) -> list[list]:
-    """The folded items of one page, marked by its hash."""
-    mark = hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).hexdigest()
-    return fold([_item(c, mark) for c in read_page(page).children if isinstance(c, Element)])
+def items_of(page: Page, text: str) -> list[list]:
+    """The folded items of one page, marked by its hash, under one root."""
+    mark = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+    made: list = [None] * len(page.tags)
+    for e in range(len(page.tags) - 1, -1, -1):
+        slot = _slot("".join(page.said[e]))
+        made[e] = [page.sigs[e], False, False, fold([made[k] for k in page.kids[e]]), 1, page.chars[e], page.linked[e], slot, page.marks[e], [mark] if slot else [], [e]]
+    return [made[0]]
 
 
 def fold(items: list[list]) -> list[list]:
@@ -170,14 +281,14 @@ def fold(items: list[list]) -> list[list]:
             while len(sigs) == period and [x[SIG] for x in items[i + n * period : i + (n + 1) * period]] == sigs:
                 n += 1
             if n > 1:
-                merged = items[i : i + period]
+                together = items[i : i + period]
                 for k in range(1, n):
-                    merged = [join(a, b, False) for a, b in zip(merged, items[i + k * period : i + (k + 1) * period], strict=True)]
+                    together = [join(a, b, False) for a, b in zip(together, items[i + k * period : i + (k + 1) * period], strict=True)]
                 if period == 1:
-                    merged[0][REP] = True
-                    out += merged
+                    together[0][REP] = True
+                    out += together
                 else:
-                    out.append([f"({' '.join(sigs)})", False, True, merged, 1, 0, 0, "", False, []])
+                    out.append(_group(together))
                 i += n * period
             else:
                 out.append(items[i])
@@ -186,34 +297,117 @@ def fold(items: list[list]) -> list[list]:
     return items
 
 
+def _group(members: list[list], sig: str = "") -> list:
+    return [sig or f"({' '.join(x[SIG] for x in members)})", False, True, members, max(x[PAGES] for x in members), 0, 0, "", 0, [], []]
+
+
 def join(a: list, b: list, pages: bool = True) -> list:
     """Two items of one signature, aligned inside; ``pages``: of different pages."""
     same = a[SAME] if a[SAME] == b[SAME] else None
-    marks = a[MARKS] if a[MARKS] == b[MARKS] else sorted({*a[MARKS], *b[MARKS]})[:DISTINCT]
-    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], align(a[KIDS], b[KIDS]), a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES]), a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], same, a[OUT], marks if same else []]
-
-
-def align(a: list[list], b: list[list]) -> list[list]:
-    """Longest common subsequence by signature; the rest is optional."""
-    if [x[SIG] for x in a] == [x[SIG] for x in b]:
-        return [join(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][SIG] == b[j][SIG] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][SIG] == b[j][SIG]:
-            out.append(join(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][SIG], True, *a[i][REP:]])
-            i += 1
+    marks = sorted({*a[MARKS], *b[MARKS]})[:DISTINCT] if same else []
+    count = a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES])
+    a[NODES].extend(b[NODES])
+    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], align(a[KIDS], b[KIDS], pages), count, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], same, max(a[OUT], b[OUT]), marks, a[NODES]]
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence: the longest, or for lists of over ``CELLS`` cells the first fits."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    inner: list[tuple[int, int]] = []
+    n, m = len(x), len(y)
+    if n * m > CELLS:
+        places: dict[str, list[int]] = {}
+        for j, s in enumerate(y):
+            places.setdefault(s, []).append(j)
+        j = 0
+        for i, s in enumerate(x):
+            of = places.get(s, [])
+            k = bisect_left(of, j)
+            if k < len(of):
+                inner.append((i, of[k]))
+                j = of[k] + 1
+    elif n and m:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if x[i] == y[j]:
+                inner.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in inner] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def regrouped(items: list[list], other: list[list]) -> list[list]:
+    """Runs of ``items`` that ``other`` has as a repeated group, as that group."""
+    for g in other:
+        if g[SIG][0] == "(" and g[SIG] != ANY and all(x[SIG] != g[SIG] for x in items):
+            sigs = [x[SIG] for x in g[KIDS]]
+            for i in range(len(items) - len(sigs) + 1):
+                if [x[SIG] for x in items[i : i + len(sigs)]] == sigs:
+                    items = [*items[:i], _group(items[i : i + len(sigs)]), *items[i + len(sigs) :]]
+                    break
+    return items
+
+
+def looped(items: list[list], pages: bool) -> list[list]:
+    """One repeated group of optional items, a signature each."""
+    kinds: dict[str, list] = {}
+    todo = list(reversed(items))
+    while todo:
+        x = todo.pop()
+        if x[SIG][0] == "(":
+            todo += reversed(x[KIDS])
+        elif x[SIG] in kinds:
+            kinds[x[SIG]] = join(kinds[x[SIG]], x, pages)
         else:
-            out.append([b[j][SIG], True, *b[j][REP:]])
-            j += 1
-    return out
+            kinds[x[SIG]] = x
+    return [_group([[x[SIG], True, *x[REP:]] for _, x in sorted(kinds.items())], ANY)]
+
+
+def align(a: list[list], b: list[list], pages: bool = True) -> list[list]:
+    """Common items are joined, the rest is optional."""
+    if not a and not b:
+        return []
+    if any(x[SIG] == ANY for x in (*a, *b)):
+        return looped([*a, *b], pages)
+    a, b = regrouped(a, b), regrouped(b, a)
+    out, i, j = [], 0, 0
+    for p, q in [*common([x[SIG] for x in a], [x[SIG] for x in b]), (len(a), len(b))]:
+        out += [[x[SIG], True, *x[REP:]] for x in (*a[i:p], *b[j:q])]
+        if p < len(a):
+            out.append(join(a[p], b[q], pages))
+        i, j = p + 1, q + 1
+    return looped(out, pages) if len(out) > LOOP else out
+
+
+def matched(items: list[list], places: list[list], kept: bool = False) -> Iterator[tuple[list, list]]:
+    """Items of a page in order, each with its item of the judged expression; one that the expression has no place for is kept if it is in ``kept`` text and has no mark."""
+    if any(x[SIG] == ANY for x in places):
+        of = {x[SIG]: x for g in places for x in (g[KIDS] if g[SIG] == ANY else [g])}
+        again, found = items, [places[0] if x[SIG][0] == "(" else of.get(x[SIG]) for x in items]
+    else:
+        again = regrouped(items, places)
+        at = dict(common([x[SIG] for x in again], [x[SIG] for x in places]))
+        found = [places[at[i]] if i in at else None for i in range(len(again))]
+    for x, w in zip(again, found, strict=True):
+        if w is None:
+            w = [x[SIG], False, False, [], kept and not x[OUT], ""]
+        yield x, w
+        yield from matched(x[KIDS], places if w[SIG] == ANY else w[KIDS], w[KEPT])
 
 
 def as_expression(items: list[list]) -> str:
@@ -227,143 +421,310 @@ def as_expression(items: list[list]) -> str:
     return " ".join(out)
 
 
+def shape(items: list[list]) -> str:
+    """Structure of folded items without what they hold."""
+    bare = lambda xs: [[x[SIG], int(x[REP]), x[OUT], bare(x[KIDS])] for x in xs]
+    return json.dumps(bare(items), separators=(",", ":"))
+
+
+def summed(a: list[list], b: list[list]) -> list[list]:
+    """What the slots of pages of one shape hold."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        same = x[SAME] if x[SAME] == y[SAME] else None
+        marks = sorted({*x[MARKS], *y[MARKS]})[:DISTINCT] if same else []
+        out.append([x[SIG], x[OPT], x[REP], summed(x[KIDS], y[KIDS]), x[PAGES] + y[PAGES], x[CHARS] + y[CHARS], x[LINKED] + y[LINKED], same, x[OUT], marks, []])
+    return out
+
+
 def wrapper_of(pages: list[str]) -> list[list]:
-    out = None
+    """The wrapper of pages of one host."""
+    shapes: dict[str, list] = {}
     for p in pages:
-        one = items_of(p)
+        one = items_of(read_page(p), p)
+        key = shape(one)
+        shapes[key] = summed(shapes[key], one) if key in shapes else one
+    out: list[list] | None = None
+    for _, one in sorted(shapes.items()):
         out = one if out is None else align(out, one)
     return out or []
 
 
-def _weight(item: list) -> int:
-    return 0 if item[OUT] else max(0, item[CHARS] - 2 * item[LINKED])
+# ------------------------------------------------------------------------------------------------------ judgement
+
+
+def _tag(x: list) -> str:
+    return re.split(r"[.#@]", x[SIG], maxsplit=1)[0]
+
+
+class Judge:
+    """Decides which items of a wrapper are article text."""
 
+    def __init__(self, wrapper: list[list]) -> None:
+        self.size: dict[int, tuple[int, int, bool, bool]] = {}
+        for x in wrapper:
+            self._measure(x)
+        self.all = sum(self.size[id(x)][0] for x in wrapper)
+        self.pages = max((x[PAGES] for x in wrapper), default=0)
 
-def _total(item: list) -> int:
-    return 0 if item[OUT] else _weight(item) + sum(map(_total, item[KIDS]))
+    def _measure(self, x: list) -> tuple[int, int, bool, bool]:
+        """Text, link text, whether there is an article or main element inside, whether an h1 is there."""
+        text, linked, main, h1 = x[CHARS], x[LINKED], False, _tag(x) == "h1" and x[CHARS] > 0
+        for k in x[KIDS]:
+            t, l, m, h = self._measure(k)
+            text, linked, main, h1 = text + t, linked + l, main or m or self.is_main(k) and t > 0 and k[OUT] != CUT, h1 or h
+        if x[OUT] == CUT and _tag(x) in ("nav", "footer", "aside"):
+            main = False  # teasers
+        self.size[id(x)] = text, linked, main, h1
+        return self.size[id(x)]
 
+    @staticmethod
+    def is_main(x: list) -> bool:
+        return _tag(x) in ("article", "main") or "@main" in x[SIG]
 
-def main_paths(wrapper: list[list]) -> dict:
-    """Where the article is: {"paths": signature paths, "constant": paths and texts of slots with one text on all pages}."""
-    found: list[list[str]] = []
-    pages = max((x[PAGES] for x in wrapper), default=0)
+    def cut(self, x: list) -> bool:
+        """Whether the element's mark counts."""
+        text, _, main, h1 = self.size[id(x)]
+        if not x[OUT] or _tag(x) in ("html", "body") or self.is_main(x) and x[OUT] != CUT:
+            return False
+        return not (main or h1 and 2 * text > self.all and _tag(x) not in ("nav", "footer", "aside", "head"))
 
-    def search(items, path):
+    def weight(self, x: list) -> int:
+        if self.cut(x):
+            return 0
+        own = max(0, x[CHARS] - 2 * x[LINKED])
+        return own + sum(map(self.weight, x[KIDS]))
+
+    def _mains(self, items: list[list], want: str) -> list[list]:
+        """Outermost elements of a kind that hold text."""
+        out = []
         for x in items:
-            here = path if x[SIG].startswith("(") else [*path, x[SIG]]
-            if x[OUT]:
+            if self.cut(x):
                 continue
-            tag = re.split(r"[.#@]", x[SIG])[0]
-            if (tag in _MAIN_TAGS or "@main" in x[SIG]) and _total(x) > 0:
-                found.append(here)
-            search(x[KIDS], here)
-
-    search(wrapper, [])
-    # an article inside main is the article
-    inner = [p for p in found if not any(q != p and q[: len(p)] == p for q in found)]
-    if not inner:
-        items, path = wrapper, []
-        while items:
-            top = max(items, key=_total)
-            if _total(top) == 0 or (path and _total(top) < 0.6 * sum(map(_total, items))):
-                break
-            if re.split(r"[.#@]", top[SIG])[0] in {"p", "li", "td", *_HEADINGS}:
+            is_one = _tag(x) == "article" if want == "article" else _tag(x) == "main" or "@main" in x[SIG]
+            if is_one and self.size[id(x)][0] > 0:
+                inner = self._mains(x[KIDS], want)
+                if self.weight(x) > sum(map(self.weight, inner)) or not inner:
+                    out.append(x)
+                else:
+                    out += inner
+            else:
+                out += self._mains(x[KIDS], want)
+        return out
+
+    def regions(self, wrapper: list[list]) -> tuple[list[list], bool]:
+        """The items that are the article, and whether they are article or main elements."""
+        mains = self._mains(wrapper, "main")
+        found = self._mains(mains, "article") or mains or self._mains(wrapper, "article")
+        if found:
+            return found, True
+        at = wrapper[0]
+        while at[KIDS]:
+            top = max(at[KIDS], key=self.weight)
+            w = self.weight(top)
+            others = [x for x in at[KIDS] if x is not top and not self.cut(x)]
+            if not w or w < 0.6 * self.weight(at) or top[REP] or _tag(top) in {"p", "li", "td", *_HEADINGS} or any(self.size[id(x)][3] and not self.fixed(x) for x in others):
                 break
-            if not top[SIG].startswith("("):
-                path = [*path, top[SIG]]
-            items = top[KIDS]
-        inner = [path]
-    constant: list[list] = []
+            at = top
+        return [at], False
+
+    def fixed(self, x: list) -> bool:
+        return bool(x[SAME]) and len(x[MARKS]) >= DISTINCT and 10 * x[PAGES] >= 9 * self.pages
+
+
+def judged(wrapper: list[list]) -> list[list]:
+    """The expression with what its items are: [signature, optional, repeated, items, kept, constant]."""
+    if not wrapper:
+        return []
+    judge = Judge(wrapper)
+    regions, elements = judge.regions(wrapper)
+    inside_of = {id(x) for x in regions}
     size = {True: 0, False: 0}
 
-    def slots(items, path, inside):
+    def look(items, inside, headings):
+        out = []
         for x in items:
-            here = path if x[SIG].startswith("(") else [*path, x[SIG]]
-            if x[OUT]:
+            here = inside or id(x) in inside_of
+            kept, only = here, headings
+            if judge.cut(x) or inside and elements and _tag(x) == "article" and id(x) not in inside_of:
+                if here and elements and x[OUT] == HEADER:
+                    only = True
+                else:
+                    out.append([x[SIG], x[OPT], x[REP], silent(x[KIDS]), False, ""])
+                    continue
+            text, linked, *_ = judge.size[id(x)]
+            if inside and not elements and (x[REP] or _tag(x) in ("ul", "ol", "dl")) and 10 * linked >= 6 * text > 0:
+                out.append([x[SIG], x[OPT], x[REP], silent(x[KIDS]), False, ""])
                 continue
-            within = inside or here in inner
-            if within:
-                fixed = bool(x[SAME]) and len(x[MARKS]) >= DISTINCT and 10 * x[PAGES] >= 9 * pages
-                size[fixed] += x[CHARS]
-                if fixed:
-                    constant.append([here, x[SAME]])
-            slots(x[KIDS], here, within)
+            within = only and _tag(x) in _HEADINGS
+            constant = x[SAME] if here and not elements and judge.fixed(x) else ""
+            if here:
+                size[bool(constant)] += x[CHARS]
+            out.append([x[SIG], x[OPT], x[REP], look(x[KIDS], here, only and not within), kept and (not only or within), constant])
+        return out
+
+    def silent(items):
+        return [[x[SIG], x[OPT], x[REP], silent(x[KIDS]), False, ""] for x in items]
+
+    out = look(wrapper, False, False)
+    if size[True] >= size[False]:
+        todo = list(out)
+        while todo:
+            x = todo.pop()
+            x[5] = ""
+            todo += x[KIDS]
+    return out
 
-    slots(wrapper, [], [] in inner)
-    return {"paths": inner, "constant": constant if size[True] < size[False] else []}
 
+KEPT, CONSTANT = 4, 5
 
-def extract(page: str, where: dict | None) -> str:
-    """The text of the page's main slots, blocks joined by one space."""
-    root = read_page(page)
-    where = where or main_paths(fold([_item(c) for c in root.children if isinstance(c, Element)]))
-    wanted = {tuple(p) for p in where["paths"]}
-    constant: dict[tuple, set] = {}
-    for p, said in where["constant"]:
-        constant.setdefault(tuple(p), set()).add(said)
-
-    def collect(inside_at_start: bool, wanted: set, constant: dict) -> str:
-        parts: list[str] = []
-
-        def walk(e: Element, path: tuple[str, ...], inside: bool) -> None:
-            inside = inside or path in wanted
-            parts.append("\n")
-            if not any(isinstance(c, Element) for c in e.children) or inside:
-                quiet = not inside or (path in constant and _slot(_said(e)) in constant[path] and not any(re.split(r"[.#@]", s)[0] in _MAIN_TAGS for s in path))
-            else:
-                quiet = True
-            for c in e.children:
-                if isinstance(c, tuple):
-                    if not quiet:
-                        parts.append(c[0])
-                elif not c.out and not (c.tag == "header" and not (inside and any(re.split(r"[.#@]", s)[0] in _MAIN_TAGS for s in path))):
-                    walk(c, (*path, c.sig), inside)
-            parts.append("\n")
 
-        walk(root, (), inside_at_start)
-        return " ".join(html_.unescape("".join(parts)).split())
+class Extractor:
+    """Main texts of pages; how shapes match expressions is remembered."""
 
-    text = collect(() in wanted, wanted, constant)
-    if not text and (where["paths"] != [[]] or constant):
-        own = main_paths(fold([_item(c) for c in root.children if isinstance(c, Element)]))  # a page that its host's wrapper does not fit
-        text = collect(() in {tuple(p) for p in own["paths"]}, {tuple(p) for p in own["paths"]}, {})
-    return text
+    def __init__(self) -> None:
+        self.elements: dict = {}
+        self.known: dict[tuple[str, str], list[tuple[bool, str]]] = {}
+
+    def _meaning(self, items: list[list], place: list[list], key: tuple[str, str] | None) -> list[tuple[bool, str]]:
+        """For each element item in order whether its text is kept, and its constant."""
+        told = self.known.get(key) if key else None
+        if told is None:
+            told = [(w[KEPT], w[CONSTANT]) for x, w in matched(items, place) if x[SIG][0] != "("]
+            if key:
+                if len(self.known) > KNOWN:
+                    self.known.clear()
+                self.known[key] = told
+        return told
+
+    def __call__(self, text: str, place: list[list] | None, host: str | None = None) -> str:
+        page = read_page(text, self.elements)
+        items = items_of(page, text)
+        out = self._text(page, items, self._meaning(items, place, None if host is None else (host, shape(items)))) if place else ""
+        if not out and any(page.chars):  # a page that its host's wrapper does not fit
+            out = self._text(page, items, self._meaning(items, judged(items), None))
+        return out
+
+    @staticmethod
+    def _text(page: Page, items: list[list], meaning: list[tuple[bool, str]]) -> str:
+        kept = [False] * len(page.tags)
+        for x, (keep, constant) in zip(elements_of(items), meaning, strict=True):
+            if keep:
+                for e in x[NODES]:
+                    kept[e] = not constant or _slot("".join(page.said[e])) != constant
+        return " ".join("".join(t for e, t in page.texts if e < 0 or kept[e]).split())
+
+
+def elements_of(items: list[list]) -> Iterator[list]:
+    """Items in order, without groups."""
+    for x in items:
+        if x[SIG][0] != "(":
+            yield x
+        yield from elements_of(x[KIDS])
+
+
+def extract(page: str, place: list[list] | None) -> str:
+    """The text of the page's main slots, blocks joined by one space."""
+    return Extractor()(page, place)
 
 
 # --------------------------------------------------------------------------------------------------------- Spark
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def host_of(url: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON, where as JSON): wrappers of all hosts from all pages."""
-    out = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+    """(host, wrapper, place) as JSON: the wrappers of all hosts from all pages, and what their items are."""
+    shapes = pa.schema([("host", pa.string()), ("shape", pa.string()), ("items", pa.string())])
+    out = pa.schema([("host", pa.string()), ("items", pa.string())])
+    n = partitions(pages.sparkSession)
 
     def partial(batches):
-        held: dict[str, list] = {}
-        for batch in batches:
-            for url, p in zip(batch.column(0).to_pylist(), texts_of(batch, "html"), strict=True):
-                one = items_of(p.decode("utf-8", "replace"))
-                host = host_of(url)
-                held[host] = align(held[host], one) if host in held else one
-            if len(held) > 20_000:
-                yield rows(out, list(held), [json.dumps(w) for w in held.values()])
+        held: dict[tuple[str, str], list] = {}
+        known: dict = {}
+        for batch in slices(batches):
+            for host, t in zip(batch.column(0).to_pylist(), texts_of(batch, "html"), strict=True):
+                text = t.decode("utf-8", "replace")
+                one = items_of(read_page(text, known), text)
+                key = host, shape(one)
+                held[key] = summed(held[key], one) if key in held else summed_alone(one)
+            if len(held) > KNOWN:
+                yield from sent(held)
                 held = {}
-        if held:
-            yield rows(out, list(held), [json.dumps(w) for w in held.values()])
+        yield from sent(held)
+
+    def sent(held):
+        keys = list(held)
+        for s in range(0, len(keys), 500):
+            part = keys[s : s + 500]
+            yield rows(shapes, [k[0] for k in part], [k[1] for k in part], [json.dumps(held[k]) for k in part])
 
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        parts = sorted(group["wrapper"])
-        w = json.loads(parts[0])
-        for p in parts[1:]:
-            w = align(w, json.loads(p))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(w)], "place": [json.dumps(main_paths(w))]})
+    def together(batches, merge):
+        """Rows of one host in order, merged one after the other."""
+        host = now = None
+        for batch in batches:
+            done_hosts, done = [], []
+            for h, *_, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = json.loads(items)
+                if h == host:
+                    now = merge(now, one)
+                else:
+                    if now is not None:
+                        done_hosts.append(host)
+                        done.append(json.dumps(now))
+                    host, now = h, one
+            yield rows(out, done_hosts, done)
+        if now is not None:
+            yield rows(out, [host], [json.dumps(now)])
+
+    def one_shape(batches):
+        key = now = None
+        for batch in batches:
+            done = []
+            for h, s, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = json.loads(items)
+                if (h, s) == key:
+                    now = summed(now, one)
+                else:
+                    if now is not None:
+                        done.append((*key, json.dumps(now)))
+                    key, now = (h, s), one
+            if done:
+                yield rows(shapes, *map(list, zip(*done, strict=True)))
+        if now is not None:
+            yield rows(shapes, [key[0]], [key[1]], [json.dumps(now)])
+
+    by_shape = map_arrow(pages.select(host_of("url").alias("host"), "html"), partial, "host string, shape string, items string")
+    by_shape = map_arrow(by_shape.repartition(n, "host", "shape").sortWithinPartitions("host", "shape"), one_shape, "host string, shape string, items string")
+    salted = by_shape.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)))
+
+    def parts(batches):
+        """Parts of hosts, told apart by host and salt."""
+
+        def keyed():
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([f"{s}\n{h}" for h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string()), batch.column(3)], names=["host", "items"])
 
-    parts = map_arrow(pages.select("url", "html"), partial, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(whole, "host string, wrapper string, place string")
+        yield from together(keyed(), align)
+
+    first = map_arrow(salted.select("host", "salt", "shape", "items").repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "shape"), parts, "host string, items string")
+    split = first.select(F.regexp_extract("host", r"(?s)^-?\d+\n(.*)$", 1).alias("host"), F.substring_index("host", "\n", 1).cast("int").alias("salt"), "items")
+    whole = split.repartition(n, "host").sortWithinPartitions("host", "salt")
+
+    def places(batches):
+        done = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("place", pa.string())])
+        for batch in together(batches, align):
+            w = batch.column(1).to_pylist()
+            yield rows(done, batch.column(0), w, [json.dumps(judged(json.loads(x))) for x in w])
+
+    return map_arrow(whole.select("host", "salt", "items"), places, "host string, wrapper string, place string")
+
+
+def summed_alone(items: list[list]) -> list[list]:
+    """Items of a page without its elements."""
+    return [[*x[:KIDS], summed_alone(x[KIDS]), *x[PAGES:NODES], []] for x in items]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -371,26 +732,22 @@ def main_text(pages: DataFrame) -> DataFrame:
     places = written(infer(pages), "wrappers").select("host", "place")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     ddl = "page_id long, url string, text string, n_chars long"
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"))
     size = places.agg(F.sum(F.length("host") + F.length("place"))).first()[0] or 0
-    if size <= SENT_BYTES:
-        shared = pages.sparkSession.sparkContext.broadcast({r[0]: json.loads(r[1]) for r in places.toLocalIterator()})  # SENT_BYTES at most
-
-        def run(batches):
-            of = shared.value
-            for batch in batches:
-                url = batch.column(1).to_pylist()
-                texts = [extract(p.decode("utf-8", "replace"), of.get(host_of(u))) for u, p in zip(url, texts_of(batch, "html"), strict=True)]
-                yield rows(out, batch.column(0), url, texts, [len(t) for t in texts])
-
-        return map_arrow(own, run, ddl)
-
-    def joined(batches):
-        for batch in batches:
-            url = batch.column(1).to_pylist()
-            texts = [extract(p.decode("utf-8", "replace"), json.loads(w) if w else None) for p, w in zip(texts_of(batch, "html"), batch.column(3).to_pylist(), strict=True)]
+    sent = size <= SENT_BYTES
+    shared = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in places.toLocalIterator()} if sent else {})  # SENT_BYTES at most
+    keyed = own.withColumn("place", F.lit(None).cast("string")) if sent else own.join(places, "host", "left").select(*own.columns, "place")
+
+    def run(batches):
+        of, read, extractor = shared.value, {}, Extractor()
+        for batch in slices(batches):
+            url, texts = batch.column(1).to_pylist(), []
+            for t, host, place in zip(texts_of(batch, "html"), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if host not in read:
+                    if len(read) > 1000:
+                        read.clear()
+                    read[host] = json.loads(place or of.get(host) or "[]")
+                texts.append(extractor(t.decode("utf-8", "replace"), read[host], host))
             yield rows(out, batch.column(0), url, texts, [len(t) for t in texts])
 
-    host = F.udf(host_of)  # only beyond SENT_BYTES; the join's hot hosts are split by adaptive execution
-    keyed = own.withColumn("host", host("url")).join(places, "host", "left").select("page_id", "url", "html", "place")
-    return map_arrow(keyed, joined, ddl)
+    return map_arrow(keyed, run, ddl)
