@@ -2,12 +2,14 @@
 
 Texts are cut into marked words (each starts with its run of U+2581, the mark of a space).  The distinct words of a batch are sorted,
 which lays them out as a trie, and walked depth-first: forward states belong to prefixes, so words with a common prefix compute
-its states once and only the new characters of the next word are added.
+its states once and only the new characters of the next word are added.  A state is its last piece and where that begins; ids are
+read back from the end of a word, so memory is linear in the longest word.
 
 The recurrence at a prefix depends on the vocabulary's kind.  For a unigram vocabulary it is Viterbi's: the best score of a last piece plus
 the state before it.  A byte-pair vocabulary (such as the 32k one) is not a maximum of score sums: there the state of a prefix is its
 one byte-pair segmentation, and its last piece is the only one that merges would also leave next to the piece before (``compatible``).
-So the same pass gives exactly the ids that byte-pair merging gives.
+So the same pass gives exactly the ids that byte-pair merging gives.  Pieces of marks alone have equal ranks in such vocabularies, which the pass cannot
+tell apart; words that begin with several marks are merged by definition, with a heap.
 
 Characters outside the vocabulary, and U+2581 itself in a text, become byte pieces; decoding restores every text exactly.  The model file is
 read on the driver and sent to tasks (a vocabulary, ``MODEL_BYTES`` at most).
@@ -21,7 +23,9 @@ import copy
 import gc
 import re
 import struct
+from array import array
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -33,6 +37,8 @@ from tangency.llm.common import map_arrow, rows, slices
 
 MARK = "▁"
 MODEL_BYTES = 64 << 20
+UNKNOWN_PENALTY = 10.0  # fixed value: by how much an unknown character scores below the worst piece
+HELD_CHARS = 16 << 20  # of words whose ids are kept
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -93,6 +99,10 @@ class Vocabulary:
         if len(self.bytes) != 256:
             raise ValueError("byte pieces are needed for texts to come back exactly")
         self.longest = max(map(len, self.ids), default=1)
+        own = [self.scores[i] for i, k in enumerate(self.kinds) if k == 1]
+        self.unknown = min(own, default=0.0) - UNKNOWN_PENALTY
+        # a piece that a user defined is taken before any other of its length
+        self.value = {i: self.scores[i] if self.kinds[i] == 1 else len(p.encode()) * max(own, default=0.0) - 0.1 for p, i in self.ids.items()}
 
 
 class Encoder:
@@ -101,13 +111,14 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, limit: int = 600_000) -> None:
         self.v, self.limit = vocabulary, limit
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.ids_of: dict[str, tuple[int, ...]] = {}
         self.stand_in = MARK
         self.usable = self.tails = None
         if vocabulary.bpe:
             # pieces of two characters or more that merging makes of their own characters, and the longest by last three
-            self.usable = {p for p in vocabulary.ids if len(p) > 1 and self.merged(p) == [p]}
+            self.usable = {p: p for p in vocabulary.ids if len(p) > 1 and self.merged(p) == [p]}
             self.tails = {}
             for p in self.usable:
                 if len(p) > 2:
@@ -115,17 +126,29 @@ class Encoder:
 
     def merged(self, word: str) -> list[str]:
         """Byte-pair merging by definition: the best adjacent pair first, the leftmost of equals."""
-        parts, ids, scores = list(word), self.v.ids, self.v.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        ids, scores, n = self.v.ids, self.v.scores, len(word)
+        ends = list(range(1, n + 1))  # of the part that begins here, 0 for none
+        begins = list(range(-1, n))  # of the part that ends here
+        heap = []
+        for i in range(n - 1):
+            k = ids.get(word[i : i + 2])
+            if k is not None:
+                heap.append((-scores[k], i, i + 1, i + 2))
+        heapify(heap)
+        while heap:
+            _, i, j, e = heappop(heap)
+            if ends[i] != j or ends[j] != e:
+                continue
+            ends[i], ends[j], begins[e] = e, 0, i
+            if i:
+                k = ids.get(word[begins[i] : e])
+                if k is not None:
+                    heappush(heap, (-scores[k], begins[i], i, e))
+            if e < n:
+                k = ids.get(word[i : ends[e]])
+                if k is not None:
+                    heappush(heap, (-scores[k], i, e, ends[e]))
+        return [word[i:e] for i, e in enumerate(ends) if e]
 
     def compatible(self, left: str, right: str) -> bool:
         key = (left, right)
@@ -136,9 +159,9 @@ class Encoder:
             found = self.pairs[key] = self.merged(left + right) == [left, right]
         return found
 
-    def _grow_bpe(self, word: str, common: int, states: list[tuple[str, tuple[int, ...]]]) -> None:
-        """Adds the states (last piece, ids so far) of the prefixes of ``word`` longer than ``common``."""
-        usable, tails, pairs, ids_of = self.usable, self.tails, self.pairs, self.ids_of
+    def _grow_bpe(self, word: str, common: int, last: list[str], starts: array) -> None:
+        """Adds the states (last piece, its start) of the prefixes of ``word`` longer than ``common``."""
+        usable, tails, pairs = self.usable, self.tails, self.pairs
         for end in range(common + 1, len(word) + 1):
             # pieces of three characters or more that end as this prefix does are no longer than this
             start = end - tails.get(word[end - 3 : end], 2) if end > 2 else 0
@@ -147,65 +170,85 @@ class Encoder:
             while start < end - 1:
                 piece = word[start:end]
                 if piece in usable:
-                    before, so_far = states[start]
                     if not start:
+                        piece = usable[piece]  # one string for all states
                         break
-                    fits = pairs.get((before, piece))
+                    fits = pairs.get((last[start], piece))
                     if fits is None:
-                        fits = self.compatible(before, piece)
+                        fits = self.compatible(last[start], piece)
                     if fits:
+                        piece = usable[piece]
                         break
                 start += 1
             else:
                 start = end - 1
                 piece = word[start]
-                so_far = states[start][1]
-            own = ids_of.get(piece)
-            if own is None:
-                own = ids_of[piece] = self.piece_ids(piece)
-            states.append((piece, so_far + own))
+            last.append(piece)
+            starts.append(start)
 
-    def _grow_unigram(self, word: str, common: int, states: list[tuple[float, tuple[int, ...]]]) -> None:
-        """The same with states (best score, its ids): Viterbi's recurrence."""
-        ids, scores, longest = self.v.ids, self.v.scores, self.v.longest
+    def _grow_unigram(self, word: str, common: int, last: list[str], starts: array) -> None:
+        """The same by Viterbi's recurrence, with the best score of each prefix."""
+        ids, value, longest, best = self.v.ids, self.v.value, self.v.longest, self.best
+        del best[common + 1 :]
         for end in range(common + 1, len(word) + 1):
-            best = states[end - 1][0] - 1e3, states[end - 1][1] + self.piece_ids(word[end - 1])  # an unknown character, by its bytes
+            top, at = best[end - 1] + self.v.unknown, end - 1  # an unknown character, by its bytes
             for start in range(max(0, end - longest), end):
                 k = ids.get(word[start:end])
-                if k is not None and states[start][0] + scores[k] > best[0]:
-                    best = states[start][0] + scores[k], states[start][1] + (k,)
-            states.append(best)
+                if k is not None and best[start] + value[k] > top:
+                    top, at = best[start] + value[k], start
+            best.append(top)
+            last.append(word[at:end])
+            starts.append(at)
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         k = self.v.ids.get(piece)
         return (k,) if k is not None else tuple(self.v.bytes[b] for b in piece.replace(self.stand_in, MARK).encode("utf-8", "surrogatepass"))
 
+    def _ids(self, last: list[str], starts: array, end: int) -> tuple[int, ...]:
+        """Ids of the prefix of length ``end``, read back from its state."""
+        back = []
+        while end:
+            back.append(last[end])
+            end = starts[end]
+        return self._of(reversed(back))
+
+    def _of(self, pieces: Iterable[str]) -> tuple[int, ...]:
+        out: list[int] = []
+        for p in pieces:
+            own = self.ids_of.get(p)
+            if own is None:
+                own = self.ids_of[p] = self.piece_ids(p)
+            out += own
+        return tuple(out)
+
     def learn(self, distinct: Iterable[str]) -> None:
         """Encodes words in sorted order, a depth-first walk of their trie: states of the common prefix stay on the stack."""
-        before, states = "", [("", ()) if self.v.bpe else (0.0, ())]
+        before, last, starts, self.best = "", [""], array("i", [0]), [0.0]
         grow, words = self._grow_bpe if self.v.bpe else self._grow_unigram, self.words
+        if len(self.ids_of) > self.limit:
+            self.ids_of.clear()
         for word in sorted(distinct):
+            self.held += len(word)
+            if self.v.bpe and word.startswith(MARK * 2):
+                words[word] = self._of(self.merged(word))
+                continue
             common, most = 0, min(len(before), len(word))
             if before[:most] == word[:most]:
                 common = most
             else:
                 while before[common] == word[common]:
                     common += 1
-            del states[common + 1 :]
-            if word.startswith(MARK * 2) and self.v.bpe:
-                # pieces of spaces alone have equal ranks in such vocabularies; these few words are merged directly
-                words[word] = tuple(i for p in self.merged(word) for i in self.piece_ids(p))
-                before = word[:common]
-                continue
-            grow(word, common, states)
+            del last[common + 1 :], starts[common + 1 :]
+            grow(word, common, last, starts)
             before = word
-            words[word] = states[-1][1]
+            words[word] = self._ids(last, starts, len(word))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [marked_words(t) if MARK not in t else None for t in texts]
         fresh = {w for ws in cut if ws for w in ws}
-        if len(self.words) > self.limit:
+        if len(self.words) > self.limit or self.held > HELD_CHARS:
             self.words.clear()
+            self.held = 0
         known = self.words
         self.learn(fresh.difference(known))
         return [self._with_marks(t) if ws is None else list(chain.from_iterable(map(known.__getitem__, ws))) for t, ws in zip(texts, cut, strict=True)]
