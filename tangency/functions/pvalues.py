@@ -60,3 +60,24 @@ def wilcoxon_sf(w: float, n: int, ties: float = 0.0, exact: bool = True) -> floa
         return float(min(1.0, 2 * counts[: int(w) + 1].sum() / 2.0**n))
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)
     return min(1.0, 2 * normal_sf((n * (n + 1) / 4.0 - w) / sd)) if sd else 1.0
+
+
+def signed_rank_p(w: float, ranks: list[float], pairs: int | None = None) -> float:
+    """Two-sided probability of the smaller signed-rank sum ``w``, from the ranks of the differences; exact without ties and zero differences."""
+    _, size = np.unique(np.asarray(ranks, float), return_counts=True)
+    ties = float((size.astype(float) ** 3 - size).sum())
+    return wilcoxon_sf(w, len(ranks), ties, exact=pairs is None or pairs == len(ranks))
+
+
+def t_cdf_table(df: float) -> tuple[np.ndarray, np.ndarray]:
+    """(points, distribution function) of Student's t, dense enough to invert by interpolation."""
+    x = np.sinh(np.linspace(-12, 12, 20_001))
+    density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log1p(x * x / df))
+    c = np.concatenate([[0.0], np.cumsum(0.5 * (density[1:] + density[:-1]) * np.diff(x))])
+    return x, c / c[-1]
+
+
+def normal_quantiles(u: np.ndarray) -> np.ndarray:
+    x = np.linspace(-9, 9, 20_001)
+    c = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    return np.interp(u, c, x)

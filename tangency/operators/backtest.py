@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tangency.durable import written
+from tangency.operators import clean, moments
+from tangency.operators import forecast as forecast_
+from tangency.operators.search import CARDINALITY, Box, Genetic, Inputs, Rules, cardinality_portfolios, subsets
+from tangency.operators.weights import optimal_weights, random_weights
+
 YEAR = 252
 
 
@@ -53,6 +59,40 @@ def arms(values: DataFrame) -> DataFrame:
     return values.groupBy("category").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def six_arms(spark: SparkSession, laid: DataFrame, forecast: DataFrame, portfolios: int = 20, rules: Rules = Rules(8, 20, None), genetic: Genetic = CARDINALITY, box: Box = Box(), skip: int = 252, leave: int = 252, seed: int = 0) -> DataFrame:
+    """(category, idx, ret, std, sharpe, downside, sortino, mdd, calmar, holdings): portfolios made from training rows, evaluated on the ``leave`` rows after them.
+
+    Training rows are ordinals ``skip`` to all but the last ``leave`` of ``laid`` (ticker, t, date, close).  Choices: by search on history (cc), by search with ``forecast``
+    (ticker, mu, variance) and constant correlation (cc_forecast), at random.  Weights: optimised, optimised with copula correlations, random.
+    """
+    rets = written(moments.log_returns(laid), "returns")
+    train = written(moments.log_returns(clean.split(laid, skip, leave)), "training")
+    if train.isEmpty():
+        raise ValueError("no rows to train on")
+    mu, cov = written(moments.expected(train), "mu"), written(moments.covariance_matrix(train), "cov")
+    mu_f = written(moments.with_forecast(mu, forecast), "mu-forecast")
+    cov_f = written(moments.constant_correlation(cov, moments.correlations(cov), forecast), "cov-forecast")
+    x = Inputs.of(mu, cov)
+    seeds = [seed * 1000 + i for i in range(portfolios)]
+    named = lambda df, category: df.select(F.concat(F.lit(f"{category}:"), "portfolio").alias("portfolio_id"), "ticker")
+    cc = written(cardinality_portfolios(spark, x, rules, genetic, seeds, box).select("portfolio", "ticker"), "cc")
+    cc_f = written(cardinality_portfolios(spark, Inputs.of(mu_f, cov_f), rules, genetic, seeds, box).select("portfolio", "ticker"), "cc-forecast")
+    picked = written(subsets(spark.range(portfolios).withColumnRenamed("id", "candidate_id"), mu.select("ticker"), min(rules.least, len(x.names)), min(rules.most, len(x.names)), seed).withColumnRenamed("candidate_id", "portfolio"), "random")
+    rho = forecast_.copula_correlations(named(cc, "cc_copulae"), train)
+    sd = cov.where("ti = tj").select("ti", F.sqrt("cov").alias("s"))
+    si, sj = sd.withColumnRenamed("s", "si"), sd.select(F.col("ti").alias("tj"), F.col("s").alias("sj"))
+    cov_c = rho.join(si, "ti").join(sj, "tj").select("portfolio_id", "ti", "tj", (F.col("si") * F.col("rho") * F.col("sj")).alias("cov"))
+    best = lambda chosen, m, c: optimal_weights(chosen, m, c).select("portfolio_id", "ticker", "weight")
+    held = best(named(cc, "cc_optimised"), mu, cov).unionByName(best(named(cc, "cc_copulae"), mu, cov_c)).unionByName(best(named(cc_f, "cc_forecast"), mu_f, cov_f))
+    held = held.unionByName(random_weights(named(cc, "cc_random_weights"), seed)).unionByName(best(named(picked, "random_optimised"), mu, cov)).unionByName(random_weights(named(picked, "random_random"), seed))
+    held = written(held, "arms")
+    last = rets.agg((F.max("t") + 1 - leave).alias("edge"))
+    steps = written(path(held, rets.join(F.broadcast(last), F.col("t") >= F.col("edge")).drop("edge")), "steps")
+    own = held.groupBy("portfolio_id").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight"))).alias("holdings"))
+    parts = F.split("portfolio_id", ":")
+    return metrics(steps).join(own, "portfolio_id").select(parts[0].alias("category"), parts[1].cast("int").alias("idx"), "ret", "std", "sharpe", "downside", "sortino", "mdd", "calmar", "holdings")
+
+
 def mean_difference(values: DataFrame) -> DataFrame:
     """(a, b, t): difference of means over the root of summed population variances by size, for each pair of categories."""
     g = values.groupBy("category").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("*").alias("n"))

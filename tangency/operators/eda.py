@@ -35,3 +35,15 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 def shape(laid: DataFrame) -> DataFrame:
     return laid.agg(F.countDistinct("ticker").alias("tickers"), F.countDistinct("date").alias("dates"), F.count("*").alias("cells"), F.count("close").alias("present"))
+
+
+def columns(laid: DataFrame) -> DataFrame:
+    """(ticker, kind, cells, present, nulls) of each series: what a look at a wide panel's columns shows."""
+    kind = dict(laid.dtypes)["close"]
+    return laid.groupBy("ticker").agg(F.lit(kind).alias("kind"), F.count("*").alias("cells"), F.count("close").alias("present"), F.count_if(F.col("close").isNull()).alias("nulls"))
+
+
+def outside(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """(below, above, missing): values that a histogram from ``low`` to ``high`` does not show."""
+    c = F.col(column)
+    return df.agg(F.count_if(c < low).alias("below"), F.count_if(c > high).alias("above"), F.count_if(c.isNull()).alias("missing"))

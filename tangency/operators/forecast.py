@@ -1,19 +1,23 @@
 """Forecasts of return and variance, and dependence between series.
 
-The estimators are approximations, fitted by least squares or a likelihood on a grid: autoregressions chosen by an information criterion stand for an
-automatic ARIMA search, a Gaussian GJR-GARCH(1,1,1) for one with skewed t errors, and rank correlation turned into a t copula's matrix.
+The estimators are approximations, fitted by least squares or a likelihood search: ARIMA orders by a stationarity test and an information criterion with two-stage
+regressions, a Gaussian GJR-GARCH(1,1,1) for one with skewed t errors, and rank correlation turned into a t copula's matrix.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tangency.functions import pvalues
 from tangency.session import ship
 
 YEAR = 252
+KPSS_5 = 0.463  # fixed value: the test's 5 % point
 
 
 def autoregression(y: np.ndarray, orders: range = range(1, 6)) -> tuple[np.ndarray, int]:
@@ -33,20 +37,58 @@ def autoregression(y: np.ndarray, orders: range = range(1, 6)) -> tuple[np.ndarr
     return best[1], best[2]
 
 
+def kpss(y: np.ndarray) -> float:
+    """Statistic of the test that a series is stationary about a level, with Bartlett weights."""
+    n, e = len(y), y - y.mean()
+    lags = int(3 * np.sqrt(n) / 13)
+    long_run = float(e @ e) / n + 2 / n * sum((1 - k / (lags + 1)) * float(e[k:] @ e[:-k]) for k in range(1, lags + 1))
+    return float((np.cumsum(e) ** 2).sum() / (n * n * long_run)) if long_run > 0 else 0.0
+
+
+def differences(y: np.ndarray, most: int = 2) -> int:
+    """How often a series is differenced until the test no longer rejects at 5 %."""
+    d = 0
+    while d < most and len(y) > 12 and kpss(y) > KPSS_5:
+        y, d = np.diff(y), d + 1
+    return d
+
+
+def arma(y: np.ndarray, most_p: int = 3, most_q: int = 2) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """(constant, AR and MA coefficients; p; q; residuals) of the least AIC, by two regressions: residuals of a long autoregression stand for the shocks."""
+    n = len(y)
+    long = max(most_p + most_q, min(10, n // 5))
+    if n < 3 * long + 10:
+        raise ValueError("too short")
+    b, _ = autoregression(y, range(long, long + 1))
+    e = np.concatenate([np.zeros(long), y[long:] - b[0] - sum(b[i + 1] * y[long - i - 1 : n - i - 1] for i in range(long))])
+    start, best = long + most_q, None
+    for p in range(most_p + 1):
+        for q in range(most_q + 1):
+            x = np.column_stack([np.ones(n - start), *(y[start - i - 1 : n - i - 1] for i in range(p)), *(e[start - i - 1 : n - i - 1] for i in range(q))])
+            c, *_ = np.linalg.lstsq(x, y[start:], rcond=None)
+            r = y[start:] - x @ c
+            aic = (n - start) * np.log(max(float((r * r).mean()), 1e-300)) + 2 * (p + q + 1)
+            if np.abs(np.roots([1, *-c[1 : p + 1]])).max(initial=0.0) < 1 and (best is None or aic < best[0]):
+                best = (aic, c, p, q, r)
+    return best[1:]
+
+
 def forecast_return(close: np.ndarray, steps: int = YEAR, least: int = 30) -> float | None:
-    """ln of the last over the first forecast price (at least 1e-4); None if it cannot be told."""
+    """ln of the last over the first forecast price (at least 1e-4) of an ARIMA(p, d, q) of the prices; None if it cannot be told."""
     if len(close) < least:
         return None
     try:
-        d = np.diff(close)
-        b, p = autoregression(d)
-        hist, price, out = list(d[-p:]), float(close[-1]), []
+        d = differences(close)
+        y = np.diff(close, d)
+        c, p, q, e = arma(y)
+        past, shocks = list(y[len(y) - max(p, 1) :]), list(e[len(e) - max(q, 1) :])
         for _ in range(steps):
-            step = float(b[0] + sum(b[i + 1] * hist[-1 - i] for i in range(p)))
-            hist.append(step)
-            price += step
-            out.append(price)
-        value = np.log(max(1e-4, out[-1]) / out[0]) if out[0] > 0 else np.nan
+            past.append(float(c[0] + sum(c[1 + i] * past[-1 - i] for i in range(p)) + sum(c[1 + p + i] * shocks[-1 - i] for i in range(q))))
+            shocks.append(0.0)
+        path = np.array(past[-steps:])
+        for k in range(d, 0, -1):
+            path = np.diff(close, k - 1)[-1] + np.cumsum(path)
+        value = np.log(max(1e-4, path[-1]) / path[0]) if path[0] > 0 else np.nan
         return float(value) if np.isfinite(value) else None
     except (ValueError, np.linalg.LinAlgError):
         return None
@@ -68,16 +110,9 @@ def forecast_variance(ret: np.ndarray, steps: int = YEAR) -> float | None:
     r = 100 * (ret - ret.mean())
     if len(r) < 30 or r.var() <= 0:
         return None
-    best = None
-    for a in (0.01, 0.03, 0.06, 0.1, 0.15):
-        for g in (0.0, 0.04, 0.1):
-            for b in (0.6, 0.75, 0.85, 0.9, 0.95):
-                if a + g / 2 + b < 0.999:
-                    h, w = garch_path(r, a, g, b)
-                    like = float((np.log(h[:-1]) + r * r / h[:-1]).sum())
-                    if best is None or like < best[0]:
-                        best = (like, a + g / 2 + b, w, h[-1])
-    _, keep, w, h = best
+    a, g, b = fitted_garch(r)
+    path, w = garch_path(r, a, g, b)
+    keep, h = a + g / 2 + b, path[-1]
     total, x = 0.0, h
     for _ in range(steps):
         total += x
@@ -132,15 +167,38 @@ def copula_correlation(x: np.ndarray) -> np.ndarray:
 
 
 def standardised(r: np.ndarray) -> np.ndarray:
-    """AR(1)-GARCH residuals over their conditional deviation."""
+    """AR(1)-GARCH(1,1) residuals over their conditional deviation, all of them; the margin is fitted to the series (``fitted_garch``)."""
     b, p = autoregression(r, range(1, 2))
     e = r[p:] - b[0] - b[1] * r[:-1]
     if e.var() <= 0:
         return e
-    h, _ = garch_path(e, 0.06, 0.0, 0.9)
+    a, _, keep = fitted_garch(e, (0.0,))
+    h, _ = garch_path(e, a, 0.0, keep)
     return e / np.sqrt(np.maximum(h[:-1], 1e-300))
 
 
+def fitted_garch(r: np.ndarray, skews: tuple[float, ...] = (0.0, 0.04, 0.1)) -> tuple[float, float, float]:
+    """(a, g, b) of the largest Gaussian likelihood: a grid, then halving steps around its best."""
+
+    def loss(x: tuple[float, float, float]) -> float:
+        a, g, b = x
+        if a < 0 or b < 0 or a + g < 0 or a + g / 2 + b >= 0.999:
+            return np.inf
+        h, _ = garch_path(r, a, g, b)
+        return float((np.log(np.maximum(h[:-1], 1e-300)) + r * r / np.maximum(h[:-1], 1e-300)).sum())
+
+    best = min(((a, g, b) for a in (0.01, 0.05, 0.1, 0.2) for g in skews for b in (0.5, 0.75, 0.85, 0.93)), key=loss)
+    least, step = loss(best), 0.04
+    while step > 0.004:
+        near = [tuple(v + (step * s if i == k else 0.0) for i, v in enumerate(best)) for k in range(3) if k != 1 or len(skews) > 1 for s in (-1, 1)]
+        found = min(near, key=loss)
+        if loss(found) < least:
+            best, least = found, loss(found)
+        else:
+            step /= 2
+    return best
+
+
 def copula_correlations(chosen: DataFrame, rets: DataFrame) -> DataFrame:
     """(portfolio_id, ti, tj, rho); the sample correlation where the estimate fails."""
     ship(rets.sparkSession)
@@ -160,11 +218,37 @@ def copula_correlations(chosen: DataFrame, rets: DataFrame) -> DataFrame:
     return chosen.join(rets, "ticker").select("portfolio_id", "ticker", "t", "ret").groupBy("portfolio_id").applyInPandas(run, "portfolio_id string, ti string, tj string, rho double")
 
 
-def copula_likelihoods(rho: np.ndarray, u: np.ndarray, df: float = 5.0) -> tuple[float, float]:
-    """(Gaussian, t) copula-kernel log likelihoods of normal scores ``u``, up to terms of the margins."""
-    n, d = u.shape
-    q = np.einsum("ij,jk,ik->i", u, np.linalg.inv(rho), u)
+def copula_likelihoods(rho: np.ndarray, x: np.ndarray, df: float = 5.0) -> tuple[float, float]:
+    """(Gaussian, t) log likelihoods of the copulas with matrix ``rho``, of the ranks of the columns of ``x``; densities with all constants, so the two compare."""
+    n, d = x.shape
+    u = (np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0) + 1) / (n + 1)
+    inverse = np.linalg.inv(rho)
     _, logdet = np.linalg.slogdet(rho)
-    gauss = float(-0.5 * n * logdet - 0.5 * (q - (u * u).sum(1)).sum())
-    t = float(-0.5 * n * logdet - 0.5 * (df + d) * np.log1p(q / df).sum() + 0.5 * (df + 1) * np.log1p(u * u / df).sum())
-    return gauss, t
+    z = pvalues.normal_quantiles(u)
+    gauss = float(-0.5 * n * logdet - 0.5 * (np.einsum("ij,jk,ik->i", z, inverse, z) - (z * z).sum(axis=1)).sum())
+    points, cdf = pvalues.t_cdf_table(df)
+    y = np.interp(u, cdf, points)
+    q = np.einsum("ij,jk,ik->i", y, inverse, y)
+    joint = math.lgamma((df + d) / 2) - math.lgamma(df / 2) - 0.5 * d * math.log(df * math.pi) - 0.5 * logdet - 0.5 * (df + d) * np.log1p(q / df)
+    margin = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - 0.5 * (df + 1) * np.log1p(y * y / df)
+    return gauss, float((joint - margin.sum(axis=1)).sum())
+
+
+def copula_diagnostics(chosen: DataFrame, rets: DataFrame, lags: int = 10, alpha: float = 0.05) -> DataFrame:
+    """(portfolio_id, ticker, q, p, adequate, gaussian, t): Ljung-Box on each series' squared standardised residuals, and the two copulas' log likelihoods of the portfolio."""
+    ship(rets.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="t", columns="ticker", values="ret").sort_index()
+        names = list(wide.columns)
+        x = np.column_stack([standardised(wide[c].to_numpy(float)) for c in names])
+        gauss, t = copula_likelihoods(copula_correlation(x), x)
+        y = x * x - (x * x).mean(axis=0)
+        n, c0 = len(x), (y * y).sum(axis=0)
+        rho = np.array([(y[k:] * y[:-k]).sum(axis=0) / np.maximum(c0, 1e-300) for k in range(1, lags + 1)])
+        q = n * (n + 2) * (rho**2 / (n - np.arange(1, lags + 1))[:, None]).sum(axis=0)
+        p = [pvalues.chi2_sf(float(v), lags) for v in q]
+        return pd.DataFrame({"portfolio_id": pdf["portfolio_id"].iloc[0], "ticker": names, "q": q, "p": p, "adequate": [v >= alpha for v in p], "gaussian": gauss, "t": t})
+
+    series = chosen.join(rets, "ticker").select("portfolio_id", "ticker", "t", "ret")
+    return series.groupBy("portfolio_id").applyInPandas(run, "portfolio_id string, ticker string, q double, p double, adequate boolean, gaussian double, t double")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tangency.durable import written
+from tangency.operators import clean
 from tangency.session import ship
 
 YEAR = 252
+MANY = 400  # tickers from which covariances are summed up in blocks
+GRAM_TASKS = 32  # of blocked sums: each sends one square of the universe
 
 
 def log_returns(laid: DataFrame, drop_first: bool = False, fill: bool = True) -> DataFrame:
@@ -37,6 +44,11 @@ def with_forecast(history: DataFrame, forecast: DataFrame, ceiling: float = 0.5)
     return history.join(f, "ticker", "left").select("ticker", F.when(bad, F.col("mu")).otherwise(F.col("f")).alias("mu"))
 
 
+def covariance_matrix(rets: DataFrame, year: int = YEAR) -> DataFrame:
+    """(ti, tj, cov) of all ordered pairs, by the form that fits the number of tickers; ``rets`` should be a table, it is read twice."""
+    return covariances_gram(rets, year) if rets.select("ticker").distinct().count() > MANY else covariances(rets, year)
+
+
 def covariances(rets: DataFrame, year: int = YEAR) -> DataFrame:
     """(ti, tj, cov) of all ordered pairs: half of the pairs by a join on the date, then mirrored.  For some hundreds of tickers."""
     a = rets.select(F.col("ticker").alias("ti"), "t", F.col("ret").alias("x"))
@@ -48,40 +60,72 @@ def covariances(rets: DataFrame, year: int = YEAR) -> DataFrame:
 
 
 def covariances_gram(rets: DataFrame, year: int = YEAR, block: int = 512) -> DataFrame:
-    """The same for thousands of tickers: each task sums the products of its dates' centred vectors, blocks of columns at a time.
+    """The same for thousands of tickers: tasks add up the products of centred vectors of dates, blocks of columns at a time.
 
-    A task's partial is the tickers' square in blocks of ``block``; partials meet by block, so no join of date with date grows with n squared rows.
+    Sums travel as arrays, one for each block and task (``GRAM_TASKS``), meet by block and become rows once.
     """
     ship(rets.sparkSession)
-    names = [r[0] for r in rets.select("ticker").distinct().orderBy("ticker").collect()]  # the universe, thousands at most
+    means = {r[0]: r[1] for r in rets.groupBy("ticker").agg(F.avg("ret")).collect()}  # the universe, thousands at most
+    names = sorted(means)
     place = {n: i for i, n in enumerate(names)}
-    n = len(names)
-    means = {r[0]: r[1] for r in rets.groupBy("ticker").agg(F.avg("ret")).collect()}
-    centre = np.array([means[x] for x in names])
-    days = rets.select("t").distinct().count()
+    n, centre = len(names), np.array([means[x] for x in names])
+    days = rets.agg(F.countDistinct("t")).first()[0]
     vectors = rets.groupBy("t").agg(F.collect_list("ticker").alias("who"), F.collect_list("ret").alias("what"))
-    out = pa.schema([("bi", pa.int32()), ("bj", pa.int32()), ("sums", pa.list_(pa.float64()))])
+    out = pa.schema([("bi", pa.int32()), ("bj", pa.int32()), ("sums", pa.binary())])
+    corners = [(i, j) for i in range(0, n, block) for j in range(i, n, block)]
 
     def partial(batches):
-        held = []
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for who, what in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                v = centre.copy()
-                v[[place[x] for x in who]] = what
-                held.append(v - centre)
-        if held:
-            x = np.array(held)
-            for i in range(0, n, block):
-                for j in range(i, n, block):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([(x[:, i : i + block].T @ x[:, j : j + block]).ravel()], pa.list_(pa.float64()))], schema=out)
-
-    parts = vectors.mapInArrow(partial, "bi int, bj int, sums array<double>")
-    cells = parts.select("bi", "bj", F.posexplode("sums").alias("at", "s")).groupBy("bi", "bj", "at").agg((F.sum("s") / (days - 1) * year).alias("cov"))
-    wide = F.least(F.lit(block), F.lit(n) - F.col("bj"))
-    placed = cells.select((F.col("bi") + F.floor(F.col("at") / wide)).cast("int").alias("i"), (F.col("bj") + F.pmod("at", wide)).cast("int").alias("j"), "cov").where("i <= j")
-    lookup = rets.sparkSession.createDataFrame(list(enumerate(names)), "k int, name string")
-    half = placed.join(F.broadcast(lookup), F.col("i") == F.col("k")).withColumnRenamed("name", "ti").drop("k").join(F.broadcast(lookup), F.col("j") == F.col("k")).withColumnRenamed("name", "tj")
-    return half.select("ti", "tj", "cov").union(half.where("ti <> tj").select("tj", "ti", "cov"))
+            for s in range(0, batch.num_rows, 64):
+                x = np.zeros((min(64, batch.num_rows - s), n))
+                for k, (who, what) in enumerate(zip(batch.column(1).slice(s, 64).to_pylist(), batch.column(2).slice(s, 64).to_pylist(), strict=True)):
+                    at = [place[y] for y in who]
+                    x[k, at] = np.array(what, float) - centre[at]
+                for i, j in corners:
+                    one = x[:, i : i + block].T @ x[:, j : j + block]
+                    sums[i, j] = sums[i, j] + one if (i, j) in sums else one
+        for (i, j), one in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([one.tobytes()], pa.binary())], schema=out)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+        wide, high = min(block, n - j), min(block, n - i)
+        c = sum(np.frombuffer(x).reshape(high, wide) for x in pdf["sums"]) / (days - 1) * year
+        ti, tj = np.repeat(names[i : i + high], wide), np.tile(names[j : j + wide], high)
+        half = np.ones((high, wide), bool) if i != j else np.triu(np.ones((high, wide), bool))
+        half = half.ravel()
+        rows = pd.DataFrame({"ti": ti[half], "tj": tj[half], "cov": c.ravel()[half]})
+        other = rows[rows["ti"] != rows["tj"]].rename(columns={"ti": "tj", "tj": "ti"})
+        return pd.concat([rows, other[["ti", "tj", "cov"]]])
+
+    parts = vectors.coalesce(GRAM_TASKS).mapInArrow(partial, "bi int, bj int, sums binary")
+    return parts.groupBy("bi", "bj").applyInPandas(total, "ti string, tj string, cov double")
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """What an optimisation starts from: returns, expected returns and forecast variances (None: the sample's)."""
+
+    rets: DataFrame
+    mu: DataFrame
+    variances: DataFrame | None
+
+
+def inputs(prices: DataFrame | None, forecast: DataFrame | None = None, rule: str = "int", share: float = 0.95) -> Inputs:
+    """Cleans ``prices`` and takes their moments; ``forecast`` (ticker, mu, variance) takes the place of history where it can be told, and all of it where it is missing.
+
+    No prices, an empty table, or one in which no ticker is covered, is a ValueError.
+    """
+    if prices is None or prices.isEmpty():
+        raise ValueError("no prices")
+    rets = written(log_returns(clean.cleaned(written(prices, "prices"), rule, share)), "returns")
+    if rets.isEmpty():
+        raise ValueError("no ticker has enough prices")
+    history = expected(rets)
+    if forecast is None or forecast.isEmpty():
+        return Inputs(rets, history, None)
+    return Inputs(rets, with_forecast(history, forecast), forecast.select("ticker", "variance"))
 
 
 def correlations(cov: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,17 +11,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tangency.functions.randomness import digest, uniform
+from tangency.operators import weights
 from tangency.operators.portfolio import equal_weight_fitness
 from tangency.session import ship
 
+UNIVERSE = 100_000  # tickers that are sent to all tasks at most; a ticker is some bytes
+
 # ------------------------------------------------------------------------------------------- set-based operators
 
 
+def small(tickers: DataFrame) -> DataFrame:
+    """The universe as a table that may be broadcast: an error beyond ``UNIVERSE`` tickers, where a search over all of them has no sense."""
+    names = tickers.select("ticker").limit(UNIVERSE + 1).collect()
+    if len(names) > UNIVERSE:
+        raise ValueError(f"over {UNIVERSE} tickers: narrow the universe first")
+    return F.broadcast(tickers.sparkSession.createDataFrame(names, "ticker string"))
+
+
 def bernoulli(ids: DataFrame, tickers: DataFrame, most: int, n: int, seed: int, least: int = 0) -> DataFrame:
     """Each ticker with probability most / n; with ``least``, candidates below it take the ``least`` first tickers by hash instead."""
     if not 0 < most <= n:
         raise ValueError("the largest number of holdings must lie in 1 .. number of tickers")
-    each = ids.select("candidate_id").join(F.broadcast(tickers.select("ticker")), F.lit(True))
+    each = ids.select("candidate_id").join(small(tickers), F.lit(True))
     gene = uniform(seed, "init", F.col("candidate_id"), F.col("ticker")) < most / n
     if not least:
         return each.where(gene)
@@ -32,7 +44,7 @@ def bernoulli(ids: DataFrame, tickers: DataFrame, most: int, n: int, seed: int,
 def subsets(ids: DataFrame, tickers: DataFrame, least: int, most: int, seed: int) -> DataFrame:
     """Uniform subsets of k tickers without replacement, k uniform in least .. most."""
     k = least + F.floor(uniform(seed, "k", F.col("candidate_id")) * (most - least + 1))
-    each = ids.select("candidate_id", k.alias("k")).join(F.broadcast(tickers.select("ticker")), F.lit(True))
+    each = ids.select("candidate_id", k.alias("k")).join(small(tickers), F.lit(True))
     r = F.row_number().over(Window.partitionBy("candidate_id").orderBy(digest(seed, "pick", F.col("candidate_id"), F.col("ticker"))))
     return each.withColumn("r", r).where("r <= k").select("candidate_id", "ticker")
 
@@ -52,7 +64,7 @@ def crossover(parents: DataFrame, genes: DataFrame, tickers: DataFrame, children
     for i in ("1", "2"):
         kids = kids.join(parents.select("island", F.col("rank").alias(f"r{i}"), F.col("candidate_id").alias(f"c{i}")), ["island", f"r{i}"])
     held = genes.select("candidate_id", "ticker").withColumn("one", F.lit(1))
-    each = kids.join(F.broadcast(tickers.select("ticker")), F.lit(True))
+    each = kids.join(small(tickers), F.lit(True))
     for i in ("1", "2"):
         each = each.join(held.select(F.col("candidate_id").alias(f"c{i}"), "ticker", F.col("one").alias(f"g{i}")), [f"c{i}", "ticker"], "left")
     gene = F.when(uniform(seed, "coin", F.col("island"), F.col("child"), F.col("ticker")) < 0.5, F.coalesce("g1", F.lit(0))).otherwise(F.coalesce("g2", F.lit(0)))
@@ -94,16 +106,19 @@ class Inputs:
 
     @staticmethod
     def of(mu: DataFrame, cov: DataFrame) -> Inputs:
-        rows = sorted((r["ticker"], r["mu"]) for r in mu.select("ticker", "mu").collect())
-        names = tuple(r[0] for r in rows)
+        """Names and returns, and the covariance as a row of numbers for each name."""
+        got = sorted((r["ticker"], r["mu"]) for r in mu.select("ticker", "mu").collect())
+        names = tuple(r[0] for r in got)
         if not names:
             raise ValueError("no tickers")
-        place = {n: i for i, n in enumerate(names)}
+        number = mu.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "ticker string, i int")
+        i, j = number.select(F.col("ticker").alias("ti"), "i"), number.select(F.col("ticker").alias("tj"), F.col("i").alias("j"))
+        rows = cov.join(F.broadcast(i), "ti").join(F.broadcast(j), "tj").groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("cov").alias("cov"))
         c = np.zeros((len(names), len(names)))
-        for r in cov.select("ti", "tj", "cov").collect():
-            if r[0] in place and r[1] in place:
-                c[place[r[0]], place[r[1]]] = r[2]
-        return Inputs(names, np.array([r[1] for r in rows], dtype=float), c)
+        for batch in rows.toArrow().to_batches():
+            for k, at, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                c[k, at.values.to_numpy()] = values.values.to_numpy(zero_copy_only=False)
+        return Inputs(names, np.array([r[1] for r in got], dtype=float), c)
 
 
 @dataclass(frozen=True)
@@ -146,22 +161,29 @@ class Genetic:
     saturate: int | None = None  # generations without gain after which a run stops
 
 
-def evolve(genes: np.ndarray, x: Inputs, rules: Rules, g: Genetic, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray, list[float]]:
-    """``rounds`` generations of one island; the best of each is recorded before it is replaced."""
+def evolve(genes: np.ndarray, x: Inputs, rules: Rules, g: Genetic, rounds: int, rng: np.random.Generator, until: float | None = None, score=fitness) -> tuple[np.ndarray, list[tuple[float, float, float, np.ndarray]]]:
+    """``rounds`` generations of one island; of each (wall clock, best and mean fitness, best genes) is recorded before it is replaced.
+
+    Stops after the generation in which the clock passes ``until``, and after ``g.saturate`` generations without gain.
+    """
     n = genes.shape[1]
     rate, seen = g.mutation if g.mutation is not None else 1.0 / n, []
     for _ in range(rounds):
-        f = fitness(genes, x, rules)
+        f = score(genes, x, rules)
         order = np.argsort(-f, kind="stable")
-        seen.append(float(f[order[0]]))
+        seen.append((time.time(), float(f[order[0]]), float(f.mean()), genes[order[0]].copy()))
+        if until is not None and seen[-1][0] > until:
+            break
+        if g.saturate and len(seen) > g.saturate and seen[-1][1] <= seen[-1 - g.saturate][1]:
+            break
         elite = genes[order[: g.elites]]
         pool = order[: max(2, int(g.parents * len(genes)))]
-        weights = None
+        weight = None
         if g.selection == "rank":
-            weights = np.arange(len(pool), 0, -1.0)
-            weights /= weights.sum()
+            weight = np.arange(len(pool), 0, -1.0)
+            weight /= weight.sum()
         kids = len(genes) - len(elite)
-        p1, p2 = rng.choice(pool, kids, p=weights), rng.choice(pool, kids, p=weights)
+        p1, p2 = rng.choice(pool, kids, p=weight), rng.choice(pool, kids, p=weight)
         if g.crossover == "uniform":
             mask = rng.random((kids, n)) < 0.5
         else:
@@ -170,48 +192,116 @@ def evolve(genes: np.ndarray, x: Inputs, rules: Rules, g: Genetic, rounds: int,
         child = np.where(mask, genes[p1], genes[p2])
         child ^= rng.random((kids, n)) < rate
         genes = np.concatenate([elite, child])
-        if g.saturate and len(seen) > g.saturate and seen[-1] <= seen[-1 - g.saturate]:
-            break
     return genes, seen
 
 
-def island_search(spark: SparkSession, x: Inputs, rules: Rules, g: Genetic, seed: int) -> DataFrame:
-    """(island, generation, best_fitness, holdings): islands in parallel tasks, ring migration between rounds on the driver's small state.
+HISTORY = "island int, generation int, seconds double, best_fitness double, mean_fitness double, holdings string"
 
-    State between rounds is the islands' populations as bits, some kilobytes each.
+
+def island_search(spark: SparkSession, x: Inputs, rules: Rules, g: Genetic, seed: int, budget: float | None = None) -> DataFrame:
+    """(island, generation, seconds, best_fitness, mean_fitness, holdings): islands in parallel tasks, ring migration between rounds.
+
+    State between rounds is the islands' populations as bits, some kilobytes each; fitness is told by the tasks.  ``budget`` seconds end the search with the generation that passes them.
     """
     ship(spark)
-    shared = spark.sparkContext.broadcast((x, rules, g))
+    shared = spark.sparkContext.broadcast((x, rules, g))  # a universe of thousands at most
     size, n = max(2, g.population // g.islands), len(x.names)
     rng = np.random.default_rng(seed)
-    most = min(rules.most, n)
-    states = [(rng.random((size, n)) < most / n) for _ in range(g.islands)]
-    history: list[tuple[int, int, float, str]] = []
-    done = 0
-    while done < g.generations:
-        rounds = min(g.interval, g.generations - done)
-        start = [(i, int(rng.integers(1 << 31)), np.packbits(s).tobytes()) for i, s in enumerate(states)]
-
-        def step(frames, rounds=rounds, size=size, n=n):
-            data, rule, how = shared.value
-            for pdf in frames:
-                out = []
-                for r in pdf.itertuples():
-                    genes = np.unpackbits(np.frombuffer(r.bits, np.uint8))[: size * n].reshape(size, n).astype(bool)
-                    genes, seen = evolve(genes, data, rule, how, rounds, np.random.default_rng(r.seed))
-                    out.append((r.island, np.packbits(genes).tobytes(), [float(v) for v in seen]))
-                yield pd.DataFrame(out, columns=["island", "bits", "seen"])
-
-        frame = spark.createDataFrame(start, "island int, seed long, bits binary").repartition(g.islands, "island")
-        for r in sorted(frame.mapInPandas(step, "island int, bits binary, seen array<double>").collect()):
-            states[r["island"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: size * n].reshape(size, n).astype(bool)
-            top = states[r["island"]][np.argmax(fitness(states[r["island"]], x, rules))]
-            held = ",".join(np.array(x.names)[top])
-            history += [(r["island"], done + i, v, held) for i, v in enumerate(r["seen"])]
-        done += rounds
-        move = int(g.migration * size)
-        if move and g.islands > 1 and done < g.generations:
-            tops = [s[np.argsort(-fitness(s, x, rules), kind="stable")[:move]] for s in states]
+    states = [(rng.random((size, n)) < min(rules.most, n) / n) for _ in range(g.islands)]
+    began, history, done = time.time(), [], [0] * g.islands
+    until = None if budget is None else began + budget
+    move = int(g.migration * size) if g.islands > 1 else 0
+
+    def step(frames):
+        data, rule, how = shared.value
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                genes = np.unpackbits(np.frombuffer(r.bits, np.uint8))[: size * n].reshape(size, n).astype(bool)
+                genes, seen = evolve(genes, data, rule, how, int(r.rounds), np.random.default_rng(r.seed), until)
+                tops = np.argsort(-fitness(genes, data, rule), kind="stable")[:move]
+                held = [",".join(np.array(data.names)[best]) for *_, best in seen]
+                out.append((r.island, np.packbits(genes).tobytes(), np.packbits(genes[tops]).tobytes(), [s[0] for s in seen], [s[1] for s in seen], [s[2] for s in seen], held))
+            yield pd.DataFrame(out, columns=["island", "bits", "tops", "clock", "best", "mean", "held"])
+
+    while max(done) < g.generations and (until is None or time.time() <= until):
+        rounds = min(g.interval, g.generations - max(done))
+        start = [(i, int(rng.integers(1 << 31)), rounds, np.packbits(s).tobytes()) for i, s in enumerate(states)]
+        frame = spark.createDataFrame(start, "island int, seed long, rounds int, bits binary").repartition(g.islands, "island")
+        found = sorted(frame.mapInPandas(step, "island int, bits binary, tops binary, clock array<double>, best array<double>, mean array<double>, held array<string>").collect(), key=lambda r: r["island"])
+        tops = {}
+        for r in found:
+            i = r["island"]
+            states[i] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: size * n].reshape(size, n).astype(bool)
+            tops[i] = np.unpackbits(np.frombuffer(r["tops"], np.uint8))[: move * n].reshape(move, n).astype(bool)
+            history += [(i, done[i] + k, max(0.0, c - began), b, m, h) for k, (c, b, m, h) in enumerate(zip(r["clock"], r["best"], r["mean"], r["held"], strict=True))]
+            done[i] += len(r["best"])
+        if min(len(r["best"]) for r in found) < rounds:
+            break  # saturated, or out of time
+        if move:
             for i, s in enumerate(states):
                 s[rng.choice(size, move, replace=False)] = tops[(i - 1) % g.islands]
-    return spark.createDataFrame(history, "island int, generation int, best_fitness double, holdings string")
+    return spark.createDataFrame(history, HISTORY)
+
+
+def best_over_islands(history: DataFrame) -> DataFrame:
+    """(island, generation, best_fitness, holdings) of the largest fitness; of equals the first island and generation."""
+    return history.orderBy(F.desc("best_fitness"), "island", "generation").limit(1).select("island", "generation", "best_fitness", "holdings")
+
+
+# ------------------------------------------------------------------------------- choices scored by their best weights
+
+
+@dataclass(frozen=True)
+class Box:
+    """Bounds of weights in ``optimised_fitness``."""
+
+    low: float = 0.0
+    high: float = 0.45
+
+
+def optimised_fitness(genes: np.ndarray, x: Inputs, rules: Rules, box: Box = Box()) -> np.ndarray:
+    """Of 0/1 rows: the best ratio of the chosen names (-1 below two), less the squared excess or lack of names.
+
+    All different rows of up to ``2 * rules.most`` names are solved together; larger ones, which the penalty rules out, one by one.
+    """
+    different, of = np.unique(genes, axis=0, return_inverse=True)
+    k = different.sum(axis=1)
+    out = np.full(len(different), -1.0)
+    together = np.flatnonzero((k >= 2) & (k <= 2 * rules.most))
+    for s in range(0, len(together), 256):
+        part = together[s : s + 256]
+        out[part] = weights.best_ratios([x.mu[different[i]] for i in part], [x.cov[np.ix_(different[i], different[i])] for i in part], box.low, box.high)
+    for i in np.flatnonzero(k > 2 * rules.most):
+        out[i] = weights.best_ratios([x.mu[different[i]]], [x.cov[np.ix_(different[i], different[i])]], box.low, box.high)[0]
+    return (out - np.maximum(0, k - rules.most) ** 2 - np.maximum(0, rules.least - k) ** 2)[of.ravel()]
+
+
+#: The generational search over choices scored by their best weights.
+CARDINALITY = Genetic(population=100, generations=6, elites=0, parents=0.1, crossover="point", crossover_rate=0.85, selection="rank", islands=1, migration=0, saturate=5)
+
+
+def cardinality_portfolios(spark: SparkSession, x: Inputs, rules: Rules, g: Genetic, seeds: list[int], box: Box = Box(), budget: float | None = None) -> DataFrame:
+    """(portfolio, generations, fitness, mean_fitness, ticker): one search for each seed, each a task; a row for each name held.
+
+    A first individual with under ``rules.least`` names is drawn anew.  ``fitness`` is the best seen, ``mean_fitness`` the last generation's.
+    """
+    ship(spark)
+    shared = spark.sparkContext.broadcast((x, rules, g, box))  # a universe of thousands at most
+
+    def run(frames):
+        data, rule, how, bounds = shared.value
+        n = len(data.names)
+        for pdf in frames:
+            for portfolio, seed in zip(pdf["portfolio"], pdf["seed"], strict=True):
+                rng = np.random.default_rng(int(seed))
+                genes = rng.random((how.population, n)) < min(rule.most, n) / n
+                while (few := genes.sum(axis=1) < min(rule.least, n)).any():
+                    genes[few] = rng.random((int(few.sum()), n)) < max(rule.most, 1) / n
+                until = None if budget is None else time.time() + budget
+                _, seen = evolve(genes, data, rule, how, how.generations, rng, until, lambda a, b, c: optimised_fitness(a, b, c, bounds))
+                _, best, _, top = max(seen, key=lambda s: s[1])
+                yield pd.DataFrame({"portfolio": int(portfolio), "generations": len(seen), "fitness": best, "mean_fitness": seen[-1][2], "ticker": [data.names[i] for i in np.flatnonzero(top)]})
+
+    rows = spark.createDataFrame(list(enumerate(seeds)), "portfolio long, seed long").repartition(len(seeds), "portfolio")
+    return rows.mapInPandas(run, "portfolio long, generations int, fitness double, mean_fitness double, ticker string")

@@ -87,8 +87,32 @@ def range_p(q: pd.Series, k: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def wilcoxon_p(w: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or a != a else pvalues.wilcoxon_sf(a, int(b)) for a, b in zip(w, n, strict=True)])
+def wilcoxon_p(w: pd.Series, ranks: pd.Series, pairs: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or a != a else pvalues.signed_rank_p(a, list(r), int(n)) for a, r, n in zip(w, ranks, pairs, strict=True)])
+
+
+def wilcoxon_pairs(runs: DataFrame) -> DataFrame:
+    """(a, b, pairs, n, w, p) for each two algorithms: signed ranks over their common seeds, zero differences left out, p with ties; null below five seeds."""
+    x = runs.select(F.col("algorithm").alias("a"), "seed", F.col("fitness").alias("x"))
+    y = runs.select(F.col("algorithm").alias("b"), "seed", F.col("fitness").alias("y"))
+    d = x.join(y, "seed").where("a < b").select("a", "b", "seed", (F.col("x") - F.col("y")).alias("d"))
+    r = d.withColumn("__value", F.abs("d")).withColumn("zero", F.col("d") == 0)
+    r = r.withColumn("rank", F.when(~F.col("zero"), average_rank(["a", "b", "zero"], F.abs("d"))))
+    g = r.groupBy("a", "b").agg(
+        F.count("*").alias("pairs"), F.count("rank").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("rank"))), F.lit(0.0)).alias("minus"), F.collect_list("rank").alias("ranks")
+    )
+    w = F.when(F.col("pairs") >= 5, F.least("plus", "minus"))
+    return g.select("a", "b", "pairs", "n", w.alias("w"), "ranks").withColumn("p", wilcoxon_p("w", "ranks", "pairs")).drop("ranks")
+
+
+def boxes(runs: DataFrame) -> DataFrame:
+    """What a box plot of each algorithm's feasible runs shows: quartiles, whiskers at the last values within 1.5 interquartile ranges, and how many lie beyond."""
+    ok = runs.where(F.col("fitness") > FEASIBLE)
+    q = [F.percentile("fitness", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    own = ok.join(ok.groupBy("algorithm").agg(*q), "algorithm")
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.col("fitness").between(F.col("q1") - reach, F.col("q3") + reach)
+    return own.groupBy("algorithm", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("fitness"))).alias("low"), F.max(F.when(inside, F.col("fitness"))).alias("high"), F.count_if(~inside).alias("beyond"))
 
 
 def best_so_far(records: DataFrame) -> DataFrame:
@@ -97,7 +121,10 @@ def best_so_far(records: DataFrame) -> DataFrame:
 
 
 def aocc(records: DataFrame, budget: float, reference: float) -> DataFrame:
-    """Area over the convergence curve: the mean shortfall from the reference over the budget, steps from the left, none before the first record."""
+    """Area over the convergence curve: the mean shortfall from the reference over the budget, steps from the left, none before the first record.
+
+    A run without a record inside the budget falls short by all of it, 1; without a positive reference all are infinite.
+    """
     w = Window.partitionBy("algorithm", "seed").orderBy("time")
     inside = records.where(F.col("time") <= budget)
     until = F.coalesce(F.lead("time").over(w), F.lit(float(budget)))
@@ -105,7 +132,11 @@ def aocc(records: DataFrame, budget: float, reference: float) -> DataFrame:
     short = F.greatest(F.lit(0.0), F.lit(float(reference)) - F.col("best"))
     area = short * (until - F.col("time")) + F.when(first, F.lit(float(max(0.0, reference))) * F.col("time")).otherwise(0.0)
     steps = inside.withColumn("area", area)
-    return steps.groupBy("algorithm", "seed").agg((F.sum("area") / (budget * reference) if reference > 0 else F.lit(float("inf"))).alias("aocc"))
+    every = records.select("algorithm", "seed").distinct()
+    if reference <= 0:
+        return every.withColumn("aocc", F.lit(float("inf")))
+    sums = steps.groupBy("algorithm", "seed").agg((F.sum("area") / (budget * reference)).alias("aocc"))
+    return every.join(sums, ["algorithm", "seed"], "left").withColumn("aocc", F.coalesce("aocc", F.lit(1.0)))
 
 
 def on_grid(records: DataFrame, budget: float, points: int) -> DataFrame:

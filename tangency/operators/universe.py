@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Symbols of common stocks, and words in names of other securities.
 COMMON_SYMBOL = "^[A-Z]{1,5}$"
-OTHER_SECURITIES = ("Warrant", "Right", "Unit", "Preferred", "Depositary", "Notes")
+OTHER_SECURITIES = ("Warrant", "Rights", "Units", "Preferred", "Debenture", "Notes")
 
 
 def universe(parts: list[tuple[str, DataFrame]]) -> DataFrame:

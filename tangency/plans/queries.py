@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tangency.durable import new_path, written
 from tangency.functions.randomness import uniform
 from tangency.operators import backtest, clean, eda, forecast, moments, portfolio, search, stats, universe, weights
-from tangency.sources.panels import brand_month, table, type_day, user_day
+from tangency.plans import benchmark
+from tangency.sources import panels
+from tangency.sources.panels import table
+from tangency.sources.store import Store
 
 SEED = 7
-MONTE_CARLO_TRIALS = 2000
+MONTE_CARLO_TRIALS = 20_000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -28,6 +32,20 @@ def query(f: Query) -> Query:
 
 # --------------------------------------------------------------------------------------------- shared pieces
 
+# Panels, returns and covariances are small beside the tables they come from and are read several times: each is written once a query.
+
+
+def brand_month(s: SparkSession, d: str) -> DataFrame:
+    return written(panels.brand_month(s, d), "brand-month")
+
+
+def user_day(s: SparkSession, d: str) -> DataFrame:
+    return written(panels.user_day(s, d), "user-day")
+
+
+def type_day(s: SparkSession, d: str) -> DataFrame:
+    return written(panels.type_day(s, d), "type-day")
+
 
 def brands(s: SparkSession, d: str) -> DataFrame:
     return clean.cleaned(brand_month(s, d))
@@ -38,7 +56,16 @@ def types(s: SparkSession, d: str) -> DataFrame:
 
 
 def rets(s: SparkSession, d: str) -> DataFrame:
-    return moments.log_returns(brands(s, d))
+    return written(moments.log_returns(brands(s, d)), "returns")
+
+
+def covs(r: DataFrame) -> DataFrame:
+    return written(moments.covariance_matrix(r), "covariances")
+
+
+def store(s: SparkSession) -> Store:
+    """A new, empty store."""
+    return Store(s, new_path(s, "store"))
 
 
 def chosen(s: SparkSession, r: DataFrame) -> DataFrame:
@@ -72,7 +99,7 @@ BUDGET = 30.0
 
 @query
 def panel_brand_month(s, d):
-    return brand_month(s, d).select("ticker", "date", F.ln("close").alias("log_close"))
+    return panels.brand_month(s, d).select("ticker", "date", F.ln("close").alias("log_close"))
 
 
 @query
@@ -117,14 +144,14 @@ def train_split(s, d):
 
 @query
 def wide_to_long(s, d):
-    wide = clean.grid(type_day(s, d)).groupBy("date").pivot("ticker").agg(F.first("close"))
+    wide = written(clean.grid(type_day(s, d)), "grid").groupBy("date").pivot("ticker").agg(F.first("close"))
     return wide.unpivot(["date"], [c for c in wide.columns if c != "date"], "ticker", "close").where("close is not null")
 
 
 @query
 def restrict_universe(s, d):
     keep = table(s, d, "part").where("p_size > 45").select(F.col("p_brand").alias("ticker")).distinct()
-    return universe.restrict(brand_month(s, d), keep).select("ticker", "date", F.ln("close").alias("log_close"))
+    return universe.restrict(panels.brand_month(s, d), keep).select("ticker", "date", F.ln("close").alias("log_close"))
 
 
 # -------------------------------------------------------------------------------------------------- moments
@@ -157,7 +184,7 @@ def variances(s, d):
 
 @query
 def cov_matrix(s, d):
-    return moments.covariances(rets(s, d))
+    return moments.covariance_matrix(rets(s, d))
 
 
 @query
@@ -167,12 +194,12 @@ def cov_matrix_gram(s, d):
 
 @query
 def cov_matrix_daily(s, d):
-    return moments.covariances(moments.log_returns(brands(s, d), drop_first=True), 1)
+    return moments.covariances(written(moments.log_returns(brands(s, d), drop_first=True), "returns"), 1)
 
 
 @query
 def corr_matrix(s, d):
-    return moments.correlations(moments.covariances(rets(s, d)))
+    return moments.correlations(covs(rets(s, d)))
 
 
 def some_forecasts(mu: DataFrame, var: DataFrame) -> DataFrame:
@@ -191,14 +218,14 @@ def forecast_override(s, d):
 @query
 def ccc_cov(s, d):
     r = rets(s, d)
-    cov = moments.covariances(r)
+    cov = covs(r)
     return moments.constant_correlation(cov, moments.correlations(cov), some_forecasts(moments.expected(r), moments.variances(r)))
 
 
 @query
 def ccc_cov_fallback(s, d):
     r = rets(s, d)
-    cov = moments.covariances(r)
+    cov = covs(r)
     f = some_forecasts(moments.expected(r), moments.variances(r)).where(uniform(SEED, "lack", F.col("ticker")) < 0.5)
     return moments.constant_correlation(cov, moments.correlations(cov), f)
 
@@ -210,7 +237,7 @@ def ccc_cov_fallback(s, d):
 def equal_weight_sharpe(s, d):
     r = rets(s, d)
     own = r.select("ticker").distinct().withColumn("candidate_id", F.lit(0))
-    f = portfolio.equal_weight_fitness(own, moments.expected(r), moments.covariances(r), 1, 10**6, None)
+    f = portfolio.equal_weight_fitness(own, moments.expected(r), covs(r), 1, 10**6, None)
     return f.select("k", "ret", F.sqrt("variance").alias("vol"), F.col("fitness").alias("sharpe"))
 
 
@@ -222,19 +249,19 @@ def random_weights(s, d):
 @query
 def portfolio_moments(s, d):
     r = rets(s, d)
-    return portfolio.evaluated(held(s, r), moments.expected(r), moments.covariances(r), 0.01)
+    return portfolio.evaluated(held(s, r), moments.expected(r), covs(r), 0.01)
 
 
 @query
 def risk_contribution(s, d):
     r = rets(s, d)
-    return portfolio.risk_contributions(held(s, r), moments.covariances(r))
+    return portfolio.risk_contributions(held(s, r), covs(r))
 
 
 @query
 def risk_budget(s, d):
     r = rets(s, d)
-    return portfolio.risk_budget(portfolio.risk_contributions(held(s, r), moments.covariances(r)))
+    return portfolio.risk_budget(portfolio.risk_contributions(held(s, r), covs(r)))
 
 
 @query
@@ -247,7 +274,7 @@ def equal_weight_fitness(s, d):
     r = rets(s, d)
     mu = moments.expected(r)
     cand = search.bernoulli(s.range(200).withColumnRenamed("id", "candidate_id"), mu, 5, 12, SEED)
-    return portfolio.equal_weight_fitness(cand, mu, moments.covariances(r), 3, 6, -5.0)
+    return portfolio.equal_weight_fitness(cand, mu, covs(r), 3, 6, -5.0)
 
 
 # ---------------------------------------------------------------------------------------------------- search
@@ -271,8 +298,8 @@ def mc_candidates(s, d):
 @query
 def mc_best(s, d):
     r = rets(s, d)
-    f = search.monte_carlo(s, moments.expected(r), moments.covariances(r), MONTE_CARLO_TRIALS, 3, 10, SEED)
-    return f.orderBy(F.desc("fitness"), "candidate_id").limit(5).select("candidate_id", "k", "fitness")
+    f = search.monte_carlo(s, moments.expected(r), covs(r), MONTE_CARLO_TRIALS, 3, 10, SEED)
+    return f.orderBy(F.desc(F.round("fitness", 9)), "candidate_id").limit(5).select("candidate_id", "k", "fitness")  # equal subsets differ in the last bits
 
 
 @query
@@ -317,7 +344,7 @@ def ga_mutate(s, d):
 
 
 def steps(s: SparkSession, d: str) -> DataFrame:
-    r = moments.log_returns(types(s, d))
+    r = written(moments.log_returns(types(s, d)), "returns")
     return backtest.path(held(s, r), r.withColumn("ret", F.col("ret") * 0.1))
 
 
@@ -328,7 +355,7 @@ def backtest_path(s, d):
 
 @query
 def backtest_metrics(s, d):
-    return backtest.metrics(steps(s, d))
+    return backtest.metrics(written(steps(s, d), "steps"))
 
 
 @query
@@ -342,7 +369,14 @@ def drawdown_true(s, d):
 
 
 def arm_values(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select(F.col("event_type").alias("category"), "value")
+    """Sharpe ratios of random portfolios in two arms: random weights and equal ones."""
+    r = written(moments.log_returns(types(s, d)), "returns")
+    random = held(s, r)
+    equal = chosen(s, r).withColumn("weight", 1 / F.count("*").over(Window.partitionBy("portfolio_id")))
+    named = lambda df, arm: df.select(F.concat(F.lit(f"{arm}:"), "portfolio_id").alias("portfolio_id"), "ticker", "weight")
+    both = named(random, "random_random").unionByName(named(equal, "random_equal"))
+    m = backtest.metrics(written(backtest.path(both, r.withColumn("ret", F.col("ret") * 0.1)), "steps"))
+    return m.select(F.split("portfolio_id", ":")[0].alias("category"), F.col("sharpe").alias("value"))
 
 
 @query
@@ -352,7 +386,16 @@ def arm_summary(s, d):
 
 @query
 def mean_diff_t(s, d):
-    return backtest.mean_difference(arm_values(s, d))
+    return backtest.mean_difference(written(arm_values(s, d), "arms"))
+
+
+@query
+def six_arms(s, d):
+    """At the reference's sizes: 20 portfolios an arm, 100 individuals, 6 generations."""
+    laid = written(brands(s, d), "panel")
+    r = written(moments.log_returns(clean.split(laid, 0, 24)), "returns")
+    f = some_forecasts(moments.expected(r), moments.variances(r))
+    return backtest.six_arms(s, laid, f, 20, search.Rules(3, 8, None), search.CARDINALITY, search.Box(0.0, 0.45), 0, 24, SEED)
 
 
 # --------------------------------------------------------------------------------------------------------- eda
@@ -395,6 +438,16 @@ def panel_shape(s, d):
     return eda.shape(clean.grid(user_day(s, d)))
 
 
+@query
+def panel_columns(s, d):
+    return eda.columns(clean.grid(user_day(s, d)))
+
+
+@query
+def hist_outside(s, d):
+    return eda.outside(rets(s, d), "ret", -0.1, 0.1)
+
+
 # ------------------------------------------------------------------------------------------------------ statistics
 
 
@@ -448,11 +501,24 @@ def performance_profile(s, d):
     return stats.performance_profile(records(s, d), BUDGET, 0.95, 10.0, 19)
 
 
+@query
+def wilcoxon_pairs(s, d):
+    return stats.wilcoxon_pairs(runs(s, d)).select("a", "b", "pairs", "n", "w")
+
+
+@query
+def box_plot(s, d):
+    return stats.boxes(runs(s, d))
+
+
 @query
 def pending_runs(s, d):
-    """The work list without what is done."""
-    r = runs(s, d)
-    return r.select("algorithm", "seed").join(r.where("fitness > 100").select("algorithm", "seed"), ["algorithm", "seed"], "left_anti")
+    """The runner's work list, every algorithm with every seed, without what a store has: here the runs of even seeds."""
+    r = written(runs(s, d), "runs")
+    have = store(s)
+    have.add("benchmark_runs", r.where("seed % 2 = 0").select("algorithm", "seed", "fitness", F.lit(0.0).alias("seconds"), F.lit("").alias("holdings")), ["algorithm", "seed"])
+    names = [x[0] for x in r.select("algorithm").distinct().collect()]  # five event types
+    return benchmark.pending(s, have, names, range(30))
 
 
 # ---------------------------------------------------------------------------------------------- universe, history
@@ -474,7 +540,10 @@ def common_stock_filter(s, d):
     p = table(s, d, "part")
     letters = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 4), "0123456789abcdef", "ABCDEFGHIJKLMNOP")
     flag = lambda c: F.when(c, "Y").otherwise("N")
-    listed = p.select("p_partkey", F.when(F.col("p_size") % 7 == 0, F.concat(letters, F.lit(".W"))).otherwise(letters).alias("ticker"), F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" WARRANT"))).when(F.col("p_size") % 5 != 1, F.col("p_name")).alias("name"), flag(F.col("p_size") % 3 != 0).alias("traded"), flag(F.col("p_size") % 11 == 0).alias("etf"), flag(F.col("p_size") % 13 == 0).alias("test"))
+    #: words of other securities, and names that only look alike; every eleventh name is missing
+    words = ["Warrant", "RIGHTS", "Units", "Preferred", "debentures", "Notes", "United", "Bright", "Unity", "Depositary Shares"]
+    named = F.when(F.col("p_partkey") % 11 != 10, F.concat("p_name", F.lit(" "), F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % 10 + 1).cast("int"))))
+    listed = p.select("p_partkey", F.when(F.col("p_size") % 7 == 0, F.concat(letters, F.lit(".W"))).otherwise(letters).alias("ticker"), named.alias("name"), flag(F.col("p_size") % 3 != 0).alias("traded"), flag(F.col("p_size") % 11 == 0).alias("etf"), flag(F.col("p_size") % 13 == 0).alias("test"))
     return universe.common_stocks(listed).select("p_partkey", "ticker", "name")
 
 
@@ -500,14 +569,17 @@ def upsert_prices(s, d):
 
 @query
 def ensure_tickers(s, d):
-    known = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"))
-    return table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("ticker")).join(known, "ticker", "left_anti")
+    have = store(s)
+    have.ensure_tickers(table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker")), "US", "supplier")
+    have.ensure_tickers(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("ticker")), "US", "customer")
+    return have.read("tickers").where("asset_type = 'customer'").select(F.col("symbol").alias("ticker"))
 
 
 @query
 def load_prices(s, d):
-    p = type_day(s, d).where(F.col("date").between("2024-01-05", "2024-01-20") & F.col("ticker").isin("click", "view"))
-    return p
+    have = store(s)
+    have.save_prices(type_day(s, d), "US", source="events")
+    return have.prices("US", "2024-01-05", "2024-01-20", ["click", "view"]).select("ticker", "date", "close")
 
 
 @query
@@ -515,43 +587,60 @@ def save_forecast(s, d):
     r = rets(s, d)
     mu, var = moments.expected(r), moments.variances(r)
     u = uniform(SEED, "null", F.col("ticker"))
-    return mu.where(u < 0.7).join(var.where(u > 0.3), "ticker", "full_outer")
+    have = store(s)
+    return have.forecast(have.save_forecast(mu.where(u < 0.7), var.where(u > 0.3), exchange="US", n_periods=252))
 
 
 @query
 def latest_forecast(s, d):
-    o = table(s, d, "orders")
-    last = o.agg(F.max("o_orderkey").alias("o_orderkey"))
-    return table(s, d, "lineitem").join(F.broadcast(last), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy(F.col("l_partkey").alias("ticker")).agg(F.sum("l_extendedprice").alias("mu"))
+    """Two forecasts are saved, of the parts of even and of odd orders; the later counts."""
+    have, of = store(s), table(s, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("ticker"), (F.col("l_orderkey") % 2).alias("odd"))
+    sums = written(of.agg(F.sum("l_extendedprice").alias("mu"), F.sum("l_quantity").alias("variance")), "sums")
+    for odd in (0, 1):
+        one = sums.where(F.col("odd") == odd)
+        have.save_forecast(one.select("ticker", "mu"), one.select("ticker", "variance"), exchange="US")
+    return have.forecast()
 
 
 @query
 def recent_runs(s, d):
-    return table(s, d, "orders").where("o_orderstatus = 'F'").orderBy(F.desc("o_orderkey")).limit(10).select("o_orderkey", "o_totalprice")
+    have = store(s)
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("created"), F.col("o_orderstatus").alias("script"), F.create_map(F.lit("customer"), F.col("o_custkey").cast("string")).alias("params"), F.create_map(F.lit("price"), "o_totalprice").alias("results"))
+    have.add("optimisation_runs", o, ["run_id"])
+    return have.recent_runs(10, "F").select(F.col("run_id").alias("o_orderkey"), F.col("results")["price"].alias("o_totalprice"))
 
 
 @query
 def run_holdings(s, d):
-    return table(s, d, "lineitem").where("l_orderkey = 1").groupBy("l_partkey").agg(F.sum("l_quantity").alias("weight")).orderBy(F.desc("weight"), "l_partkey")
+    have = store(s)
+    have.add("portfolio_holdings", table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").cast("string").alias("ticker")).agg(F.sum("l_quantity").alias("weight")))
+    return have.holdings(1).select(F.col("ticker").cast("long").alias("l_partkey"), "weight")
 
 
 @query
 def recent_backtests(s, d):
-    return table(s, d, "orders").orderBy(F.desc("o_orderkey")).limit(5).select("o_orderkey", "o_custkey")
+    have = store(s)
+    have.add("backtest_sessions", table(s, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").cast("timestamp").alias("created"), F.create_map(F.lit("customer"), F.col("o_custkey").cast("string")).alias("params")), ["session_id"])
+    return have.recent_backtests(5).select(F.col("session_id").alias("o_orderkey"), F.col("params")["customer"].cast("long").alias("o_custkey"))
 
 
 @query
 def latest_data_source(s, d):
-    return table(s, d, "orders").where("o_orderpriority like '1%'").agg(F.max("o_orderkey").alias("o_orderkey"))
+    have = store(s)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.lit("US").alias("exchange"), F.col("o_orderdate").cast("timestamp").alias("downloaded"), nothing("date").alias("first_date"), nothing("date").alias("last_date"), nothing("int").alias("num_tickers"), nothing("long").alias("num_rows"), nothing("string").alias("notes"))
+    have.add("data_sources", o, ["id"])
+    return have.latest_data_source("1-URGENT").select(F.col("id").alias("o_orderkey"))
 
 
 @query
 def table_counts(s, d):
-    out = None
-    for t in ("orders", "lineitem", "part", "customer"):
-        one = table(s, d, t).agg(F.count("*").alias("n")).withColumn("name", F.lit(t))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rows of a store's tables: parts as tickers, customers as sessions, the panel as prices; the others are empty but for the exchanges."""
+    have = store(s)
+    have.ensure_tickers(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("ticker")), "US", "part")
+    have.add("backtest_sessions", table(s, d, "customer").select(F.col("c_custkey").alias("session_id"), F.lit(None).cast("timestamp").alias("created"), F.create_map(F.lit("segment"), "c_mktsegment").alias("params")))
+    have.save_prices(type_day(s, d), "US", "part", "events")
+    return s.createDataFrame(sorted(have.counts().items()), "name string, n long")
 
 
 @query
@@ -565,40 +654,79 @@ def ljung_box_q(s, d):
 @query
 def max_sharpe_weights(s, d):
     r = rets(s, d)
-    return weights.solve(chosen(s, r), moments.expected(r), moments.covariances(r), "sharpe", 0.0, 0.5)
+    return weights.solve(chosen(s, r), moments.expected(r), covs(r), "sharpe", 0.0, 0.5)
 
 
 @query
 def target_return_weights(s, d):
     r = rets(s, d)
-    return weights.solve(chosen(s, r), moments.expected(r), moments.covariances(r), "sharpe", 0.0, 0.6, target_return=0.0)
+    return weights.solve(chosen(s, r), moments.expected(r), covs(r), "sharpe", 0.0, 0.6, target_return=0.0)
 
 
 @query
 def risk_parity_weights(s, d):
     r = rets(s, d)
-    return weights.solve(chosen(s, r), moments.expected(r), moments.covariances(r), "parity", 0.0, 1.0)
+    return weights.solve(chosen(s, r), moments.expected(r), covs(r), "parity", 0.0, 1.0)
 
 
 @query
 def min_return_weights(s, d):
     r = rets(s, d)
-    return weights.solve(chosen(s, r), moments.expected(r), moments.covariances(r), "sharpe", 0.0, 1.0, min_return=0.12)
+    return weights.solve(chosen(s, r), moments.expected(r), covs(r), "sharpe", 0.0, 1.0, min_return=0.12)
 
 
 @query
 def island_ga(s, d):
+    """At the reference's sizes: 8,000 individuals, 70 generations."""
     r = rets(s, d)
-    x = search.Inputs.of(moments.expected(r), moments.covariances(r))
-    return search.island_search(s, x, search.Rules(3, 8, None), search.Genetic(population=200, generations=10), SEED)
+    x = search.Inputs.of(moments.expected(r), covs(r))
+    return search.island_search(s, x, search.Rules(3, 8, None), search.Genetic(population=8000, generations=70, elites=50, islands=8, interval=10, migration=0.1), SEED).drop("seconds")
+
+
+@query
+def best_island(s, d):
+    r = rets(s, d)
+    x = search.Inputs.of(moments.expected(r), covs(r))
+    return search.best_over_islands(search.island_search(s, x, search.Rules(3, 8, None), search.Genetic(population=400, generations=10), SEED))
+
+
+@query
+def monte_carlo_10m(s, d):
+    """Ten million trials in blocks; the best and its holdings."""
+    r = rets(s, d)
+    x = search.Inputs.of(moments.expected(r), covs(r))
+    value, names, _ = benchmark._monte_carlo(10_000_000)(s, x, search.Rules(3, 10, None), SEED, None)
+    return s.createDataFrame([(value, names)], "fitness double, holdings string")
+
+
+@query
+def cardinality_portfolios(s, d):
+    """Choices scored by their best weights: 20 searches of 100 individuals and 6 generations."""
+    r = rets(s, d)
+    x = search.Inputs.of(moments.expected(r), covs(r))
+    return search.cardinality_portfolios(s, x, search.Rules(3, 8, None), search.CARDINALITY, list(range(20)))
+
+
+@query
+def optimal_portfolio_weights(s, d):
+    r = rets(s, d)
+    return weights.optimal_weights(chosen(s, r), moments.expected(r), covs(r))
+
+
+@query
+def optimisation_inputs(s, d):
+    """Expected returns as an optimisation starts from them: history, overridden by forecasts."""
+    r = rets(s, d)
+    f = written(some_forecasts(moments.expected(r), moments.variances(r)), "forecasts")
+    return moments.inputs(panels.brand_month(s, d), f).mu
 
 
 @query
 def generational_ga(s, d):
     r = rets(s, d)
-    x = search.Inputs.of(moments.expected(r), moments.covariances(r))
+    x = search.Inputs.of(moments.expected(r), covs(r))
     how = search.Genetic(population=100, generations=6, islands=1, migration=0, elites=1, parents=0.1, crossover="point", crossover_rate=0.85, selection="rank", saturate=5)
-    return search.island_search(s, x, search.Rules(3, 8, None), how, SEED)
+    return search.island_search(s, x, search.Rules(3, 8, None), how, SEED).drop("seconds")
 
 
 @query
@@ -611,3 +739,21 @@ def series_forecasts(s, d):
 def copula_corr(s, d):
     r = rets(s, d)
     return forecast.copula_correlations(chosen(s, r), r)
+
+
+@query
+def copula_fit(s, d):
+    r = rets(s, d)
+    return forecast.copula_diagnostics(chosen(s, r), r)
+
+
+@query
+def benchmark_report(s, d):
+    """Three algorithms on five seeds each through the runner, then the report's pairwise tests."""
+    r = rets(s, d)
+    x = search.Inputs.of(moments.expected(r), covs(r))
+    have = store(s)
+    failed = benchmark.run(s, x, search.Rules(3, 8, None), have, 5, 0, ["milp", "monte_carlo", "generational_ga"])
+    if failed:
+        raise RuntimeError("; ".join(failed))
+    return benchmark.report(have, 10.0, 11)["wilcoxon"]

@@ -71,8 +71,7 @@ TK = ", tk AS (SELECT DISTINCT ticker FROM filled)"
 SCORED = f"scored AS (SELECT range AS candidate_id, range % 4 AS island, {u("'7'", "'fitness'", 'range::VARCHAR')} AS fitness FROM range(40)), best AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY fitness DESC, candidate_id) AS rank FROM scored)"
 
 
-def offspring(n_tickers: str = "(SELECT count(*) FROM tk)") -> str:
-    del n_tickers
+def offspring() -> str:
     coin = u("'7'", "'coin'", "island::VARCHAR", "child::VARCHAR", "ticker")
     pick = lambda s: f"1 + floor({u(chr(39) + '7' + chr(39), chr(39) + s + chr(39), 'island::VARCHAR', 'child::VARCHAR')} * n)"
     return f"""{bern(40, 5 / 12)}, {SCORED}, par AS (SELECT * FROM best WHERE rank <= 4), kn AS (SELECT island, max(rank) AS n FROM par GROUP BY 1),
@@ -88,6 +87,10 @@ ss AS (SELECT portfolio_id, t, sum(weight * exp(c) * ret) AS s FROM grown GROUP
 nn AS (SELECT *, 1 + coalesce(sum(s) OVER (PARTITION BY portfolio_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM ss),
 steps AS (SELECT portfolio_id, row_number() OVER (PARTITION BY portfolio_id ORDER BY t) - 1 AS step, s / nullif(n, 0) AS ret, min(n) OVER (PARTITION BY portfolio_id) <= 0 AS degenerate FROM nn),
 mdd AS (SELECT portfolio_id, least(0, coalesce(min(exp(ret) - 1) FILTER (step > 0), 0)) AS mdd FROM steps GROUP BY 1)"""
+ARMS = STEPS.replace("FROM held h", "FROM two h").replace(CHOSEN, CHOSEN + """,
+two AS (SELECT 'random_random:' || portfolio_id AS portfolio_id, ticker, weight FROM held UNION ALL SELECT 'random_equal:' || portfolio_id, ticker, 1 / count(*) OVER (PARTITION BY portfolio_id) FROM chosen)""") + """,
+m AS (SELECT portfolio_id, avg(ret) * 252 AS ret, stddev_pop(ret) * sqrt(252) AS std FROM steps GROUP BY 1),
+arms AS (SELECT split_part(portfolio_id, ':', 1) AS category, CASE WHEN std < 1e-12 THEN 0 ELSE ret / std END AS value FROM m)"""
 LONGEST = panel("user") + """,
 gaps AS (SELECT ticker, t - row_number() OVER (PARTITION BY ticker ORDER BY t) AS island FROM grid WHERE t >= 1 AND close IS NULL),
 runs AS (SELECT ticker, island, count(*) AS run FROM gaps GROUP BY 1, 2),
@@ -148,7 +151,7 @@ SQL: dict[str, str] = {
     "ga_init": f"WITH {B}{TK}, {bern(50, 5 / 12)} SELECT candidate_id, ticker FROM cand",
     "ga_init_least": f"WITH {B}{TK}, g AS (SELECT range AS candidate_id, ticker, {u(chr(39) + '7' + chr(39), chr(39) + 'init' + chr(39), 'range::VARCHAR', 'ticker')} < 0.25 AS gene, row_number() OVER (PARTITION BY range ORDER BY {md(chr(39) + '7' + chr(39), chr(39) + 'fill' + chr(39), 'range::VARCHAR', 'ticker')}) AS r FROM range(50) CROSS JOIN tk), gk AS (SELECT *, sum(gene::INT) OVER (PARTITION BY candidate_id) AS k FROM g) SELECT candidate_id, ticker FROM gk WHERE CASE WHEN k >= 4 THEN gene ELSE r <= 4 END",
     "mc_candidates": f"WITH {B}{TK}, {subsets(100, 10)} SELECT candidate_id, ticker FROM sub",
-    "mc_best": f"WITH {R}{MOMENTS}{TK}, {subsets(2000, 10)}, {fitness('sub')}, al AS (SELECT candidate_id, k, CASE WHEN total <= 0 THEN 0 ELSE ret / sqrt(total / (k * k)) END AS fitness FROM fs JOIN fv USING (candidate_id)) SELECT candidate_id, k, round(fitness, 6) AS fitness FROM al ORDER BY al.fitness DESC, candidate_id LIMIT 5",
+    "mc_best": f"WITH {R}{MOMENTS}{TK}, {subsets(20000, 10)}, {fitness('sub')}, al AS (SELECT candidate_id, k, CASE WHEN total <= 0 THEN 0 ELSE ret / sqrt(total / (k * k)) END AS fitness FROM fs JOIN fv USING (candidate_id)) SELECT candidate_id, k, round(fitness, 6) AS fitness FROM al ORDER BY round(al.fitness, 9) DESC, candidate_id LIMIT 5",
     "milp_select": f"WITH {R}{MOMENTS}, sc AS (SELECT ticker, mu + 20 - 0.8 * sqrt(variance) AS score FROM mu JOIN va USING (ticker)) SELECT ticker, round(score, 6) AS score FROM sc WHERE sc.score > 0 ORDER BY sc.score DESC, ticker LIMIT 10",
     "ga_select": f"WITH {SCORED} SELECT island, candidate_id, rank FROM best WHERE rank <= 3",
     "ga_migrate": f"WITH {SCORED} SELECT (island + 1) % 4 AS island, candidate_id, round(fitness, 6) AS fitness FROM best WHERE rank <= 2",
@@ -158,8 +161,8 @@ SQL: dict[str, str] = {
     "backtest_metrics": f"WITH {STEPS}, m AS (SELECT portfolio_id, avg(ret) * 252 AS ret, stddev_pop(ret) * sqrt(252) AS std, sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END)) AS down FROM steps GROUP BY 1) SELECT portfolio_id, round(ret, 6) AS ret, round(std, 6) AS std, round(CASE WHEN std < 1e-12 THEN 0 ELSE ret / std END, 6) AS sharpe, round(down, 6) AS downside, round(CASE WHEN down < 1e-12 THEN 0 ELSE ret / down END, 6) AS sortino, round(mdd, 6) AS mdd, round(CASE WHEN abs(mdd) < 1e-12 THEN 0 ELSE ret / -mdd END, 6) AS calmar FROM m JOIN mdd USING (portfolio_id)",
     "drawdown_compat": f"WITH {STEPS} SELECT portfolio_id, round(mdd, 6) AS mdd FROM mdd",
     "drawdown_true": f"WITH {STEPS}, v AS (SELECT portfolio_id, step, exp(sum(ret) OVER (PARTITION BY portfolio_id ORDER BY step)) AS value FROM steps), pk AS (SELECT *, greatest(max(value) OVER (PARTITION BY portfolio_id ORDER BY step), 1) AS peak FROM v) SELECT portfolio_id, round(least(0, min(value / peak - 1)), 6) AS mdd FROM pk GROUP BY 1",
-    "arm_summary": "SELECT event_type AS category, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1",
-    "mean_diff_t": "WITH g AS (SELECT event_type AS c, avg(value) AS m, var_pop(value) AS v, count(*) AS n FROM events GROUP BY 1) SELECT x.c AS a, y.c AS b, round((y.m - x.m) / sqrt(x.v / x.n + y.v / y.n), 6) AS t FROM g x JOIN g y ON x.c < y.c",
+    "arm_summary": f"WITH {ARMS} SELECT category, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM arms GROUP BY 1",
+    "mean_diff_t": f"WITH {ARMS}, g AS (SELECT category AS c, avg(value) AS m, var_pop(value) AS v, count(*) AS n FROM arms GROUP BY 1) SELECT x.c AS a, y.c AS b, round((y.m - x.m) / sqrt(x.v / x.n + y.v / y.n), 6) AS t FROM g x JOIN g y ON x.c < y.c",
     "null_fraction": f"WITH {panel('user')} SELECT ticker, round(avg((close IS NULL)::INT), 6) AS share FROM grid GROUP BY 1",
     "null_fraction_bands": f"WITH {panel('user')}, s AS (SELECT ticker, avg((close IS NULL)::INT) AS c FROM grid GROUP BY 1) SELECT count(*) FILTER (c > 0.1) AS over_10, count(*) FILTER (c > 0.02) AS over_2, count(*) FILTER (c > 0.01 AND c < 0.1) AS between FROM s",
     "longest_null_run": f"WITH {LONGEST} SELECT ticker, longest FROM longest",
@@ -167,6 +170,8 @@ SQL: dict[str, str] = {
     "max_log_return": f"WITH {R} SELECT ticker, round(max(ret), 6) AS max_ret, round(avg(ret), 6) AS mean_ret FROM rets GROUP BY 1",
     "hist_returns": f"WITH {R} SELECT least(floor((ret + 1) / 0.1::DOUBLE), 19)::BIGINT AS bin, count(*) AS n FROM rets WHERE ret BETWEEN -1 AND 1 GROUP BY 1",
     "panel_shape": f"WITH {panel('user')} SELECT count(DISTINCT ticker) AS tickers, count(DISTINCT date) AS dates, count(*) AS cells, count(close) AS present FROM grid",
+    "panel_columns": f"WITH {panel('user')} SELECT ticker, 'double' AS kind, count(*) AS cells, count(close) AS present, count(*) FILTER (close IS NULL) AS nulls FROM grid GROUP BY 1",
+    "hist_outside": f"WITH {R} SELECT count(*) FILTER (ret < -0.1::DOUBLE) AS below, count(*) FILTER (ret > 0.1::DOUBLE) AS above, count(*) FILTER (ret IS NULL) AS missing FROM rets",
     "summary_table": f"WITH {RUNS} SELECT algorithm, count(*) AS runs, {QUANT.format('fitness')}, round(max(fitness), 6) AS best, round(min(fitness), 6) AS worst, round(avg(fitness), 6) AS mean, round(stddev_pop(fitness), 6) AS std FROM runs WHERE fitness > -1000 GROUP BY 1",
     "best_fitness": f"WITH {RUNS} SELECT algorithm, round(max(fitness), 6) AS best FROM runs GROUP BY 1",
     "friedman": f"WITH {PAIRED}, s AS (SELECT algorithm, sum(rank) AS total, count(*) AS n FROM rk GROUP BY 1), a AS (SELECT sum(total * total) AS sq, max(n) AS n, count(*) AS k FROM s), ti AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM rk GROUP BY seed, fitness)) SELECT n, k, CASE WHEN n >= 3 AND k >= 3 THEN round((12.0::DOUBLE / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))::DOUBLE), 6) END AS chi2 FROM a, ti",
@@ -174,24 +179,27 @@ SQL: dict[str, str] = {
     "nemenyi_q": f"WITH {PAIRED}, m AS (SELECT algorithm, avg(rank) AS m, count(*) AS n FROM rk GROUP BY 1), k AS (SELECT count(*) AS k FROM m) SELECT a.algorithm AS a, b.algorithm AS b, round(abs(a.m - b.m) / sqrt(k * (k + 1) / (6.0::DOUBLE * a.n)) * sqrt(2), 6) AS q FROM m a JOIN m b ON a.algorithm < b.algorithm, k",
     "wilcoxon": f"WITH {RUNS}, d AS (SELECT x.fitness - y.fitness AS d FROM runs x JOIN runs y USING (seed) WHERE x.algorithm = 'click' AND y.algorithm = 'view'), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0) SELECT count(*) AS n, CASE WHEN (SELECT count(*) FROM d) >= 5 THEN round(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)), 6) END AS w FROM r",
     "best_so_far": f"WITH {RECORDS} SELECT algorithm, seed, round(time, 6) AS time, round(best, 6) AS best FROM records",
-    "aocc": f"WITH {RECORDS}, s AS (SELECT *, coalesce(lead(time) OVER w, 30.0) AS until, row_number() OVER w = 1 AS first FROM records WHERE time <= 30 WINDOW w AS (PARTITION BY algorithm, seed ORDER BY time)) SELECT algorithm, seed, round(sum(greatest(0, 1000 - best) * (until - time) + CASE WHEN first THEN 1000 * time ELSE 0 END) / 30000, 6) AS aocc FROM s GROUP BY 1, 2",
+    "aocc": f"WITH {RECORDS}, s AS (SELECT *, coalesce(lead(time) OVER w, 30.0) AS until, row_number() OVER w = 1 AS first FROM records WHERE time <= 30 WINDOW w AS (PARTITION BY algorithm, seed ORDER BY time)) SELECT algorithm, seed, round(coalesce(a, 1), 6) AS aocc FROM (SELECT DISTINCT algorithm, seed FROM records) LEFT JOIN (SELECT algorithm, seed, sum(greatest(0, 1000 - best) * (until - time) + CASE WHEN first THEN 1000 * time ELSE 0 END) / 30000 AS a FROM s GROUP BY 1, 2) USING (algorithm, seed)",
     "convergence_grid": f"WITH {RECORDS}, g AS (SELECT algorithm, seed, range::DOUBLE AS time FROM (SELECT DISTINCT algorithm, seed FROM records) CROSS JOIN range(31)), v AS (SELECT g.algorithm, g.time, r.best AS value FROM g ASOF JOIN records r ON g.algorithm = r.algorithm AND g.seed = r.seed AND g.time >= r.time) SELECT algorithm, time, {QUANT.format('value')} FROM v GROUP BY 1, 2",
     "performance_profile": f"WITH {RECORDS}, tg AS (SELECT seed, max(best) * 0.95::DOUBLE AS target FROM records GROUP BY 1 HAVING max(best) > 0), tm AS (SELECT algorithm, seed, coalesce(min(time) FILTER (best >= target), 60.0) AS time FROM records JOIN tg USING (seed) GROUP BY 1, 2), ra AS (SELECT algorithm, coalesce(time / nullif(min(time) OVER (PARTITION BY seed), 0), 1) AS ratio FROM tm) SELECT algorithm, 1 + range * 0.5::DOUBLE AS tau, round(avg((ratio <= 1 + range * 0.5::DOUBLE)::INT), 6) AS solved FROM ra CROSS JOIN range(19) GROUP BY 1, 2",
-    "pending_runs": f"WITH {RUNS} SELECT algorithm, seed FROM runs WHERE NOT fitness > 100",
+    "pending_runs": f"WITH {RUNS}, w AS (SELECT algorithm, range AS seed FROM (SELECT DISTINCT algorithm FROM runs) CROSS JOIN range(30)) SELECT algorithm, seed FROM w WHERE NOT (seed % 2 = 0 AND (algorithm, seed) IN (SELECT algorithm, seed FROM runs))",
+    "wilcoxon_pairs": f"WITH {RUNS}, d AS (SELECT x.algorithm AS a, y.algorithm AS b, x.fitness - y.fitness AS d FROM runs x JOIN runs y USING (seed) WHERE x.algorithm < y.algorithm), r AS (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0), s AS (SELECT a, b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r GROUP BY 1, 2) SELECT a, b, pairs, coalesce(n, 0) AS n, CASE WHEN pairs >= 5 THEN round(coalesce(w, 0), 6) END AS w FROM (SELECT a, b, count(*) AS pairs FROM d GROUP BY 1, 2) LEFT JOIN s USING (a, b)",
+    "box_plot": f"WITH {RUNS}, q AS (SELECT algorithm, quantile_cont(fitness, 0.25) AS q1, quantile_cont(fitness, 0.5) AS median, quantile_cont(fitness, 0.75) AS q3 FROM runs WHERE fitness > -1000 GROUP BY 1), i AS (SELECT algorithm, fitness, q1, median, q3, fitness BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) AS ok FROM runs JOIN q USING (algorithm) WHERE fitness > -1000) SELECT algorithm, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(min(fitness) FILTER (ok), 6) AS low, round(max(fitness) FILTER (ok), 6) AS high, count(*) FILTER (NOT ok) AS beyond FROM i GROUP BY ALL",
+    "optimisation_inputs": f"WITH {R}{MOMENTS}{FORECAST} SELECT h.ticker, round(CASE WHEN f.mu IS NULL OR f.mu > 0.5 THEN h.mu ELSE f.mu END, 6) AS mu FROM mu h LEFT JOIN fc f USING (ticker)",
     "universe_dedupe": f"WITH {UNIVERSE} SELECT ticker, name, asset_type FROM dd",
     "asset_counts": f"WITH {UNIVERSE} SELECT asset_type, count(*) AS n FROM dd GROUP BY 1",
-    "common_stock_filter": "WITH l AS (SELECT *, translate(substr(md5(p_partkey::VARCHAR), 1, 4), '0123456789abcdef', 'ABCDEFGHIJKLMNOP') AS s FROM part), x AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN s || '.W' ELSE s END AS ticker, CASE WHEN p_size % 5 = 0 THEN p_name || ' WARRANT' WHEN p_size % 5 <> 1 THEN p_name END AS name, p_size FROM l) SELECT p_partkey, ticker, name FROM x WHERE p_size % 3 <> 0 AND p_size % 11 <> 0 AND p_size % 13 <> 0 AND regexp_matches(ticker, '^[A-Z]{1,5}$') AND NOT coalesce(regexp_matches(lower(name), 'warrant|right|unit|preferred|depositary|notes'), false)",
+    "common_stock_filter": "WITH l AS (SELECT *, translate(substr(md5(p_partkey::VARCHAR), 1, 4), '0123456789abcdef', 'ABCDEFGHIJKLMNOP') AS s FROM part), x AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN s || '.W' ELSE s END AS ticker, CASE WHEN p_partkey % 11 <> 10 THEN p_name || ' ' || (['Warrant', 'RIGHTS', 'Units', 'Preferred', 'debentures', 'Notes', 'United', 'Bright', 'Unity', 'Depositary Shares'])[p_partkey % 10 + 1] END AS name, p_size FROM l) SELECT p_partkey, ticker, name FROM x WHERE p_size % 3 <> 0 AND p_size % 11 <> 0 AND p_size % 13 <> 0 AND regexp_matches(ticker, '^[A-Z]{1,5}$') AND NOT coalesce(regexp_matches(lower(name), 'warrant|rights|units|preferred|debenture|notes'), false)",
     "symbols_sorted": f"WITH {UNIVERSE} SELECT ticker FROM dd WHERE asset_type = 'equity' ORDER BY 1",
     "metadata_filter": "SELECT c_custkey, c_mktsegment AS sector, c_nationkey::VARCHAR AS country FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "upsert_prices": f"WITH px AS ({PX['type']}) SELECT ticker, date, round(CASE WHEN day(date) % 3 = 0 THEN close + 1 ELSE close END, 6) AS close, (CASE WHEN day(date) % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS ingest FROM px",
     "ensure_tickers": "SELECT c_custkey::VARCHAR AS ticker FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "load_prices": f"WITH px AS ({PX['type']}) SELECT ticker, date, round(close, 6) AS close FROM px WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND ticker IN ('click', 'view')",
     "save_forecast": f"WITH {R}{MOMENTS}, h AS (SELECT ticker, {u(chr(39) + '7' + chr(39), chr(39) + 'null' + chr(39), 'ticker')} AS u FROM mu) SELECT ticker, CASE WHEN u < 0.7 THEN round(mu, 6) END AS mu, CASE WHEN u > 0.3 THEN round(variance, 6) END AS variance FROM h JOIN mu USING (ticker) JOIN va USING (ticker)",
-    "latest_forecast": "SELECT l_partkey AS ticker, round(sum(l_extendedprice), 6) AS mu FROM lineitem WHERE l_orderkey = (SELECT max(o_orderkey) FROM orders) GROUP BY 1",
+    "latest_forecast": "SELECT l_partkey::VARCHAR AS ticker, round(sum(l_extendedprice), 6) AS mu, round(sum(l_quantity), 6) AS variance FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1",
     "recent_runs": "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey DESC LIMIT 10",
     "run_holdings": "SELECT l_partkey, round(sum(l_quantity), 6) AS weight FROM lineitem WHERE l_orderkey = 1 GROUP BY 1 ORDER BY 2 DESC, 1",
     "recent_backtests": "SELECT o_orderkey, o_custkey FROM orders ORDER BY 1 DESC LIMIT 5",
-    "latest_data_source": "SELECT max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'",
-    "table_counts": " UNION ALL ".join(f"SELECT count(*) AS n, '{t}' AS name FROM {t}" for t in ("orders", "lineitem", "part", "customer")),
+    "latest_data_source": "SELECT max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "table_counts": f"WITH px AS ({PX['type']}), t AS (SELECT p_partkey::VARCHAR AS s FROM part UNION SELECT ticker FROM px) SELECT 'tickers' AS name, count(*) AS n FROM t UNION ALL SELECT 'backtest_sessions', count(*) FROM customer UNION ALL SELECT 'prices', count(*) FROM px UNION ALL SELECT 'data_sources', 1 UNION ALL SELECT 'exchanges', 3 UNION ALL " + " UNION ALL ".join(f"SELECT '{t}', 0" for t in ("forecast_runs", "forecasts", "optimisation_runs", "portfolio_holdings", "backtest_results", "benchmark_runs", "benchmark_records")),
     "ljung_box_q": f"WITH {R}, y AS (SELECT ticker, t, ret * ret - avg(ret * ret) OVER (PARTITION BY ticker) AS d, count(*) OVER (PARTITION BY ticker) AS n FROM rets), c AS (SELECT a.ticker, b.t - a.t AS k, max(a.n) AS n, sum(a.d * b.d) AS c FROM y a JOIN y b ON a.ticker = b.ticker AND b.t - a.t BETWEEN 0 AND 10 GROUP BY 1, 2), z AS (SELECT ticker, c AS c0 FROM c WHERE k = 0) SELECT ticker, round(max(n) * (max(n) + 2) * sum(pow(c / c0, 2) / (n - k)), 6) AS q FROM c JOIN z USING (ticker) WHERE k > 0 GROUP BY 1",
 }

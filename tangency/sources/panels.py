@@ -66,6 +66,12 @@ def tickers_csv(spark: SparkSession, path: str, column: str = "Tickers") -> Data
     return out
 
 
+def first_column(spark: SparkSession, path: str) -> DataFrame:
+    """The symbols of a list, whatever its first column is named; read as text, without the byte-order mark and empty cells."""
+    df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    return df.select(F.trim(F.col(f"`{df.columns[0]}`")).alias("ticker")).where("ticker is not null and ticker <> ''")
+
+
 def symbol_file(spark: SparkSession, path: str) -> DataFrame:
     """A '|'-separated symbol directory without its footer row."""
     df = spark.read.option("header", True).option("sep", "|").csv(path)

@@ -21,9 +21,16 @@ TABLES = {
     "backtest_sessions": "session_id long, created timestamp, params map<string,string>",
     "backtest_results": "session_id long, category string, idx int, metrics map<string,double>, holdings array<struct<ticker: string, weight: double>>",
     "benchmark_runs": "algorithm string, seed long, fitness double, seconds double, holdings string",
+    "benchmark_records": "algorithm string, seed long, time double, generation int, best double, mean double",
 }
 #: Exchanges of a new store.
 EXCHANGES = [("US", "US markets", "USD"), ("NZX", "New Zealand Exchange", "NZD"), ("ASX", "Australian Securities Exchange", "AUD")]
+#: The files of a data folder, {file: (exchange, asset type)}, and pairs of forecasts with their exchange.
+PRICE_FILES = {
+    "ETF_Prices.csv": ("US", "etf"), "time_series_20251016_113257.csv": ("NZX", "managed_fund"), "leveraged_ETF_Prices.csv": ("US", "etf"), "2x_leveraged_ETF_Prices.csv": ("US", "etf"), "NZ_ETF_Prices.csv": ("NZX", "etf"),
+}
+FORECAST_FILES = [("expected_returns.csv", "variances.csv", "US"), ("NZ_expected_returns.csv", "NZ_variances.csv", "US")]
+TICKER_FILES = {"ETFs_Full.csv": ("US", "etf"), "US_Stocks.csv": ("US", "stock"), "NZ_ETFs.csv": ("NZX", "etf"), "2x_leveraged_ETFs.csv": ("US", "etf"), "3x_leveraged_ETFs.csv": ("US", "etf")}
 
 
 class Store:
@@ -54,7 +61,14 @@ class Store:
         self.add(name, self.spark.createDataFrame([tuple(values.get(f.name) for f in want)], want))
 
     def _next(self, name: str, key: str) -> int:
-        return int(self.read(name).agg(F.coalesce(F.max(key), F.lit(0))).first()[0]) + 1
+        """A new number, claimed by an empty file that only one writer can create."""
+        n = int(self.read(name).agg(F.coalesce(F.max(key), F.lit(0))).first()[0]) + 1
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(path(f"{self.root}/_numbers"))
+        while not files.createNewFile(path(f"{self.root}/_numbers/{name}-{n}")):
+            n += 1
+        return n
 
     # ------------------------------------------------------------------------------------------------ prices
 
@@ -140,11 +154,16 @@ class Store:
     def counts(self) -> dict[str, int]:
         return {t: self.read(t).count() for t in TABLES}
 
-    def import_csvs(self, prices: dict[str, tuple[str, str]], forecasts: list[tuple[str, str, str]] = ()) -> list[str]:
-        """Loads price files {path: (exchange, asset type)} and forecast pairs (mu path, variance path, exchange); missing files are named."""
+    def import_folder(self, folder: str) -> list[str]:
+        """``import_csvs`` of the known files of a folder."""
+        at = lambda name: f"{folder.rstrip('/')}/{name}"
+        return self.import_csvs({at(n): v for n, v in PRICE_FILES.items()}, [(at(m), at(v), e) for m, v, e in FORECAST_FILES], {at(n): v for n, v in TICKER_FILES.items()})
+
+    def import_csvs(self, prices: dict[str, tuple[str, str]], forecasts: list[tuple[str, str, str]] = (), tickers: dict[str, tuple[str, str]] | None = None) -> list[str]:
+        """Loads price files {path: (exchange, asset type)}, forecast pairs (mu path, variance path, exchange) and ticker lists (as price files; the first column); missing files are named."""
         from pyspark.errors import AnalysisException
 
-        from tangency.sources.panels import wide_csv
+        from tangency.sources.panels import first_column, wide_csv
 
         missing = []
         for path, (exchange, kind) in prices.items():
@@ -158,4 +177,9 @@ class Store:
                 self.save_forecast(mu, var, exchange=exchange, notes="csv")
             except AnalysisException:
                 missing.append(mu_path)
+        for path, (exchange, kind) in (tickers or {}).items():
+            try:
+                self.ensure_tickers(first_column(self.spark, path), exchange, kind)
+            except AnalysisException:
+                missing.append(path)
         return missing
