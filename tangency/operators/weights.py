@@ -25,6 +25,7 @@ def project(v: np.ndarray, low: float, high: float) -> np.ndarray:
 def tilted(mu: np.ndarray, cov: np.ndarray, low: float, high: float, tilt: float, start: np.ndarray, steps: int = 1500) -> np.ndarray:
     """Minimises w'Cw - tilt w'mu over the box simplex by accelerated projected gradient: a point of the efficient frontier."""
     size = 0.5 / max(float(np.linalg.norm(cov, 2)), 1e-300)
+    mu = mu - mu.mean()  # the same on the simplex, and no large common part in the steps
     w = project(start, low, high)
     y, t = w, 1.0
     for _ in range(steps):
@@ -255,6 +256,7 @@ def best_ratios(mus: list[np.ndarray], covs: list[np.ndarray], low: float, high:
     real = hi > 0
     spread = np.where(real, mu, -np.inf).max(axis=1) - np.where(real, mu, np.inf).min(axis=1)
     far = 1e4 * norm / np.maximum(spread, 1e-12)
+    pull = np.where(real, mu - mu.sum(axis=1, keepdims=True) / real.sum(axis=1, keepdims=True), 0.0)
 
     def ratios(w):
         v = np.einsum("ij,ijk,ik->i", w, cov, w)
@@ -263,7 +265,7 @@ def best_ratios(mus: list[np.ndarray], covs: list[np.ndarray], low: float, high:
     def walk(w, tilt):
         w, y, t = project_rows(w, lo, hi), w, np.ones(m)
         for _ in range(steps):
-            new = project_rows(y - size * (2 * np.einsum("ijk,ik->ij", cov, y) - tilt[:, None] * mu), lo, hi)
+            new = project_rows(y - size * (2 * np.einsum("ijk,ik->ij", cov, y) - tilt[:, None] * pull), lo, hi)
             t = np.where(((y - new) * (new - w)).sum(axis=1) > 0, 1.0, t)
             s = 0.5 * (1 + np.sqrt(1 + 4 * t * t))
             y, t = new + ((t - 1) / s)[:, None] * (new - w), s
