@@ -3,13 +3,13 @@
 Every text is covered by windows of the sizes of the benchmark items.  A window's fingerprint is the majority, bit by bit, of the
 64-bit hashes of its five-word shingles; running byte counters give all windows of a size at once.  Sizes go in steps of two to four
 shingles and windows slide by as much (``step``) from the start of each text, the last one ending with it, so some window lies within a shingle or two of any item-sized passage; every alignment in between is
-tried again at verification, at the item's own size.  Multi-index blocks: a
-fingerprint within ``RADIUS`` bits of an item's agrees with it up to ``RADIUS // 4`` bits in one of four 16-bit blocks, so one table of 65,536
-entries per block, with the items within that many bits of each value, yields all items in the radius; the distance decides.
+tried again at verification, at the item's own size.  Windows whose reach has too few shingles of the benchmark to match any item are not fingerprinted.  Multi-index blocks: a
+fingerprint within ``RADIUS`` bits of an item's agrees with it up to ``RADIUS // 8`` bits in one of eight 8-bit blocks, so one table of 256
+entries per block, with the items within that many bits of each value as bits, yields all items in the radius; the distance decides.
 Candidates are verified exactly: the weighted Jaccard similarity (multisets of shingles) of the item and an item-sized window is 0.8 or more.
 
-The benchmark is a stated set and goes to all tasks, in blocks of ``ITEMS`` items of at most ``ITEM_BYTES`` bytes; any number of
-blocks is handled, one after the other.
+The benchmark is a stated set and goes to all tasks, in parts of at most ``ITEM_BYTES`` bytes (some hundred bytes of index an item); a benchmark within that
+takes one scan of the texts, a larger one a scan for each part.
 
 Nulls: a null text is empty; an empty item matches nothing; null ids are reported as null.  A text or item under five words is one shingle.
 Items with equal texts are each reported.  Texts shorter than an item by over a fifth cannot match it.
@@ -30,11 +30,12 @@ SHINGLE = 5
 SIMILAR = 0.8
 CHUNK = 8192  # shingles of several texts looked at together
 RADIUS = 18
-BLOCK_RADIUS = RADIUS // 4
-ITEMS = 1024
-GROUP = 16  # items of one size whose tables are looked up together
+BLOCKS = 8
+BLOCK_RADIUS = RADIUS // BLOCKS
 ALIGN = 12  # texts looked at together begin at multiples of this, a multiple of every step
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 32 << 20
+PAIRS = 8 << 20  # windows times items that are compared at once
+_NEAR = np.array([[(v ^ w).bit_count() <= BLOCK_RADIUS for w in range(256)] for v in range(256)])
 
 
 def lanes(h: np.ndarray) -> np.ndarray:
@@ -47,26 +48,25 @@ def step(size: int) -> int:
     return 2 if size < 20 else 3 if size < 28 else 4
 
 
-def window_prints(running: np.ndarray, size: int, stride: int) -> np.ndarray:
-    """SimHashes of the windows of ``size`` shingles at 0, stride, ...; ``running`` are counts before each shingle.
+def window_prints(running: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHashes of the windows of ``size`` shingles at ``starts``; ``running`` are counts before each shingle.
 
     Counters wrap around, so their type holds ``size``.
     """
-    counts = running[size::stride] - running[: len(running) - size : stride]
+    counts = running[starts + size] - running[starts]
     return np.packbits(counts > size // 2, axis=1, bitorder="little").view("<u8").ravel()
 
 
 class Items:
-    """Benchmark items of one block, by class of size."""
+    """Benchmark items of one part, by class of size."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.ids, self.words, self.bags = [], [], []
+        self.ids, self.words = [], []
         for i, t in items:
             s = shingle_hashes(word_hashes(t.lower()), SHINGLE)
             if len(s):
                 self.ids.append(i)
                 self.words.append(s)
-                self.bags.append(Counter(s.tolist()))
         self.all = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, U64)
         by: dict[int, list[int]] = {}
         for n, s in enumerate(self.words):
@@ -74,19 +74,11 @@ class Items:
             by.setdefault(max(len(s) // k * k, min(len(s), k)), []).append(n)
         self.classes = [(size, members, self._index(members)) for size, members in sorted(by.items())]
 
-    def _index(self, members: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For groups of up to 16 items: their prints, and per block the items near each value as bits."""
-        out = []
-        near = np.array([v for v in range(1 << 16) if v.bit_count() <= BLOCK_RADIUS], dtype=np.int64)
-        for s in range(0, len(members), GROUP):
-            part = members[s : s + GROUP]
-            prints = np.array([self.print_of(self.words[m]) for m in part], dtype=U64)
-            tables = np.zeros((4, 1 << 16), np.uint16)
-            for k, p in enumerate(prints):
-                for b in range(4):
-                    tables[b][near ^ int((int(p) >> (16 * b)) & 0xFFFF)] |= np.uint16(1 << k)
-            out.append((prints, tables))
-        return out
+    def _index(self, members: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Prints of the items, and per block the items near each value as bits."""
+        prints = np.array([self.print_of(self.words[m]) for m in members], dtype="<u8")
+        values = prints.view(np.uint8).reshape(-1, BLOCKS)
+        return prints, [np.packbits(_NEAR[:, values[:, b]], axis=1, bitorder="little") for b in range(BLOCKS)]
 
     @staticmethod
     def print_of(s: np.ndarray) -> int:
@@ -106,13 +98,11 @@ class Items:
         for t, (at, of) in enumerate(zip(begins.tolist(), texts, strict=True)):
             shingles[at : at + len(of)] = of
             owner[at : at + len(of)] = t
-        kind = np.uint8 if self.classes[-1][0] < 256 else np.uint32
-        running = np.zeros((n + 1, 64), kind)
-        np.cumsum(lanes(mix(shingles, 3)), axis=0, dtype=kind, out=running[1:])
         place = np.minimum(np.searchsorted(self.all, shingles), len(self.all) - 1)
         shared = np.concatenate(([0], np.cumsum((self.all[place] == shingles) & (owner >= 0))))
         whole = shared[begins + lengths] - shared[begins]
-        for size, members, index in self.classes:
+        running = None
+        for size, members, (items, tables) in self.classes:
             k = step(size)
             # a text a little shorter or longer than the item is looked at whole
             for t in np.flatnonzero((lengths < size + 2 * k) & (lengths >= SIMILAR * size) & (whole >= SIMILAR * size)):
@@ -121,25 +111,28 @@ class Items:
                 continue
             # windows at each text's own 0, k, 2k, ..., and the last one
             last = (begins + lengths - size)[(lengths >= size) & ((lengths - size) % k != 0)]
-            prints = window_prints(running, size, k)
-            starts = np.concatenate((np.arange(len(prints)) * k, last))
-            ends = running[last + size] - running[last]
-            prints = np.concatenate((prints, np.packbits(ends > size // 2, axis=1, bitorder="little").view("<u8").ravel()))
+            starts = np.concatenate((np.arange(0, n - size + 1, k), last))
             # all shingles that the benchmark shares in reach of the window, which lies in one text
             able = shared[np.minimum(starts + size + 2 * k, n)] - shared[np.maximum(starts - k, 0)] >= SIMILAR * size
             able &= (owner[starts] == owner[starts + size - 1]) & (owner[starts] >= 0)
-            parts = prints.view("<u2").reshape(-1, 4).T.astype(np.int64)
-            for g, (of, tables) in enumerate(index):
-                hit = tables[0].take(parts[0])
-                for b in range(1, 4):
-                    hit |= tables[b].take(parts[b])
-                some = np.flatnonzero((hit != 0) & able)
-                if not len(some):
-                    continue
-                for j in range(len(of)):
-                    at = some[(hit[some] >> j & 1).astype(bool)]
-                    close = starts[at[np.bitwise_count(prints[at] ^ of[j]) <= RADIUS]]
-                    found += [(int(owner[i]), members[GROUP * g + j], int(i - begins[owner[i]])) for i in close]
+            starts = starts[able]
+            if not len(starts):
+                continue
+            if running is None:
+                kind = np.uint8 if self.classes[-1][0] < 256 else np.uint32
+                running = np.zeros((n + 1, 64), kind)
+                np.cumsum(lanes(mix(shingles, 3)), axis=0, dtype=kind, out=running[1:])
+            together = max(1, PAIRS // len(members))
+            for s in range(0, len(starts), together):
+                at = starts[s : s + together]
+                prints = window_prints(running, at, size)
+                values = prints.view(np.uint8).reshape(-1, BLOCKS)
+                hit = tables[0][values[:, 0]]
+                for b in range(1, BLOCKS):
+                    hit |= tables[b][values[:, b]]
+                w, i = np.nonzero(np.unpackbits(hit, axis=1, count=len(members), bitorder="little"))
+                close = np.bitwise_count(prints[w] ^ items[i]) <= RADIUS
+                found += [(int(owner[at[x]]), members[y], int(at[x] - begins[owner[at[x]]])) for x, y in zip(w[close], i[close], strict=True)]
         return found
 
     def matches(self, texts: list[np.ndarray]) -> dict[int, list[tuple[int, int, int, float]]]:
@@ -150,7 +143,7 @@ class Items:
             near.setdefault((text, item), set()).update(range(max(0, start - k), start + k + 1))
         out: dict[int, list[tuple[int, int, int, float]]] = {}
         for (text, item), starts in sorted(near.items()):
-            bag, size, best = self.bags[item], len(self.words[item]), None
+            bag, size, best = Counter(self.words[item].tolist()), len(self.words[item]), None
             for s in sorted(starts):
                 window = texts[text][s : s + size]
                 if len(window) < SIMILAR * size:
@@ -166,7 +159,7 @@ class Items:
 
 
 class Scanner:
-    """Looks texts through for a block of items, several short texts or a piece of a long one at a time."""
+    """Looks texts through for a part of the items, several short texts or a piece of a long one at a time."""
 
     def __init__(self, block: list[tuple[int, bytes]]) -> None:
         self.items = Items(block)
@@ -203,11 +196,11 @@ class Scanner:
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """The benchmark in blocks of bounded size, read one at a time."""
+    """The benchmark in parts of bounded size, read one at a time."""
     held, size = [], 0
     for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).orderBy(id_col, text_col).toLocalIterator():
         t = (r[1] or "").encode()
-        if held and (len(held) >= ITEMS or size + len(t) > ITEM_BYTES):
+        if held and size + len(t) > ITEM_BYTES:
             yield held
             held, size = [], 0
         held.append((r[0], t))
@@ -222,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ddl = "doc_id long, item_id long, start_word long, n_words long, similarity double"
     found = None
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEMS items and ITEM_BYTES bytes
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEM_BYTES bytes
 
         def run(batches, shared=shared):
             scanner = Scanner(shared.value)
@@ -241,7 +234,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the texts that hold a benchmark passage; columns as they were."""
     left = docs
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEMS items and ITEM_BYTES bytes
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEM_BYTES bytes
 
         def run(batches, shared=shared):
             scanner = Scanner(shared.value)
