@@ -14,6 +14,8 @@ a table, partitioned by kind, what each group asked for.  Groups then evaluate a
 n-grams of a group, never tokens.  A bigram goes to the bucket of its history; histories with more than 1/(8 buckets) of all tokens are
 dealt out by the whole bigram and their sums (at most 8 x buckets rows) are added up afterwards and sent to all tasks.
 
+Words are numbered in 32 bits; more than 4.29 billion different ones are an error, never a wrapped number.
+
 Nulls: a null text is empty and has one token, the end.  A null id counts as the empty text for the fold.  Repeated rows are scored
 and learnt from each.  Without any training token every text has probability one.
 """
@@ -148,6 +150,8 @@ def count_words(groups: DataFrame, n: int) -> DataFrame:
             distinct, at = np.unique(keys, return_inverse=True)
             total = np.bincount(at, weights=np.concatenate([c for _, _, c in asked]), minlength=len(distinct)).astype(np.uint64)
             yield rows(REPLY, ["sums"], [-1], [b], [[]], [None], [[float(total.sum()), float((total > 0).sum()), *count_of_counts(total)]])
+            if len(distinct) * n + b >= int(BEGIN_ID):
+                raise OverflowError("numbers of words have 32 bits: over 4.29 billion different words, raise the fold or cut the vocabulary")
             start = 0
             for g, k, _ in asked:
                 mine = at[start : start + len(k)]
@@ -308,7 +312,7 @@ def count_bigrams(groups: DataFrame, words: DataFrame, n: int, uni: Unigrams) ->
                 found = (place < len(owner)) & (owner[np.minimum(place, max(len(owner) - 1, 0))] == cold) if len(owner) else np.zeros(len(cold), bool)
                 s = np.zeros((len(cold), DISCOUNTED + 2))
                 s[found] = sums[place[found]]
-                yield rows(REPLY, ["bigrams"], [g], [b], [[pack(total[mine]), pack(s[:, : DISCOUNTED + 1].astype(np.uint32).ravel()), pack(s[:, DISCOUNTED + 1]), pack(is_hot)]], [None], [None])
+                yield rows(REPLY, ["bigrams"], [g], [b], [[pack(total[mine]), pack(s[:, : DISCOUNTED + 1].astype(np.uint64).ravel()), pack(s[:, DISCOUNTED + 1]), pack(is_hot)]], [None], [None])
 
     asked = map_arrow(with_replies(groups, words.where("kind = 'words'")), ask, ASK_DDL)
     return written(map_arrow(asked.repartition(n, "bucket"), answer, REPLY_DDL), "katz-bigrams", ["kind"])
@@ -342,7 +346,7 @@ def evaluate(groups: DataFrame, replies: DataFrame, n: int, uni: Unigrams, d: np
                     c, is_hot = unpack(reply[0], np.uint64), unpack(reply[3], np.bool_)
                     first = runs(h)
                     sums = np.zeros((len(first), DISCOUNTED + 2))
-                    sums[~is_hot, : DISCOUNTED + 1] = unpack(reply[1], np.uint32).reshape(-1, DISCOUNTED + 1)
+                    sums[~is_hot, : DISCOUNTED + 1] = unpack(reply[1], np.uint64).reshape(-1, DISCOUNTED + 1)
                     sums[~is_hot, DISCOUNTED + 1] = unpack(reply[2], np.float64)
                     if is_hot.any() and len(ids):
                         mine = h[first][is_hot]
