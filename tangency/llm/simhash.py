@@ -2,7 +2,7 @@
 
 A 64-bit fingerprint is cut into seven blocks.  Two fingerprints that differ in at most four bits agree in at least three whole
 blocks, so every such pair meets in one of the 35 buckets keyed by three blocks; buckets verify the Hamming distance.  Equal
-fingerprints are one row from the start, and a bucket emits a spanning forest, never all its pairs.
+fingerprints are one row from the start, and a bucket emits a spanning forest, never all its pairs.  A bucket of over ``LARGE`` fingerprints is split again by the bits outside its key.
 
 Nulls: a null text is empty; a null id stays in the result and never becomes a component id.  Empty texts have fingerprint zero and
 link like any other.  Repeated rows come back repeated.  Other columns are not read.
@@ -22,6 +22,7 @@ from tangency.llm.graph import connected_components
 
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 RADIUS = 4
+LARGE = 2048  # fingerprints of a bucket that are compared at once
 SHARED = len(BLOCKS) - RADIUS
 
 
@@ -93,6 +94,24 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return edges
 
 
+def linked(fps: np.ndarray, mask: np.uint64, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """``forest`` of a bucket.  A large one is split again: of ``radius`` + 1 parts of the bits outside ``mask``, two linked fingerprints share one."""
+    if len(fps) <= LARGE:
+        return forest(fps, radius)
+    rest = [b for b in range(64) if not int(mask) >> b & 1]
+    edges: list[tuple[int, int]] = []
+    for part in range(radius + 1):
+        own = U64(sum(1 << b for b in rest[part :: radius + 1]))
+        keys = fps & own
+        order = np.argsort(keys, kind="stable")
+        mine, keys = fps[order], keys[order]
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e - s > 1:
+                edges += forest(mine[s:e], radius)
+    return edges
+
+
 def bucket_edges(fps: np.ndarray, masks: list[np.uint64] | None = None, picks: list[np.ndarray] | None = None, radius: int = RADIUS) -> np.ndarray:
     """Forest edges of all buckets; ``picks[i]`` are the fingerprints dealt to this task under mask i."""
     edges: list[tuple[int, int]] = []
@@ -111,7 +130,7 @@ def bucket_edges(fps: np.ndarray, masks: list[np.uint64] | None = None, picks: l
         if len(close):
             pairs.append(np.stack([np.maximum(mine[close], mine[close + 1]), np.minimum(mine[close], mine[close + 1])], axis=1))
         for s, m in zip(cuts[:-1][size > 2], size[size > 2], strict=True):
-            edges += forest(mine[s : s + m], radius)
+            edges += linked(mine[s : s + m], mask, radius)
     if edges:
         pairs.append(np.array(edges, dtype=U64))
     return np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), U64)
