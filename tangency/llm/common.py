@@ -6,10 +6,7 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D and lower case is tak
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -18,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tangency.durable import written  # noqa: F401  the operators take it from here
 from tangency.session import ship
 
 U64 = np.uint64
@@ -28,42 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ----------------------------------------------------------------------------------------------- durable tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none (tests, one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="tangency-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is then left to its owner
-        pass
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage ends here and any executor may be lost later."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -205,6 +167,15 @@ def labelled_sample(labels: DataFrame, bound: int, *, where: object | None = Non
     return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int, **how: object) -> DataFrame:
+    """(doc_id, text, labels) of at most ``bound`` labelled documents; of rows that repeat an id the text of the least hash counts."""
+    chosen = labelled_sample(labels, bound, **how)
+    # the id list has at most ``bound`` rows, so it is sent to all tasks
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", *chosen.columns[1:])).alias("x")
+    return joined.groupBy("doc_id").agg(first).select("doc_id", "x.text", *[f"x.{c}" for c in chosen.columns[1:]])
+
+
 def fold_is(doc_id: object, modulus: int, remainder: int) -> object:
     """crc32 of doc_id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

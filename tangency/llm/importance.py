@@ -8,7 +8,7 @@ The target is stated text: rows labelled good, at most ``Params.target_rows`` of
 model counts all rows.  The k-th largest sum is found by counting, not by sorting: rounds of histograms between the bounds of the cell that holds it.
 
 Nulls: a null text is empty, its log weight is 0.  Null ids hash as the empty text.  Without target rows all weights are 0 and the sample is uniform.
-Repeated rows have equal sums; ties at the threshold are taken in the order of (doc_id, log weight), row by row.
+Repeated rows have equal sums; of ties at the threshold, which are equal rows, as many are kept as the sample lacks.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangency.llm.common import U64, WordHashes, labelled_sample, map_arrow, mix, rows, texts_of, written
+from tangency.llm.common import U64, WordHashes, labelled_texts, map_arrow, mix, rows, texts_of, written
 
 
 @dataclass(frozen=True)
@@ -125,11 +125,18 @@ def resampled(docs: DataFrame, target: DataFrame, p: Params = Params()) -> DataF
     ties = at_edge.count()
     if above + ties == k:
         return scored.withColumn("kept", F.col("perturbed") >= F.lit(edge))
-    ranked = at_edge.withColumn("kept", F.row_number().over(Window.partitionBy("perturbed").orderBy("doc_id", "log_weight")) <= k - above)
+    # such rows are equal but for coincidences: numbered where they lie (a task's number, then a row's), and kept up to one number
+    numbered = written(at_edge.withColumn("number", F.monotonically_increasing_id()), "ties")
+    stop, left = 0, k - above
+    for task, n in sorted(tuple(r) for r in numbered.groupBy(F.shiftright("number", 33).alias("task")).agg(F.count("*").alias("n")).collect()):  # a row for each task
+        stop = (task << 33) + min(n, left)
+        left -= min(n, left)
+        if not left:
+            break
+    ranked = numbered.withColumn("kept", F.col("number") < F.lit(stop)).drop("number")
     return scored.where(F.col("perturbed") != F.lit(edge)).withColumn("kept", F.col("perturbed") > F.lit(edge)).unionByName(ranked)
 
 
 def good_rows(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """Texts labelled good, at most ``p.target_rows``."""
-    chosen = labelled_sample(labels, p.target_rows, where="quality = 1", columns=("quality",))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")
+    return labelled_texts(docs, labels, p.target_rows, where="quality = 1", columns=("quality",)).select("text")

@@ -198,7 +198,7 @@ def fit(stats: DataFrame, labels: DataFrame, p: Params = Params()) -> list[Rule]
     """Rules from the labelled rows that the base rule passes; at most ``p.sample`` labelled rows."""
     chosen = labelled_sample(labels, p.sample, columns=("quality",))
     # the id list has at most p.sample rows, so it is sent to all tasks
-    seen = stats.where(~base_failed()).join(F.broadcast(chosen), "doc_id").select(*[f"x_{f}" for f in FEATURES], "quality").collect()
+    seen = stats.where(~base_failed()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*[f"x_{f}" for f in FEATURES], "quality")).alias("x")).select("x.*").collect()  # one row for an id
     if not seen:
         return []
     a = np.array(sorted(tuple(r) for r in seen), dtype=float)

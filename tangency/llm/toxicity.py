@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangency.llm.common import fold_is, labelled_sample, map_arrow, rows, texts_of, written
+from tangency.llm.common import fold_is, labelled_texts, map_arrow, rows, texts_of, written
 
 BITS = 20
 EDGE = ".,;:!?#$%&*|<>()[]{}\"'"
@@ -165,9 +165,7 @@ def _select(df: DataFrame, n1: int, n0: int, p: Params) -> tuple[np.ndarray, np.
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), where: object | None = None) -> Machine:
     """Learns from at most ``p.sample`` labelled rows of ``docs``; ``where`` narrows the labelled rows (a fold)."""
-    chosen = labelled_sample(labels, p.sample, where=where, columns=("toxic",))
-    # the id list has at most p.sample rows, so it is sent to all tasks
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    joined = labelled_texts(docs, labels, p.sample, where=where, columns=("toxic",)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     out = pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32()))])
 
     def run(batches):
