@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tangency.llm.common import U64, free_name, map_arrow, mix, partitions, rows, texts_of, written
-from tangency.llm.graph import connected_components
+from tangency.llm.graph import apart, connected_components
 
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 RADIUS = 4
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     rooted = written(rooted, "classes")
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(firsts, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(apart(firsts, "root"), "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
