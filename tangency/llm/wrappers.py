@@ -12,7 +12,7 @@ pages is many small groups, and the wrapper does not depend on partitions or the
 
 Every page is then matched against its host's expression, item by item, and the item decides what its text is (``judged``):
 
-* The article is the host's ``article`` elements (of nested ones the outer, the inner are comments; those in ``main`` before others), else ``main``, else the element that gathers
+* The article is the host's ``article`` elements (of nested ones the outer, the inner are comments; those in ``main`` before others, and those with an h1), else ``main``, else the element that gathers
   most slot text outside links, not further in than where its h1 is.
 * Cut are tags (nav, footer, aside, form, ...), roles, hidden elements and elements with a class or id such as ``site-footer`` or ``comments``.  Such marks do not count on html, body, the article, an element
   that holds the article, or one that holds h1 and over half of all text; nor do ``no-sidebar``, ``has-sidebar``, ``comments-open``.  Of headers inside the article the headings stay.
@@ -44,11 +44,12 @@ DEPTH = 64
 LOOP = 32
 CELLS = 40_000  # of a table for the longest common subsequence; beyond that, items meet first come first served
 SALTS = 256
-KNOWN = 20_000  # shapes, and elements, whose meaning a task remembers
+KNOWN = 20_000  # elements whose meaning a task remembers
+HELD = 300_000  # items of shapes that a task holds or remembers
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"""(?<![\w-])([\w-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "canvas"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "canvas", "video", "audio"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,12 +59,13 @@ _P_SCOPE = {"article", "main", "section", "div", "td", "th", "li", "body", "bloc
 _OUT_TAGS = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "fieldset"}
 _OUT_ROLES = {"navigation", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 _OUT_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "copyright",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "alert", "alerts", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "copyright",
     "disqus", "footer", "form", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted",
     "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
 }
 _HEADER_WORDS = {"header", "masthead", "topbar", "banner"}
 _WHOLE_WORDS = {"widget", "widgets"}
+_OUT_STARTS, _OUT_ENDS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb"), ("footer", "sidebar", "navbar", "menu", "comments", "nav")
 _NOT_SO = {"no", "not", "non", "has", "have", "with", "without", "open", "closed", "close", "collapsed", "enabled", "disabled", "free", "off", "on"}
 _OF_ARTICLE = {"article", "post", "entry", "story", "content"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -81,6 +83,8 @@ def _marks(words: Iterable[str]) -> int:
             continue
         if parts[0] in _OUT_WORDS or parts[-1] in _OUT_WORDS or len(parts) == 1 and parts[0] in _WHOLE_WORDS:
             return CUT
+        if parts[0].startswith(_OUT_STARTS) or parts[-1].endswith(_OUT_ENDS):
+            return CUT
         if (parts[0] in _HEADER_WORDS or parts[-1] in _HEADER_WORDS) and not _OF_ARTICLE.intersection(parts):
             found = HEADER
     return found
@@ -93,7 +97,7 @@ def _element(tag: str, attrs: str) -> tuple[str, int]:
         return tag, own
     a = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     cls, id_, role = a.get("class", "").split(), a.get("id", ""), a.get("role", "").strip().lower()
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) or "display:none" in a.get("style", "").replace(" ", "") or a.get("aria-hidden") == "true" or role in _OUT_ROLES:
+    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) or "display:none" in a.get("style", "").lower().replace(" ", "") or a.get("aria-hidden") == "true" or role in _OUT_ROLES:
         own = CUT
     elif tag not in ("html", "body"):
         found = own, _marks([*cls, *id_.split()]), HEADER if role == "banner" else 0
@@ -517,7 +521,8 @@ class Judge:
         mains = self._mains(wrapper, "main")
         found = self._mains(mains, "article") or mains or self._mains(wrapper, "article")
         if found:
-            return found, True
+            titled = [x for x in found if self.size[id(x)][3]]
+            return titled or found, True  # others beside an article with an h1 are teasers or comments
         at = wrapper[0]
         while at[KIDS]:
             top = max(at[KIDS], key=self.weight)
@@ -585,6 +590,7 @@ class Extractor:
     def __init__(self) -> None:
         self.elements: dict = {}
         self.known: dict[tuple[str, str], list[tuple[bool, str]]] = {}
+        self.held = 0
 
     def _meaning(self, items: list[list], place: list[list], key: tuple[str, str] | None) -> list[tuple[bool, str]]:
         """For each element item in order whether its text is kept, and its constant."""
@@ -592,9 +598,11 @@ class Extractor:
         if told is None:
             told = [(w[KEPT], w[CONSTANT]) for x, w in matched(items, place) if x[SIG][0] != "("]
             if key:
-                if len(self.known) > KNOWN:
+                if self.held > HELD:
                     self.known.clear()
+                    self.held = 0
                 self.known[key] = told
+                self.held += len(told) + len(key[1]) // 64
         return told
 
     def __call__(self, text: str, place: list[list] | None, host: str | None = None) -> str:
@@ -644,15 +652,18 @@ def infer(pages: DataFrame) -> DataFrame:
     def partial(batches):
         held: dict[tuple[str, str], list] = {}
         known: dict = {}
+        size = 0
         for batch in slices(batches):
             for host, t in zip(batch.column(0).to_pylist(), texts_of(batch, "html"), strict=True):
                 text = t.decode("utf-8", "replace")
                 one = items_of(read_page(text, known), text)
                 key = host, shape(one)
+                if key not in held:
+                    size += 1 + key[1].count("[") // 2
                 held[key] = summed(held[key], one) if key in held else summed_alone(one)
-            if len(held) > KNOWN:
-                yield from sent(held)
-                held = {}
+                if size > HELD:
+                    yield from sent(held)
+                    held, size = {}, 0
         yield from sent(held)
 
     def sent(held):
