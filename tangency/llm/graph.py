@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tangency.llm.common import written
 
+FEW, EDGES = 16, 500_000  # tasks that write a step at least, and edges a task
+
 
 def apart(df: DataFrame, key: str) -> DataFrame:
     """``df`` with a key that the planner takes for another: an aggregate's rows are dealt out anew before a join, which adaptive execution can then split where one key has many partners."""
@@ -32,13 +34,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is its least node.  Empty edges give an empty table."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    seen, n = None, now.count()
     for _ in range(max_steps):
-        now = written(_small_star(_large_star(now)), "stars")
+        # steps add no edges: a table of few is written by few tasks
+        now = written(_small_star(_large_star(now)).coalesce(max(FEW, -(-n // EDGES))), "stars")
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if (mark["n"], mark["h"]) == seen:
             break
-        seen = (mark["n"], mark["h"])
+        seen, n = (mark["n"], mark["h"]), mark["n"]
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
