@@ -25,12 +25,6 @@ TABLES = {
 }
 #: Exchanges of a new store.
 EXCHANGES = [("US", "US markets", "USD"), ("NZX", "New Zealand Exchange", "NZD"), ("ASX", "Australian Securities Exchange", "AUD")]
-#: The files of a data folder, {file: (exchange, asset type)}, and pairs of forecasts with their exchange.
-PRICE_FILES = {
-    "ETF_Prices.csv": ("US", "etf"), "time_series_20251016_113257.csv": ("NZX", "managed_fund"), "leveraged_ETF_Prices.csv": ("US", "etf"), "2x_leveraged_ETF_Prices.csv": ("US", "etf"), "NZ_ETF_Prices.csv": ("NZX", "etf"),
-}
-FORECAST_FILES = [("expected_returns.csv", "variances.csv", "US"), ("NZ_expected_returns.csv", "NZ_variances.csv", "US")]
-TICKER_FILES = {"ETFs_Full.csv": ("US", "etf"), "US_Stocks.csv": ("US", "stock"), "NZ_ETFs.csv": ("NZX", "etf"), "2x_leveraged_ETFs.csv": ("US", "etf"), "3x_leveraged_ETFs.csv": ("US", "etf")}
 
 
 class Store:
@@ -154,10 +148,11 @@ class Store:
     def counts(self) -> dict[str, int]:
         return {t: self.read(t).count() for t in TABLES}
 
-    def import_folder(self, folder: str) -> list[str]:
-        """``import_csvs`` of the known files of a folder."""
+    def import_folder(self, folder: str, listing: dict) -> list[str]:
+        """``import_csvs`` of a folder's files, as ``listing`` has them: {"prices": {file: (exchange, asset type)}, "forecasts": [(mu, variance, exchange)], "tickers": as prices}."""
         at = lambda name: f"{folder.rstrip('/')}/{name}"
-        return self.import_csvs({at(n): v for n, v in PRICE_FILES.items()}, [(at(m), at(v), e) for m, v, e in FORECAST_FILES], {at(n): v for n, v in TICKER_FILES.items()})
+        named = lambda kind: {at(n): tuple(v) for n, v in listing.get(kind, {}).items()}
+        return self.import_csvs(named("prices"), [(at(m), at(v), e) for m, v, e in listing.get("forecasts", [])], named("tickers"))
 
     def import_csvs(self, prices: dict[str, tuple[str, str]], forecasts: list[tuple[str, str, str]] = (), tickers: dict[str, tuple[str, str]] | None = None) -> list[str]:
         """Loads price files {path: (exchange, asset type)}, forecast pairs (mu path, variance path, exchange) and ticker lists (as price files; the first column); missing files are named."""
