@@ -130,3 +130,52 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sum(body + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 15 + named END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
 
 
+
+
+_WORDS = "regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')"
+AUDIT_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+f AS (SELECT part, len({_WORDS}) < 200 AS a, 100 * len(list_distinct({_WORDS})) < 50 * len({_WORDS}) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first_id, false) AS e, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic FROM d JOIN firsts USING (t)),
+m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+grown AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM grown, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+steps AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS before
+FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM grown WHERE length(filter_order) = 5)),
+counts AS (SELECT part, filter_order, step, own, sum(n) FILTER (fails & (before | own) = 0) AS kept, sum(n) FILTER (fails & before = 0 AND fails & own <> 0) AS removed,
+sum(n) FILTER (fails & before <> 0 AND fails & own <> 0) AS redundant, sum(n) FILTER (fails = own) AS unique_fails, sum(good) FILTER (fails & before = 0 AND fails & own <> 0) AS good_lost,
+sum(toxic) FILTER (fails & before = 0 AND fails & own <> 0) AS toxic_lost FROM m, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, filter_order[step] AS "filter", coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM counts"""
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINES_SQL = f"""WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+lines AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM cut),
+keyed AS (SELECT doc_id, i, line, translate(trim(line, {_BLANKS}), '{UPPER}', '{LOWER}') AS k FROM lines),
+often AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+told AS (SELECT doc_id, i, line, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM keyed LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY doc_id"""
+
+
+def _nearest(books: str) -> str:
+    """The nearest entry of ``books`` (p, e, y) to each part of ``parts`` (vec_id, p, x)."""
+    gap = "list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT vec_id, p, x, arg_min(e, (g, e)) AS e, min(g) AS g FROM (SELECT vec_id, p, x, e, {gap}::BIGINT AS g FROM parts JOIN {books} USING (p)) GROUP BY ALL"
+
+
+def _moved(codes: str, books: str) -> str:
+    """Entries at the floor of the mean of the parts that chose them."""
+    means = f"SELECT p, e, list(m ORDER BY k) AS y FROM (SELECT p, e, k, floor(sum(c)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT p, e, unnest(x) AS c, unnest(range(len(x))) AS k FROM {codes}) GROUP BY p, e, k) GROUP BY p, e"
+    return f"SELECT p, e, coalesce(n.y, o.y) AS y FROM {books} o LEFT JOIN ({means}) n USING (p, e)"
+
+
+CODES_SQL = f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64),
+b0 AS (SELECT p, e, x AS y FROM parts JOIN firsts USING (vec_id)), c0 AS ({_nearest("b0")}),
+b1 AS ({_moved("c0", "b0")}), c1 AS ({_nearest("b1")}),
+b2 AS ({_moved("c1", "b1")}), c2 AS ({_nearest("b2")}),
+told AS (SELECT vec_id, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(g)::BIGINT AS error FROM c2 GROUP BY vec_id),
+named AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM told JOIN kept USING (vec_id), named"""

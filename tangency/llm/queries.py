@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangency.llm import chat, decontaminate, importance, katz, oracle, passages, quality_rules, sentencepiece_codec, simhash, toxicity, wrappers
+from tangency.llm import chat, decontaminate, filter_audit, importance, katz, line_dedup, oracle, passages, quality_rules, sentencepiece_codec, simhash, toxicity, vector_codes, wrappers
 from tangency.llm.common import table
 
 #: Where the vocabulary files are; a parameter of the encoder.
@@ -61,6 +61,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(own.unionByName(extra)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(filter_audit.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,10 +80,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_importance_resampling, op2_decontamination, op3_html_extraction, op4_toxicity, op5_simhash, op6_sentencepiece, op7_katz_scores, op8_quality_rules, op9_repeated_passages, op10_chat_formatting, pipeline]
+    own = [op1_importance_resampling, op2_decontamination, op3_html_extraction, op4_toxicity, op5_simhash, op6_sentencepiece, op7_katz_scores, op8_quality_rules, op9_repeated_passages, op10_chat_formatting, op11_filter_audit, op12_line_dedup, op13_vector_codes, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where the dialect can express a query (``oracle``); learned models, tokenisers and alignments it cannot, tests hold brute force against them."""
-    return {"op1_importance_resampling": oracle.IMPORTANCE_SQL, "op5_simhash": oracle.SIMHASH_SQL, "op10_chat_formatting": oracle.CHAT_SQL}
+    return {"op1_importance_resampling": oracle.IMPORTANCE_SQL, "op5_simhash": oracle.SIMHASH_SQL, "op10_chat_formatting": oracle.CHAT_SQL, "op11_filter_audit": oracle.AUDIT_SQL, "op12_line_dedup": oracle.LINES_SQL, "op13_vector_codes": oracle.CODES_SQL}
