@@ -62,9 +62,10 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The least id of each repeated text and the labels of each id are combined before their shuffles; joins are of narrow rows, one partner each.
     """
-    seen = looked_at(docs)
+    seen = written(looked_at(docs), "looked-at")
     first = seen.where(F.col("doc_id").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    first = first.where(F.col("first_id") < F.col("last_id")).drop("last_id")
+    # a table of its own: each side of the join is a plain shuffle then, which Spark can split at a text that many documents repeat
+    first = written(first.where(F.col("first_id") < F.col("last_id")).drop("last_id"), "repeated-texts")
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     marks = marks.where((F.coalesce(F.col("good"), F.lit(0)) + F.coalesce(F.col("toxic"), F.lit(0))) > 0)
     all_ = seen.join(first, ["h1", "h2"], "left").join(marks, "doc_id", "left")
