@@ -78,10 +78,8 @@ def six_arms(spark: SparkSession, laid: DataFrame, forecast: DataFrame, portfoli
     cc = written(cardinality_portfolios(spark, x, rules, genetic, seeds, box).select("portfolio", "ticker"), "cc")
     cc_f = written(cardinality_portfolios(spark, Inputs.of(mu_f, cov_f), rules, genetic, seeds, box).select("portfolio", "ticker"), "cc-forecast")
     picked = written(subsets(spark.range(portfolios).withColumnRenamed("id", "candidate_id"), mu.select("ticker"), min(rules.least, len(x.names)), min(rules.most, len(x.names)), seed).withColumnRenamed("candidate_id", "portfolio"), "random")
-    rho = forecast_.copula_correlations(named(cc, "cc_copulae"), train)
-    sd = cov.where("ti = tj").select("ti", F.sqrt("cov").alias("s"))
-    si, sj = sd.withColumnRenamed("s", "si"), sd.select(F.col("ti").alias("tj"), F.col("s").alias("sj"))
-    cov_c = rho.join(si, "ti").join(sj, "tj").select("portfolio_id", "ti", "tj", (F.col("si") * F.col("rho") * F.col("sj")).alias("cov"))
+    own_var = cov.where("ti = tj").select(F.col("ti").alias("ticker"), F.col("cov").alias("variance"))
+    cov_c = forecast_.copula_covariances(named(cc, "cc_copulae"), train, own_var)
     best = lambda chosen, m, c: optimal_weights(chosen, m, c).select("portfolio_id", "ticker", "weight")
     held = best(named(cc, "cc_optimised"), mu, cov).unionByName(best(named(cc, "cc_copulae"), mu, cov_c)).unionByName(best(named(cc_f, "cc_forecast"), mu_f, cov_f))
     held = held.unionByName(random_weights(named(cc, "cc_random_weights"), seed)).unionByName(best(named(picked, "random_optimised"), mu, cov)).unionByName(random_weights(named(picked, "random_random"), seed))

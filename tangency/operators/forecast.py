@@ -1,123 +1,41 @@
-"""Forecasts of return and variance, and dependence between series.
+"""Forecasts of return and variance, and dependence between series, as the models' likelihoods have them.
 
-The estimators are approximations, fitted by least squares or a likelihood search: ARIMA orders by a stationarity test and an information criterion with two-stage
-regressions, a Gaussian GJR-GARCH(1,1,1) for one with skewed t errors, and rank correlation turned into a t copula's matrix.
+ARIMA by exact likelihood (``arima``), GJR-GARCH with skewed t errors (``garch``), t copulas by profile likelihood (``copula``).  A series is one group of rows, a portfolio another.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tangency.functions import pvalues
+from tangency.operators import arima, copula, garch
 from tangency.session import ship
 
 YEAR = 252
-KPSS_5 = 0.463  # fixed value: the test's 5 % point
-
-
-def autoregression(y: np.ndarray, orders: range = range(1, 6)) -> tuple[np.ndarray, int]:
-    """(constant and coefficients, order) of the least AIC by conditional least squares."""
-    best = None
-    for p in orders:
-        if len(y) <= 3 * p + 2:
-            break
-        x = np.column_stack([np.ones(len(y) - p), *(y[p - i - 1 : len(y) - i - 1] for i in range(p))])
-        b, *_ = np.linalg.lstsq(x, y[p:], rcond=None)
-        s = float(((y[p:] - x @ b) ** 2).mean())
-        aic = (len(y) - p) * np.log(max(s, 1e-300)) + 2 * (p + 1)
-        if best is None or aic / (len(y) - p) < best[0]:
-            best = (aic / (len(y) - p), b, p)
-    if best is None:
-        raise ValueError("too short")
-    return best[1], best[2]
-
-
-def kpss(y: np.ndarray) -> float:
-    """Statistic of the test that a series is stationary about a level, with Bartlett weights."""
-    n, e = len(y), y - y.mean()
-    lags = int(3 * np.sqrt(n) / 13)
-    long_run = float(e @ e) / n + 2 / n * sum((1 - k / (lags + 1)) * float(e[k:] @ e[:-k]) for k in range(1, lags + 1))
-    return float((np.cumsum(e) ** 2).sum() / (n * n * long_run)) if long_run > 0 else 0.0
-
-
-def differences(y: np.ndarray, most: int = 2) -> int:
-    """How often a series is differenced until the test no longer rejects at 5 %."""
-    d = 0
-    while d < most and len(y) > 12 and kpss(y) > KPSS_5:
-        y, d = np.diff(y), d + 1
-    return d
-
-
-def arma(y: np.ndarray, most_p: int = 3, most_q: int = 2) -> tuple[np.ndarray, int, int, np.ndarray]:
-    """(constant, AR and MA coefficients; p; q; residuals) of the least AIC, by two regressions: residuals of a long autoregression stand for the shocks."""
-    n = len(y)
-    long = max(most_p + most_q, min(10, n // 5))
-    if n < 3 * long + 10:
-        raise ValueError("too short")
-    b, _ = autoregression(y, range(long, long + 1))
-    e = np.concatenate([np.zeros(long), y[long:] - b[0] - sum(b[i + 1] * y[long - i - 1 : n - i - 1] for i in range(long))])
-    start, best = long + most_q, None
-    for p in range(most_p + 1):
-        for q in range(most_q + 1):
-            x = np.column_stack([np.ones(n - start), *(y[start - i - 1 : n - i - 1] for i in range(p)), *(e[start - i - 1 : n - i - 1] for i in range(q))])
-            c, *_ = np.linalg.lstsq(x, y[start:], rcond=None)
-            r = y[start:] - x @ c
-            aic = (n - start) * np.log(max(float((r * r).mean()), 1e-300)) + 2 * (p + q + 1)
-            if np.abs(np.roots([1, *-c[1 : p + 1]])).max(initial=0.0) < 1 and (best is None or aic < best[0]):
-                best = (aic, c, p, q, r)
-    return best[1:]
-
-
-def forecast_return(close: np.ndarray, steps: int = YEAR, least: int = 30) -> float | None:
-    """ln of the last over the first forecast price (at least 1e-4) of an ARIMA(p, d, q) of the prices; None if it cannot be told."""
+
+
+def forecast_return(close: np.ndarray, steps: int = YEAR, least: int = 30, **orders: object) -> float | None:
+    """ln of the last over the first forecast price (at least 1e-4) of an ARIMA(p, d, q) of the prices, p and q up to 5; None if it cannot be told, or if the path starts at zero or below."""
     if len(close) < least:
         return None
     try:
-        d = differences(close)
-        y = np.diff(close, d)
-        c, p, q, e = arma(y)
-        past, shocks = list(y[len(y) - max(p, 1) :]), list(e[len(e) - max(q, 1) :])
-        for _ in range(steps):
-            past.append(float(c[0] + sum(c[1 + i] * past[-1 - i] for i in range(p)) + sum(c[1 + p + i] * shocks[-1 - i] for i in range(q))))
-            shocks.append(0.0)
-        path = np.array(past[-steps:])
-        for k in range(d, 0, -1):
-            path = np.diff(close, k - 1)[-1] + np.cumsum(path)
-        value = np.log(max(1e-4, path[-1]) / path[0]) if path[0] > 0 else np.nan
-        return float(value) if np.isfinite(value) else None
+        path, _, _ = arima.forecast(np.asarray(close, float), steps, **orders)
     except (ValueError, np.linalg.LinAlgError):
         return None
-
-
-def garch_path(r: np.ndarray, a: float, g: float, b: float) -> tuple[np.ndarray, float]:
-    """Conditional variances of GJR-GARCH with variance targeting, and the intercept."""
-    v = float(r.var())
-    w = v * (1 - a - g / 2 - b)
-    h = np.empty(len(r) + 1)
-    h[0] = v
-    for t in range(len(r)):
-        h[t + 1] = w + (a + g * (r[t] < 0)) * r[t] * r[t] + b * h[t]
-    return h, w
+    value = np.log(max(1e-4, path[-1]) / path[0]) if path[0] > 0 else np.nan
+    return float(value) if np.isfinite(value) else None
 
 
 def forecast_variance(ret: np.ndarray, steps: int = YEAR) -> float | None:
-    """Annual variance: mean forecast of a GJR-GARCH(1,1,1) on returns in per cent; None if it cannot be told."""
-    r = 100 * (ret - ret.mean())
-    if len(r) < 30 or r.var() <= 0:
+    """Annual variance: mean forecast of a GJR-GARCH(1,1,1) with a constant mean and skewed t errors, on returns in per cent; None if it cannot be told."""
+    r = 100 * np.asarray(ret, float)
+    try:
+        value = garch.fitted(r).mean_variance(r, steps) / 1e4 * YEAR
+    except (ValueError, np.linalg.LinAlgError):
         return None
-    a, g, b = fitted_garch(r)
-    path, w = garch_path(r, a, g, b)
-    keep, h = a + g / 2 + b, path[-1]
-    total, x = 0.0, h
-    for _ in range(steps):
-        total += x
-        x = w + keep * x
-    value = total / steps / 1e4 * YEAR
     return float(value) if np.isfinite(value) and value > 0 else None
 
 
@@ -149,65 +67,33 @@ def ljung_box(rets: DataFrame, lags: int = 10) -> DataFrame:
     return c.where(F.col("n") > lags).select("ticker", (F.col("n") * (F.col("n") + 2) * q).alias("q"))
 
 
-def copula_correlation(x: np.ndarray) -> np.ndarray:
-    """sin(pi tau / 2) of Kendall's tau between the columns, made positive semi-definite with unit diagonal."""
-    t, n = x.shape
-    tau, block = np.zeros((n, n)), max(1, (1 << 20) // max(1, x.size))
-    for s in range(0, len(x), block):  # pairs of all rows, so many rows at once that a block has about a million signs
-        signs = np.sign(x[s : s + block, None, :] - x[None, :, :]).reshape(-1, n)
-        tau += signs.T @ signs
-    d = np.sqrt(np.maximum(np.diag(tau), 1e-12))
-    r = np.sin(np.pi / 2 * tau / np.outer(d, d))
-    np.fill_diagonal(r, 1.0)
-    v, u = np.linalg.eigh(r)
-    r = (u * np.maximum(v, 1e-10)) @ u.T
-    s = np.sqrt(np.diag(r))
-    r = r / np.outer(s, s)
-    return (r + r.T) / 2
+def standardised(r: np.ndarray) -> np.ndarray:
+    """Residuals of an AR(1)-GARCH(1,1) with skewed t errors over their conditional deviation; one fewer than returns."""
+    return garch.fitted(r, gjr=False, ar=True).standardised(r)
+
 
+def margins(x: np.ndarray, kind: str = "fitted") -> tuple[np.ndarray, np.ndarray]:
+    """(standardised residuals, uniform values) of the columns: through each margin's own skewed t ("fitted"), or by ranks ("ranks")."""
+    found = [garch.fitted(x[:, i], gjr=False, ar=True) for i in range(x.shape[1])]
+    z = np.column_stack([f.standardised(x[:, i]) for i, f in enumerate(found)])
+    if kind == "ranks":
+        return z, copula.ranks(z)
+    return z, np.column_stack([garch.distribution(z[:, i], f.e, f.skew) for i, f in enumerate(found)])
 
-def standardised(r: np.ndarray) -> np.ndarray:
-    """AR(1)-GARCH(1,1) residuals over their conditional deviation, all of them; the margin is fitted to the series (``fitted_garch``)."""
-    b, p = autoregression(r, range(1, 2))
-    e = r[p:] - b[0] - b[1] * r[:-1]
-    if e.var() <= 0:
-        return e
-    a, _, keep = fitted_garch(e, (0.0,))
-    h, _ = garch_path(e, a, 0.0, keep)
-    return e / np.sqrt(np.maximum(h[:-1], 1e-300))
-
-
-def fitted_garch(r: np.ndarray, skews: tuple[float, ...] = (0.0, 0.04, 0.1)) -> tuple[float, float, float]:
-    """(a, g, b) of the largest Gaussian likelihood: a grid, then halving steps around its best."""
-
-    def loss(x: tuple[float, float, float]) -> float:
-        a, g, b = x
-        if a < 0 or b < 0 or a + g < 0 or a + g / 2 + b >= 0.999:
-            return np.inf
-        h, _ = garch_path(r, a, g, b)
-        return float((np.log(np.maximum(h[:-1], 1e-300)) + r * r / np.maximum(h[:-1], 1e-300)).sum())
-
-    best = min(((a, g, b) for a in (0.01, 0.05, 0.1, 0.2) for g in skews for b in (0.5, 0.75, 0.85, 0.93)), key=loss)
-    least, step = loss(best), 0.04
-    while step > 0.004:
-        near = [tuple(v + (step * s if i == k else 0.0) for i, v in enumerate(best)) for k in range(3) if k != 1 or len(skews) > 1 for s in (-1, 1)]
-        found = min(near, key=loss)
-        if loss(found) < least:
-            best, least = found, loss(found)
-        else:
-            step /= 2
-    return best
-
-
-def copula_correlations(chosen: DataFrame, rets: DataFrame) -> DataFrame:
-    """(portfolio_id, ti, tj, rho); the sample correlation where the estimate fails."""
+
+def _wide(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    wide = pdf.pivot(index="t", columns="ticker", values="ret").sort_index()
+    return list(wide.columns), wide.to_numpy(float)
+
+
+def copula_correlations(chosen: DataFrame, rets: DataFrame, kind: str = "fitted") -> DataFrame:
+    """(portfolio_id, ti, tj, rho): the t copula's correlation; the sample correlation where the fit fails."""
     ship(rets.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="t", columns="ticker", values="ret").sort_index()
-        names, x = list(wide.columns), wide.to_numpy(float)
+        names, x = _wide(pdf)
         try:
-            rho = copula_correlation(np.column_stack([standardised(x[:, i]) for i in range(len(names))]))
+            rho = copula.fitted(margins(x, kind)[1]).rho
             if not np.isfinite(rho).all():
                 raise ValueError("not finite")
         except (ValueError, np.linalg.LinAlgError):
@@ -218,37 +104,62 @@ def copula_correlations(chosen: DataFrame, rets: DataFrame) -> DataFrame:
     return chosen.join(rets, "ticker").select("portfolio_id", "ticker", "t", "ret").groupBy("portfolio_id").applyInPandas(run, "portfolio_id string, ti string, tj string, rho double")
 
 
-def copula_likelihoods(rho: np.ndarray, x: np.ndarray, df: float = 5.0) -> tuple[float, float]:
-    """(Gaussian, t) log likelihoods of the copulas with matrix ``rho``, of the ranks of the columns of ``x``; densities with all constants, so the two compare."""
-    n, d = x.shape
-    u = (np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0) + 1) / (n + 1)
-    inverse = np.linalg.inv(rho)
-    _, logdet = np.linalg.slogdet(rho)
-    z = pvalues.normal_quantiles(u)
-    gauss = float(-0.5 * n * logdet - 0.5 * (np.einsum("ij,jk,ik->i", z, inverse, z) - (z * z).sum(axis=1)).sum())
-    points, cdf = pvalues.t_cdf_table(df)
-    y = np.interp(u, cdf, points)
-    q = np.einsum("ij,jk,ik->i", y, inverse, y)
-    joint = math.lgamma((df + d) / 2) - math.lgamma(df / 2) - 0.5 * d * math.log(df * math.pi) - 0.5 * logdet - 0.5 * (df + d) * np.log1p(q / df)
-    margin = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - 0.5 * (df + 1) * np.log1p(y * y / df)
-    return gauss, float((joint - margin.sum(axis=1)).sum())
-
-
-def copula_diagnostics(chosen: DataFrame, rets: DataFrame, lags: int = 10, alpha: float = 0.05) -> DataFrame:
-    """(portfolio_id, ticker, q, p, adequate, gaussian, t): Ljung-Box on each series' squared standardised residuals, and the two copulas' log likelihoods of the portfolio."""
+def copula_covariances(chosen: DataFrame, rets: DataFrame, variances: DataFrame, kind: str = "fitted") -> DataFrame:
+    """(portfolio_id, ti, tj, cov): D R D of each portfolio, R its copula's correlation, D from ``variances`` (ticker, variance; annual, negative ones as 0)."""
+    d = variances.select("ticker", F.sqrt(F.greatest("variance", F.lit(0.0))).alias("d"))
+    di, dj = d.toDF("ti", "di"), d.toDF("tj", "dj")
+    return copula_correlations(chosen, rets, kind).join(di, "ti").join(dj, "tj").select("portfolio_id", "ti", "tj", (F.col("di") * F.col("rho") * F.col("dj")).alias("cov"))
+
+
+def copula_diagnostics(chosen: DataFrame, rets: DataFrame, lags: int = 10, alpha: float = 0.05, kind: str = "fitted") -> DataFrame:
+    """(portfolio_id, ticker, q, p, adequate, gaussian, t, nu): Ljung-Box on each series' squared standardised residuals, and of the portfolio the two copulas' log likelihoods and the t copula's degrees of freedom."""
     ship(rets.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="t", columns="ticker", values="ret").sort_index()
-        names = list(wide.columns)
-        x = np.column_stack([standardised(wide[c].to_numpy(float)) for c in names])
-        gauss, t = copula_likelihoods(copula_correlation(x), x)
-        y = x * x - (x * x).mean(axis=0)
-        n, c0 = len(x), (y * y).sum(axis=0)
+        names, x = _wide(pdf)
+        z, u = margins(x, kind)
+        fit = copula.fitted(u)
+        y = z * z - (z * z).mean(axis=0)
+        n, c0 = len(z), (y * y).sum(axis=0)
         rho = np.array([(y[k:] * y[:-k]).sum(axis=0) / np.maximum(c0, 1e-300) for k in range(1, lags + 1)])
         q = n * (n + 2) * (rho**2 / (n - np.arange(1, lags + 1))[:, None]).sum(axis=0)
         p = [pvalues.chi2_sf(float(v), lags) for v in q]
-        return pd.DataFrame({"portfolio_id": pdf["portfolio_id"].iloc[0], "ticker": names, "q": q, "p": p, "adequate": [v >= alpha for v in p], "gaussian": gauss, "t": t})
+        return pd.DataFrame({"portfolio_id": pdf["portfolio_id"].iloc[0], "ticker": names, "q": q, "p": p, "adequate": [v >= alpha for v in p], "gaussian": fit.gaussian, "t": fit.loglik, "nu": fit.nu})
 
     series = chosen.join(rets, "ticker").select("portfolio_id", "ticker", "t", "ret")
-    return series.groupBy("portfolio_id").applyInPandas(run, "portfolio_id string, ticker string, q double, p double, adequate boolean, gaussian double, t double")
+    return series.groupBy("portfolio_id").applyInPandas(run, "portfolio_id string, ticker string, q double, p double, adequate boolean, gaussian double, t double, nu double")
+
+
+def arima_orders(laid: DataFrame, most_p: int = 5, most_q: int = 5, criterion: str = "aic", least: int = 30) -> DataFrame:
+    """(ticker, p, d, q, loglik, criterion, level, variance, ar, ma): the model chosen for each price series; series too short for one have none."""
+    ship(laid.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("t")["close"].dropna().to_numpy(float)
+        try:
+            if len(y) < least:
+                raise ValueError("too short")
+            _, d, m = arima.forecast(y, 1, most_p=most_p, most_q=most_q, criterion=criterion)
+        except (ValueError, np.linalg.LinAlgError):
+            return pd.DataFrame()
+        return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]], "p": m.p, "d": d, "q": m.q, "loglik": -m.deviance / 2, "criterion": m.criterion, "level": m.level, "variance": m.variance, "ar": [m.phi.tolist()], "ma": [m.theta.tolist()]})
+
+    schema = "ticker string, p int, d int, q int, loglik double, criterion double, level double, variance double, ar array<double>, ma array<double>"
+    return laid.select("ticker", "t", "close").groupBy("ticker").applyInPandas(run, schema)
+
+
+def garch_fits(rets: DataFrame) -> DataFrame:
+    """(ticker, constant, omega, alpha, gamma, beta, nu, skew, loglik, normal_loglik): the GJR-GARCH of each return series in per cent; nu is null for normal tails."""
+    ship(rets.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = 100 * pdf.sort_values("t")["ret"].to_numpy(float)
+        try:
+            f, g = garch.fitted(r), garch.fitted(r, errors="normal")
+        except (ValueError, np.linalg.LinAlgError):
+            return pd.DataFrame()
+        nu = 1 / f.e if f.e >= garch.LEAST_E else np.nan
+        return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]], "constant": f.constant, "omega": f.omega, "alpha": f.alpha, "gamma": f.gamma, "beta": f.beta, "nu": nu, "skew": f.skew, "loglik": f.loglik, "normal_loglik": g.loglik})
+
+    schema = "ticker string, constant double, omega double, alpha double, gamma double, beta double, nu double, skew double, loglik double, normal_loglik double"
+    return rets.select("ticker", "t", "ret").groupBy("ticker").applyInPandas(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tangency.functions.randomness import uniform
+from tangency.operators.frontier import Frontier, frontier, residual
 from tangency.session import ship
 
 
@@ -76,8 +77,39 @@ def ratio(w: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> float:
     return float(w @ mu) / np.sqrt(v) if v > 0 else 0.0
 
 
+def _on_corners(upper: Frontier, mu: np.ndarray, cov: np.ndarray, low: float, high: float, target_return: float | None, target_risk: float | None, min_return: float | None, hi: float, lo: float) -> tuple[np.ndarray, str]:
+    least, top = upper.weights[0], upper.weights[-1]
+
+    def at_return(r: float) -> np.ndarray:
+        if r >= float(least @ mu):
+            return upper.at_return(r)
+        lower = frontier(-mu, cov, low, high)
+        if lower is None:
+            raise np.linalg.LinAlgError("no lower frontier")
+        return lower.at_return(-r)
+
+    if target_return is not None:
+        if not lo - 1e-9 <= target_return <= hi + 1e-9:
+            return top if target_return > hi else extreme_return(mu, low, high, False), "infeasible"
+        return at_return(target_return), "optimal"
+    if target_risk is not None:
+        risks = upper.risks()
+        if not risks[0] - 1e-9 <= target_risk <= risks[-1] + 1e-9:
+            return least if target_risk < risks[0] else top, "infeasible"
+        return upper.at_risk(target_risk), "optimal"
+    if min_return is not None and min_return > hi + 1e-9:
+        return top, "infeasible"
+    best = upper.largest_ratio()
+    if min_return is not None and float(best @ mu) < min_return:
+        return at_return(min_return), "optimal"
+    return best, "optimal"
+
+
 def max_sharpe(mu: np.ndarray, cov: np.ndarray, low: float = 0.0, high: float = 0.3333, target_return: float | None = None, target_risk: float | None = None, min_return: float | None = None) -> tuple[np.ndarray, str]:
-    """(weights, status).  Target return and target risk are equalities and exclude each other; min_return is an inequality."""
+    """(weights, status).  Target return and target risk are equalities and exclude each other; min_return is an inequality.
+
+    Points of the frontier's segments (``frontier``); where its corners cannot be walked (a covariance that is singular on free weights), by projected gradients.
+    """
     n = len(mu)
     if target_return is not None and target_risk is not None:
         raise ValueError("a target for return or for risk, not both")
@@ -85,6 +117,9 @@ def max_sharpe(mu: np.ndarray, cov: np.ndarray, low: float = 0.0, high: float =
         return np.full(n, 1 / n if n else 0.0), "infeasible"
     top, bottom = extreme_return(mu, low, high), extreme_return(mu, low, high, False)
     hi, lo = float(top @ mu), float(bottom @ mu)
+    upper = frontier(mu, cov, low, high)
+    if upper is not None:
+        return _on_corners(upper, mu, cov, low, high, target_return, target_risk, min_return, hi, lo)
     far = 1e4 * max(float(np.linalg.norm(cov, 2)), 1e-12) / max(float(np.ptp(mu)), 1e-12)
     gain = lambda w: float(w @ mu)
     risk = lambda w: float(np.sqrt(max(w @ cov @ w, 0.0)))
@@ -171,31 +206,64 @@ def risk_parity(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> tuple[n
     return w, "bounded"
 
 
+def _cells(chosen: DataFrame, mu: DataFrame, cov: DataFrame) -> DataFrame:
+    """(portfolio_id, ti, tj, x): expected returns (tj null) and covariances of each portfolio's holdings."""
+    named = chosen.join(mu, "ticker", "left")
+    cells = chosen.withColumnRenamed("ticker", "ti").join(chosen.withColumnRenamed("ticker", "tj"), "portfolio_id").join(cov, [c for c in ("portfolio_id", "ti", "tj") if c in cov.columns])
+    return named.select("portfolio_id", F.col("ticker").alias("ti"), F.lit(None).cast("string").alias("tj"), F.col("mu").alias("x")).unionByName(cells.select("portfolio_id", "ti", "tj", F.col("cov").alias("x")))
+
+
+def _inputs_of(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(tickers, expected returns, covariance) of one portfolio's cells."""
+    own = pdf[pdf["tj"].isna()].sort_values("ti")
+    names, m = list(own["ti"]), own["x"].to_numpy(float)
+    place = {t: i for i, t in enumerate(names)}
+    c = np.zeros((len(names), len(names)))
+    for a, b, v in pdf[~pdf["tj"].isna()][["ti", "tj", "x"]].itertuples(index=False):
+        if a in place and b in place:
+            c[place[a], place[b]] = v
+    return names, m, c
+
+
 def solve(chosen: DataFrame, mu: DataFrame, cov: DataFrame, how: str = "sharpe", low: float = 0.0, high: float | None = 0.3333, **targets: float | None) -> DataFrame:
     """(portfolio_id, ticker, weight, status) for each portfolio of (portfolio_id, ticker).  A portfolio's covariance is the size of its holdings.
 
     ``cov`` (ti, tj, cov) is one for all, or with a portfolio_id one for each.  A portfolio with a ticker that ``mu`` has not gets no weights and the status "unknown ticker".
     """
     ship(chosen.sparkSession)
-    named = chosen.join(mu, "ticker", "left")
-    cells = chosen.withColumnRenamed("ticker", "ti").join(chosen.withColumnRenamed("ticker", "tj"), "portfolio_id").join(cov, [c for c in ("portfolio_id", "ti", "tj") if c in cov.columns])
-    rows = named.select("portfolio_id", F.col("ticker").alias("ti"), F.lit(None).cast("string").alias("tj"), F.col("mu").alias("x")).unionByName(cells.select("portfolio_id", "ti", "tj", F.col("cov").alias("x")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["tj"].isna()].sort_values("ti")
-        names, m = list(own["ti"]), own["x"].to_numpy(float)
+        names, m, c = _inputs_of(pdf)
         if np.isnan(m).any():
             return pd.DataFrame({"portfolio_id": pdf["portfolio_id"].iloc[0], "ticker": names, "weight": np.nan, "status": "unknown ticker"})
-        place = {t: i for i, t in enumerate(names)}
-        c = np.zeros((len(names), len(names)))
-        for a, b, v in pdf[~pdf["tj"].isna()][["ti", "tj", "x"]].itertuples(index=False):
-            if a in place and b in place:
-                c[place[a], place[b]] = v
         top = ceiling(len(names)) if high is None else high
         w, status = risk_parity(c, low, top) if how == "parity" else max_sharpe(m, c, low, top, **targets)
         return pd.DataFrame({"portfolio_id": pdf["portfolio_id"].iloc[0], "ticker": names, "weight": w, "status": status})
 
-    return rows.groupBy("portfolio_id").applyInPandas(run, "portfolio_id string, ticker string, weight double, status string")
+    return _cells(chosen, mu, cov).groupBy("portfolio_id").applyInPandas(run, "portfolio_id string, ticker string, weight double, status string")
+
+
+def corners(chosen: DataFrame, mu: DataFrame, cov: DataFrame, low: float = 0.0, high: float = 0.3333) -> DataFrame:
+    """(portfolio_id, corner, tilt, ret, risk, residual, ticker, weight): the corner portfolios of each portfolio's frontier, from the least risk to the largest return.
+
+    Portfolios that the box allows no weights, that have unknown tickers or a covariance singular on free weights have none.
+    """
+    ship(chosen.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, m, c = _inputs_of(pdf)
+        n = len(names)
+        if np.isnan(m).any() or n * high < 1 - 1e-12 or n * low > 1 + 1e-12:
+            return pd.DataFrame()
+        f = frontier(m, c, low, high)
+        if f is None:
+            return pd.DataFrame()
+        k = len(f.tilts)
+        own = [residual(w, t, m, c, low, high) for w, t in zip(f.weights, f.tilts, strict=True)]
+        each = lambda x: np.repeat(x, n)
+        return pd.DataFrame({"portfolio_id": pdf["portfolio_id"].iloc[0], "corner": each(np.arange(k)), "tilt": each(f.tilts), "ret": each(f.gains()), "risk": each(f.risks()), "residual": each(own), "ticker": names * k, "weight": f.weights.ravel()})
+
+    return _cells(chosen, mu, cov).groupBy("portfolio_id").applyInPandas(run, "portfolio_id string, corner int, tilt double, ret double, risk double, residual double, ticker string, weight double")
 
 
 def random_weights(chosen: DataFrame, seed: int) -> DataFrame:

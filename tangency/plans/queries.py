@@ -657,6 +657,12 @@ def max_sharpe_weights(s, d):
     return weights.solve(chosen(s, r), moments.expected(r), covs(r), "sharpe", 0.0, 0.5)
 
 
+@query
+def frontier_corners(s, d):
+    r = rets(s, d)
+    return weights.corners(chosen(s, r), moments.expected(r), covs(r), 0.0, 0.5)
+
+
 @query
 def target_return_weights(s, d):
     r = rets(s, d)
@@ -747,6 +753,24 @@ def copula_fit(s, d):
     return forecast.copula_diagnostics(chosen(s, r), r)
 
 
+@query
+def arima_models(s, d):
+    """The ARIMA of each daily type panel's price series."""
+    return forecast.arima_orders(brands(s, d))
+
+
+@query
+def garch_models(s, d):
+    return forecast.garch_fits(moments.log_returns(brands(s, d)))
+
+
+@query
+def copula_cov(s, d):
+    """Covariances of each portfolio with its copula's correlations and the series' own variances."""
+    r = rets(s, d)
+    return forecast.copula_covariances(chosen(s, r), r, moments.variances(r))
+
+
 @query
 def benchmark_report(s, d):
     """Three algorithms on five seeds each through the runner, then the report's pairwise tests."""
