@@ -4,7 +4,7 @@ A wrapper is a union-free regular expression over page structure: elements in or
 with text slots.  It is inferred by alignment.  A page's elements are folded (adjacent repetitions of one to three siblings become a
 repeated group); two such expressions are aligned by their longest common subsequence of element signatures (tag, class, id, role); what only one of them
 has becomes optional, a run that the other repeats joins its group, what both have is aligned inside, and differing text becomes a slot.  Sibling lists of over ``LOOP`` items
-become one repeated group of optional items, so a wrapper is no larger than its host's distinct elements.
+become one repeated group of optional items (each keeps what it is told to be, their order is not told), so a wrapper is no larger than its host's distinct elements.
 
 How it runs.  Pages of one host and one folded shape have one expression; tasks add up what their slots hold, and partial sums meet by (host, shape).
 Distinct shapes are aligned in the order of their text, first in ``SALTS`` parts of a host, streamed, then part by part.  So a host with a third of all
@@ -12,9 +12,10 @@ pages is many small groups, and the wrapper does not depend on partitions or the
 
 Every page is then matched against its host's expression, item by item, and the item decides what its text is (``judged``):
 
-* The article is the host's ``article`` elements (of nested ones the outer, the inner are comments; those in ``main`` before others, and those with an h1), else ``main``, else the element that gathers
+* The article is the host's ``article`` elements (of nested ones the outer, the inner are comments; those in ``main`` before others; beside one with an h1 no teasers), with the h1 before them if they have none, else ``main``, else the element that gathers
   most slot text outside links, not further in than where its h1 is.
-* Cut are tags (nav, footer, aside, form, ...), roles, hidden elements and elements with a class or id such as ``site-footer`` or ``comments``.  Such marks do not count on html, body, the article, an element
+* Cut are tags (nav, footer, aside, form, ...), roles, hidden elements and elements with a class such as ``site-footer`` or ``comments``, or an id made of such words only (``related-work`` is the slug of a
+  heading).  A mark is part of an element's signature, so marked and unmarked elements are never one item.  Such marks do not count on html, body, the article, an element
   that holds the article, or one that holds h1 and over half of all text; nor do ``no-sidebar``, ``has-sidebar``, ``comments-open``.  Of headers inside the article the headings stay.
 * Outside ``article`` and ``main`` elements, repeated groups and lists that are mostly links are cut, and so is a slot with one text on ``DISTINCT`` different pages at
   least and on nine in ten of a host's, where a page has that very text; but not if such slots are the larger part of the article (copies of one page).
@@ -29,7 +30,6 @@ import hashlib
 import html as html_
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -42,13 +42,13 @@ DISTINCT = 5  # different pages that tell a constant slot
 SENT_BYTES = 32 << 20  # wrappers are sent to all tasks up to this size, else joined
 DEPTH = 64
 LOOP = 32
-CELLS = 40_000  # of a table for the longest common subsequence; beyond that, items meet first come first served
+HELD_BITS = 1 << 29  # of a table for the longest common subsequence that is held at once
 SALTS = 256
 KNOWN = 20_000  # elements whose meaning a task remembers
 HELD = 300_000  # items of shapes that a task holds or remembers
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
-_ATTR = re.compile(r"""(?<![\w-])([\w-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
+_ATTR = re.compile(r"""([^\s=/>"']++)\s*+(?:=\s*+("[^"]*"|'[^']*'|[^\s>"']\S*+)?)?""")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "canvas", "video", "audio"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
@@ -67,9 +67,19 @@ _HEADER_WORDS = {"header", "masthead", "topbar", "banner"}
 _WHOLE_WORDS = {"widget", "widgets"}
 _OUT_STARTS, _OUT_ENDS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb"), ("footer", "sidebar", "navbar", "menu", "comments", "nav")
 _NOT_SO = {"no", "not", "non", "has", "have", "with", "without", "open", "closed", "close", "collapsed", "enabled", "disabled", "free", "off", "on"}
-_OF_ARTICLE = {"article", "post", "entry", "story", "content"}
+#: What an id of page furniture is made of, beside the words above; an id with any other part is the slug of a heading.
+_PLAIN_WORDS = {
+    "area", "articles", "banner", "bar", "block", "bottom", "box", "btn", "button", "buttons", "center", "col", "column", "container", "content", "div", "embed", "float", "global", "google", "gpt", "header", "holder",
+    "inner", "item", "items", "large", "left", "link", "links", "list", "lower", "main", "mobile", "outer", "page", "pages", "panel", "popular", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "site",
+    "slot", "small", "stories", "sub", "thread", "tools", "top", "unit", "upper", "widget", "wide", "wrap", "wrapper", "zone",
+}
+_PLAIN_ENOUGH = {"ad", "ads", "adsense", "advert", "advertisement", "adverts", "comment", "comments", "disqus", "replies", "respond"}  # on elements that carry slugs
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_SLUG_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "section", "p", "li", "dt", "dd", "td", "th", "tr", "table", "figure", "blockquote", "pre", "a", "span"}
+_OF_ARTICLE = {"article", "post", "entry", "story", "content"}
 CUT, HEADER = 1, 2  # how an element is marked
+_MARKED = {0: "!plain", CUT: "!cut", HEADER: "!header"}
+_BY_TAG = {t: CUT for t in _OUT_TAGS} | {"header": HEADER}
 
 # -------------------------------------------------------------------------------------------------------- reading
 
@@ -90,21 +100,31 @@ def _marks(words: Iterable[str]) -> int:
     return found
 
 
+def _id_marks(tag: str, id_: str) -> int:
+    """How an id marks its element.  Slugs of headings are the commonest ids, so all its parts must be words of page furniture, elements that carry slugs are marked as comments and adverts only, and headings never."""
+    parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", id_).lower())
+    if tag in _SLUG_TAGS:
+        return CUT if tag not in _HEADINGS and set(parts) <= _PLAIN_WORDS | _PLAIN_ENOUGH and _PLAIN_ENOUGH.intersection(parts) else 0
+    if set(parts) <= _PLAIN_WORDS | _OUT_WORDS | _HEADER_WORDS | _WHOLE_WORDS or len(parts) == 1:
+        return _marks([id_])
+    return 0
+
+
 def _element(tag: str, attrs: str) -> tuple[str, int]:
-    """Signature of an element and how it is marked."""
+    """Signature of an element, its mark being part of it, and how it is marked."""
     own = CUT if tag in _OUT_TAGS else HEADER if tag == "header" else 0
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return tag, own
-    a = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    cls, id_, role = a.get("class", "").split(), a.get("id", ""), a.get("role", "").strip().lower()
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) or "display:none" in a.get("style", "").lower().replace(" ", "") or a.get("aria-hidden") == "true" or role in _OUT_ROLES:
+    a: dict[str, str] = {}
+    for k, v in _ATTR.findall(attrs):
+        a.setdefault(k.lower(), v.strip("\"'"))
+    cls, id_, role = a.get("class", "").split(), a.get("id", "").strip(), a.get("role", "").strip().lower()
+    if "hidden" in a or "display:none" in a.get("style", "").lower().replace(" ", "") or a.get("aria-hidden", "").strip().lower() == "true" or role in _OUT_ROLES:
         own = CUT
     elif tag not in ("html", "body"):
-        found = own, _marks([*cls, *id_.split()]), HEADER if role == "banner" else 0
+        found = own, _marks(cls), _id_marks(tag, id_), HEADER if role == "banner" else 0
         own = CUT if CUT in found else HEADER if HEADER in found else 0
     id_ = "" if re.search(r"\d", id_) else id_  # numbered ids name one element of one page
     kept = " ".join(c for c in cls if not re.search(r"\d{2}", c))
-    return tag + "".join(f"{m}{x}" for m, x in ((".", kept), ("#", id_), ("@", role)) if x), own
+    return tag + "".join(f"{m}{x}" for m, x in ((".", kept), ("#", id_), ("@", role)) if x) + (_MARKED[own] if own != _BY_TAG.get(tag, 0) else ""), own
 
 
 class Page:
@@ -140,7 +160,7 @@ def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
 def read_page(page: str, known: dict | None = None) -> Page:
     known = {} if known is None else known
     out = Page()
-    stack, names, links = [0], {}, 0
+    stack, names, links = [0], {}, 0  # names: depths at which elements of a tag are open
     unclosed: set[str] = set()
     at = 0
 
@@ -158,9 +178,12 @@ def read_page(page: str, known: dict | None = None) -> Page:
         if any(out.tags[e] not in _INLINE for e in stack[depth:]):
             out.texts.append((-1, "\n"))
         for e in stack[depth:]:
-            names[out.tags[e]] -= 1
+            names[out.tags[e]].pop()
         del stack[depth:]
 
+    def deepest(tags: Iterable[str]) -> int:
+        return max((names[t][-1] for t in tags if names.get(t)), default=0)
+
     while at < len(page):
         lt = page.find("<", at)
         if lt < 0:
@@ -190,10 +213,7 @@ def read_page(page: str, known: dict | None = None) -> Page:
             if tag == "a":
                 links = max(0, links - 1)
             if names.get(tag):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if out.tags[stack[depth]] == tag:
-                        close(depth)
-                        break
+                close(names[tag][-1])
             elif tag not in _INLINE:
                 out.texts.append((-1, "\n"))
             continue
@@ -224,19 +244,13 @@ def read_page(page: str, known: dict | None = None) -> Page:
             if tag in _ENDS_P:
                 links = 0
             shut = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            if any(names.get(s) for s in shut):
-                stop = _SCOPE.get(tag, _P_SCOPE)
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_ = out.tags[stack[depth]]
-                    if open_ in shut:
-                        close(depth)
-                        break
-                    if open_ in stop:
-                        break
+            depth = deepest(shut)
+            if depth and depth >= deepest(_SCOPE.get(tag, _P_SCOPE)):
+                close(depth)
             out.texts.append((-1, "\n"))
         e = len(out.tags)
         if len(stack) >= DEPTH:
-            mark = mark or out.marks[stack[-1]]
+            mark, sig = mark or out.marks[stack[-1]], sig if mark or not out.marks[stack[-1]] else f"{sig}{_MARKED[out.marks[stack[-1]]]}"
         out.kids[stack[min(len(stack), DEPTH) - 1]].append(e)
         out.tags.append(tag)
         out.sigs.append(sig)
@@ -245,7 +259,7 @@ def read_page(page: str, known: dict | None = None) -> Page:
         out.chars.append(0)
         out.linked.append(0)
         out.said.append([])
-        names[tag] = names.get(tag, 0) + 1
+        names.setdefault(tag, []).append(len(stack))
         stack.append(e)
     return out
 
@@ -315,7 +329,7 @@ def join(a: list, b: list, pages: bool = True) -> list:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a common subsequence: the longest, or for lists of over ``CELLS`` cells the first fits."""
+    """Places of a longest common subsequence."""
     if a == b:
         return [(i, i) for i in range(len(a))]
     head = 0
@@ -324,37 +338,54 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    inner: list[tuple[int, int]] = []
-    n, m = len(x), len(y)
-    if n * m > CELLS:
-        places: dict[str, list[int]] = {}
-        for j, s in enumerate(y):
-            places.setdefault(s, []).append(j)
-        j = 0
-        for i, s in enumerate(x):
-            of = places.get(s, [])
-            k = bisect_left(of, j)
-            if k < len(of):
-                inner.append((i, of[k]))
-                j = of[k] + 1
-    elif n and m:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if x[i] == y[j]:
-                inner.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    inner = _longest(a[head : len(a) - tail], b[head : len(b) - tail])
     return [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in inner] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
+def _rows(x: list[str], y: list[str]) -> Iterator[int]:
+    """For each start of ``x`` a number whose bit j is 0 where one more of ``y`` makes the common subsequence longer."""
+    at: dict[str, int] = {}
+    for j, s in enumerate(y):
+        at[s] = at.get(s, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for s in x:
+        same = row & at.get(s, 0)
+        row = ((row + same) | (row - same)) & full
+        yield row
+
+
+def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """By bit vectors, a row for each item of ``x``; beyond ``HELD_BITS`` of rows halves are solved apart (Hirschberg), with the same length."""
+    n, m = len(x), len(y)
+    if not n or not m:
+        return []
+    if n > 1 and n * m > HELD_BITS:
+        half = n // 2
+        *_, front = _rows(x[:half], y)
+        *_, back = _rows(x[:half - 1 : -1], y[::-1])
+        lengths = [0]
+        for j in range(m):
+            lengths.append(lengths[-1] + (not front >> j & 1))
+        best, at, behind = -1, 0, sum(not back >> j & 1 for j in range(m))
+        for j in range(m + 1):
+            if lengths[j] + behind > best:
+                best, at = lengths[j] + behind, j
+            behind -= j < m and not back >> (m - 1 - j) & 1
+        return _longest(x[:half], y[:at]) + [(i + half, j + at) for i, j in _longest(x[half:], y[at:])]
+    kept = list(_rows(x, y))
+    out, i, j = [], n - 1, m - 1
+    while i >= 0 and j >= 0:
+        if kept[i] >> j & 1:
+            j -= 1
+        elif i and not kept[i - 1] >> j & 1:
+            i -= 1
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
 def regrouped(items: list[list], other: list[list]) -> list[list]:
     """Runs of ``items`` that ``other`` has as a repeated group, as that group."""
     for g in other:
@@ -420,7 +451,7 @@ def as_expression(items: list[list]) -> str:
     for x in items:
         slot = "" if not x[CHARS] else " #text"
         inner = as_expression(x[KIDS])
-        body = f"{inner}" if x[SIG].startswith("(") else f"<{x[SIG]}>{slot}{' ' + inner if inner else ''}"
+        body = f"{inner}" if x[SIG].startswith("(") else f"<{x[SIG].partition('!')[0]}>{slot}{' ' + inner if inner else ''}"
         out.append(f"({body}){'+' if x[REP] else ''}{'?' if x[OPT] else ''}")
     return " ".join(out)
 
@@ -458,7 +489,7 @@ def wrapper_of(pages: list[str]) -> list[list]:
 
 
 def _tag(x: list) -> str:
-    return re.split(r"[.#@]", x[SIG], maxsplit=1)[0]
+    return re.split(r"[.#@!]", x[SIG], maxsplit=1)[0]
 
 
 class Judge:
@@ -519,10 +550,15 @@ class Judge:
     def regions(self, wrapper: list[list]) -> tuple[list[list], bool]:
         """The items that are the article, and whether they are article or main elements."""
         mains = self._mains(wrapper, "main")
-        found = self._mains(mains, "article") or mains or self._mains(wrapper, "article")
+        inner = self._mains(mains, "article")
+        found = inner or mains or self._mains(wrapper, "article")
         if found:
             titled = [x for x in found if self.size[id(x)][3]]
-            return titled or found, True  # others beside an article with an h1 are teasers or comments
+            if titled:
+                most = max(map(self.weight, titled))
+                return [x for x in found if self.size[id(x)][3] or not self.teaser(x, most)], True
+            # the headline may stand before the article: in main, or with a text of its own on each page
+            return [*self._headlines(mains if inner else wrapper, found, bool(inner)), *found], True
         at = wrapper[0]
         while at[KIDS]:
             top = max(at[KIDS], key=self.weight)
@@ -533,6 +569,29 @@ class Judge:
             at = top
         return [at], False
 
+    def teaser(self, x: list, most: int) -> bool:
+        """Whether an article beside one with an h1 is a teaser or a comment: one of many, short beside it, mostly links or with linked headings."""
+        text, linked, *_ = self.size[id(x)]
+        todo, said, to_links = list(x[KIDS]), 0, 0
+        while todo:
+            k = todo.pop()
+            if _tag(k) in _HEADINGS:
+                said, to_links = said + self.size[id(k)][0], to_links + self.size[id(k)][1]
+            todo += k[KIDS]
+        return x[REP] or 2 * linked >= text or said > 0 and 2 * to_links >= said or 4 * self.weight(x) < most
+
+    def _headlines(self, items: list[list], found: list[list], in_main: bool) -> list[list]:
+        """h1 elements outside the articles."""
+        regions, out, todo = {id(x) for x in found}, [], list(reversed(items))
+        while todo:
+            x = todo.pop()
+            if id(x) in regions or x[OUT] == CUT and self.cut(x):
+                continue
+            if _tag(x) == "h1" and self.size[id(x)][0] > 0 and not self.fixed(x) and (in_main or x[PAGES] > 1 and x[SAME] is None):
+                out.append(x)
+            todo += reversed(x[KIDS])
+        return out
+
     def fixed(self, x: list) -> bool:
         return bool(x[SAME]) and len(x[MARKS]) >= DISTINCT and 10 * x[PAGES] >= 9 * self.pages
 
@@ -544,6 +603,16 @@ def judged(wrapper: list[list]) -> list[list]:
     judge = Judge(wrapper)
     regions, elements = judge.regions(wrapper)
     inside_of = {id(x) for x in regions}
+    holding: set[int] = set()
+
+    def holds(x: list) -> bool:
+        below = [holds(k) for k in x[KIDS]]
+        if any(below):
+            holding.add(id(x))
+        return any(below) or id(x) in inside_of
+
+    for x in wrapper:
+        holds(x)
     size = {True: 0, False: 0}
 
     def look(items, inside, headings):
@@ -551,7 +620,7 @@ def judged(wrapper: list[list]) -> list[list]:
         for x in items:
             here = inside or id(x) in inside_of
             kept, only = here, headings
-            if judge.cut(x) or inside and elements and _tag(x) == "article" and id(x) not in inside_of:
+            if judge.cut(x) and id(x) not in inside_of and id(x) not in holding or inside and elements and _tag(x) == "article" and id(x) not in inside_of:
                 if here and elements and x[OUT] == HEADER:
                     only = True
                 else:
