@@ -2,8 +2,9 @@
 
 Terms of a text are its lower-cased words without outer punctuation and the first four and six characters of each; they are
 hashed to 2^20 buckets.  On a bounded sample of labelled rows (``Params.sample``, the stated bound) the buckets that tell the
-classes apart most (likelihood ratio) are kept, and of the most frequent others those that tell more together with another bucket than both do
-alone, by more than the best of as many pairs would by chance.  A machine of second order,
+classes apart (likelihood ratio) are kept, and of all others those that tell more together with another bucket than both do
+alone, by more than the best of as many pairs would by chance.  Pairs are counted for every two buckets that share enough sampled rows to carry that much, task by task, each over
+a part of the buckets.  A machine of second order,
 
     score = sigmoid(b + sum_i w_i + sum_{i<j} <v_i, v_j>)   over the distinct buckets of a text,
 
@@ -19,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangency.llm.common import fold_is, labelled_texts, map_arrow, rows, texts_of, written
+from tangency.llm.common import fold_is, labelled_texts, map_arrow, partitions, rows, texts_of
 
 BITS = 20
 EDGE = ".,;:!?#$%&*|<>()[]{}\"'"
@@ -31,10 +32,8 @@ EDGE = ".,;:!?#$%&*|<>()[]{}\"'"
 @dataclass(frozen=True)
 class Params:
     sample: int = 16_000  # labelled rows learnt from, at most
-    terms: int = 4096  # hashed buckets kept
     least_docs: int = 4  # sampled rows that a kept bucket is in, at least
     least_gain: float = 3.0  # log likelihood ratio of a kept bucket, at least
-    frequent: int = 1024  # most frequent buckets looked at in pairs, whatever they tell alone
     rank: int = 4
     epochs: int = 12
     rate: float = 0.1
@@ -125,42 +124,81 @@ def _likelihood(n: np.ndarray, k: np.ndarray) -> np.ndarray:
     return k * np.log(np.maximum(k, 1.0) / np.maximum(n, 1.0)) + (n - k) * np.log(np.maximum(n - k, 1.0) / np.maximum(n, 1.0))
 
 
-def telling_in_pairs(samples: list[np.ndarray], labels: np.ndarray, m: int, often: np.ndarray, p: Params) -> np.ndarray:
-    """Those of ``often`` that with some of ``m`` buckets tell the classes apart better than both alone."""
-    both, toxic = np.zeros((len(often), m), np.float32), np.zeros((len(often), m), np.float32)
-    n, k = np.zeros(m), np.zeros(m)
-    for s in range(0, len(samples), 1024):
-        x, y = np.zeros((len(samples[s : s + 1024]), m), np.float32), labels[s : s + 1024] > 0
-        for r, at in enumerate(samples[s : s + 1024]):
-            x[r, at] = 1
-        both += x[:, often].T @ x
-        toxic += x[y][:, often].T @ x[y]
-        n, k = n + x.sum(0), k + x[y].sum(0)
-    rows_, hits = float(len(samples)), float(labels.sum())
+@dataclass
+class Sample:
+    """Sampled rows as one array of buckets: row r has at[edge[r] : edge[r + 1]], places in ``buckets``, ascending; toxic rows come first."""
+
+    buckets: np.ndarray
+    at: np.ndarray
+    edge: np.ndarray
+    toxic: int
+
+    @staticmethod
+    def of(found: pa.Table, least_docs: int) -> tuple[Sample, np.ndarray, np.ndarray]:
+        """The sample with buckets of so many rows at least, and the rows and toxic rows of each."""
+        labels = found.column("toxic").to_numpy()
+        order = np.argsort(-labels, kind="stable")
+        lists = found.column("at").combine_chunks().take(pa.array(order))
+        lists = lists if isinstance(lists, pa.ListArray) else lists.combine_chunks()
+        sizes, at = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        toxic = int(labels.sum())
+        n = np.bincount(at, minlength=1 << BITS)
+        buckets = np.flatnonzero(n >= least_docs)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[buckets] = np.arange(len(buckets), dtype=np.int32)
+        k = np.bincount(at[: int(sizes[:toxic].sum())], minlength=1 << BITS)
+        own = place[at]
+        row = np.repeat(np.arange(len(sizes)), sizes)[own >= 0]
+        return Sample(buckets, own[own >= 0], np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes)))), toxic), n[buckets], k[buckets]
+
+    def only(self, kept: np.ndarray) -> list[np.ndarray]:
+        """Rows with places in ``kept`` (ascending places) only."""
+        place = np.full(len(self.buckets), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        return [x[x >= 0] for x in (place[self.at[a:b]] for a, b in zip(self.edge[:-1], self.edge[1:], strict=True))]
+
+
+def pair_need(p: Params, m: int, rows_: int, hits: int) -> tuple[float, int]:
+    """(gain in log likelihood that a pair must reach, rows that it must be in): the best of m (m - 1) / 2 pairs by chance, and what rows can carry, each ln(1 / share) at most."""
+    gain = p.least_gain + np.log(max(1.0, m * (m - 1) / 2))
+    share = min(hits, rows_ - hits) / max(rows_, 1)
+    return gain, max(p.least_docs, int(np.ceil(gain / np.log(1 / share)))) if 0 < share < 1 else rows_ + 1
+
+
+def telling_in_pairs(s: Sample, n: np.ndarray, k: np.ndarray, hits: int, p: Params, part: int = 0, parts: int = 1) -> np.ndarray:
+    """Places of buckets that with another one tell the classes apart better than both do alone, of the pairs whose lower place falls to this part."""
+    rows_, m = len(s.edge) - 1, len(s.buckets)
+    need, docs = pair_need(p, m, rows_, hits)
+    n, k = n.astype(float), k.astype(float)
     alone = _likelihood(n, k) + _likelihood(rows_ - n, hits - k)
-    least = p.least_gain + np.log(max(1, len(often) * m))
-    kept = np.zeros(len(often), bool)
-    for i, j in enumerate(often):
-        a, b = both[i].astype(float), toxic[i].astype(float)
-        cells = _likelihood(a, b) + _likelihood(n[j] - a, k[j] - b) + _likelihood(n - a, k - b) + _likelihood(rows_ - n[j] - n + a, hits - k[j] - k + b)
-        kept[i] = ((cells - alone - alone[j] + _likelihood(rows_, hits) >= least) & (a >= p.least_docs)).any()
-    return often[kept]
-
-
-def _select(df: DataFrame, n1: int, n0: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of the largest likelihood ratio between the classes, and the most frequent; at most ``terms`` and ``frequent`` rows come back."""
-    counts = df.select("toxic", F.explode("at").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
-
-    def part(a, expected):
-        return F.when(a > 0, a * F.log(a / expected)).otherwise(F.lit(0.0))
-
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    share = F.lit(n1 / (n1 + n0))
-    scored = counts.where(F.col("n") >= p.least_docs).select("bucket", (part(k, n * share) + part(n - k, n * (1 - share))).alias("g"))
-    scored = scored.where(F.col("g") >= p.least_gain)
-    strong = scored.orderBy(F.desc("g"), "bucket").limit(p.terms).collect()
-    often = counts.where(F.col("n") >= p.least_docs).orderBy(F.desc("n"), "bucket").limit(p.frequent).select("bucket").collect()
-    return np.array(sorted(r[0] for r in strong), dtype=np.int64), np.array(sorted(r[0] for r in often), dtype=np.int64)
+    base = float(_likelihood(np.array([float(rows_)]), np.array([float(hits)]))[0])
+    own = np.flatnonzero((s.at % parts == part) & (n[s.at] >= docs))  # entries of this part's buckets
+    row = np.searchsorted(s.edge, own, side="right") - 1
+    order = np.argsort(s.at[own], kind="stable")  # by bucket; toxic rows stay first
+    own, row = own[order], row[order]
+    of = s.at[own]
+    found: set[int] = set()
+    if not len(of):
+        return np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    for a, b in zip(starts, np.append(starts[1:], len(of)), strict=True):
+        i = int(of[a])
+        ends = s.edge[row[a:b] + 1]
+        # partners behind it in each of its rows: every pair is met once
+        partners = [s.at[e + 1 : f] for e, f in zip(own[a:b].tolist(), ends.tolist(), strict=True)]
+        first = int(np.searchsorted(row[a:b], s.toxic))
+        c = np.bincount(np.concatenate(partners), minlength=m)
+        j = np.flatnonzero(c >= docs)
+        if not len(j):
+            continue
+        both = c[j].astype(float)
+        toxic = np.bincount(np.concatenate(partners[:first]), minlength=m)[j].astype(float) if first else np.zeros(len(j))
+        cells = _likelihood(both, toxic) + _likelihood(n[j] - both, k[j] - toxic) + _likelihood(n[i] - both, k[i] - toxic) + _likelihood(rows_ - n[j] - n[i] + both, hits - k[j] - k[i] + toxic)
+        good = j[cells - alone[i] - alone[j] + base >= need]
+        if len(good):
+            found.add(i)
+            found.update(good.tolist())
+    return np.array(sorted(found), dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), where: object | None = None) -> Machine:
@@ -173,27 +211,35 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), where: object
         for batch in batches:
             yield rows(out, batch.column(2), [sorted(terms(t)) for t in texts_of(batch)])
 
-    seen = written(map_arrow(joined, run, "toxic int, at array<int>"), "labelled")
-    size = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
-    n1, n0 = int(size["k"]), int(size["n"] - size["k"])
-    strong, often = _select(seen, n1, n0, p) if n1 and n0 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    buckets = np.union1d(strong, often)
-    kept = set(buckets.tolist())
+    seen = map_arrow(joined, run, "toxic int, at array<int>")
+    # at most p.sample rows, each with the buckets of a text
+    s, n, k = Sample.of(seen.orderBy("toxic", "at").toArrow(), p.least_docs)
+    size, hits = len(s.edge) - 1, s.toxic
+    y = (np.arange(size) < hits).astype(float)
+    share = hits / max(size, 1)
 
-    def narrow(batches):
+    def gained(a: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(a > 0, a * np.log(np.maximum(a, 1) / np.maximum(expected, 1e-300)), 0.0)
+
+    strong = np.flatnonzero(gained(k, n * share) + gained(n - k, n * (1 - share)) >= p.least_gain) if 0 < hits < size else np.zeros(0, np.int64)
+    paired = _paired(docs.sparkSession, s, n, k, hits, p) if 0 < hits < size else strong
+    kept = np.union1d(strong, paired).astype(np.int64)
+    both = sorted((tuple(at.tolist()), t) for at, t in zip(s.only(kept), y.tolist(), strict=True))
+    return train([np.array(at, dtype=np.int64) for at, _ in both], np.array([t for _, t in both]), s.buckets[kept], p)
+
+
+def _paired(spark: SparkSession, s: Sample, n: np.ndarray, k: np.ndarray, hits: int, p: Params) -> np.ndarray:
+    """``telling_in_pairs``, a task for each part of the buckets; the sample goes to all tasks."""
+    parts = 4 * partitions(spark)
+    shared = spark.sparkContext.broadcast((s, n, k))
+
+    def run(batches):
         for batch in batches:
-            yield rows(out, batch.column(0), [[x for x in at if x in kept] for at in batch.column(1).to_pylist()])
+            for part in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(telling_in_pairs(*shared.value, hits, p, part, parts))], names=["at"])
 
-    seen = map_arrow(seen, narrow, "toxic int, at array<int>")
-    learnt = sorted((tuple(r["at"]), r["toxic"]) for r in seen.collect())  # at most p.sample rows of kept buckets
-    samples = [np.searchsorted(buckets, np.array(at, dtype=np.int64)) for at, _ in learnt]
-    y = np.array([t for _, t in learnt], dtype=float)
-    paired = telling_in_pairs(samples, y, len(buckets), np.searchsorted(buckets, np.setdiff1d(often, strong)), p)
-    chosen_ = np.union1d(np.searchsorted(buckets, strong), paired).astype(np.int64)
-    place = np.full(len(buckets), -1)
-    place[chosen_] = np.arange(len(chosen_))
-    learnt = sorted((tuple(int(x) for x in place[at] if x >= 0), t) for at, t in zip(samples, y.tolist(), strict=True))
-    return train([np.array(at, dtype=np.int64) for at, _ in learnt], np.array([t for _, t in learnt]), buckets[chosen_], p)
+    found = map_arrow(spark.range(0, parts, 1, parts), run, "at long").distinct().toArrow()  # places of buckets
+    return np.sort(found.column(0).to_numpy())
 
 
 class Scorer:
@@ -221,7 +267,7 @@ class Scorer:
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score) for each row, from the whole text."""
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # Params.terms rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2^20 buckets at most
 
     def run(batches):
         scorer = Scorer(shared.value)
