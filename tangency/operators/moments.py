@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +15,6 @@ from tangency.session import ship
 
 YEAR = 252
 MANY = 400  # tickers from which covariances are summed up in blocks
-GRAM_TASKS = 32  # of blocked sums: each sends one square of the universe
 
 
 def log_returns(laid: DataFrame, drop_first: bool = False, fill: bool = True) -> DataFrame:
@@ -59,48 +57,59 @@ def covariances(rets: DataFrame, year: int = YEAR) -> DataFrame:
     )
 
 
-def covariances_gram(rets: DataFrame, year: int = YEAR, block: int = 512) -> DataFrame:
-    """The same for thousands of tickers: tasks add up the products of centred vectors of dates, blocks of columns at a time.
+def covariances_gram(rets: DataFrame, year: int = YEAR, block: int = 512, days: int = 2048) -> DataFrame:
+    """The same for thousands of tickers and more, tile by tile.
 
-    Sums travel as arrays, one for each block and task (``GRAM_TASKS``), meet by block and become rows once.
+    A tile is up to ``block`` tickers by up to ``days`` dates, centred; it is sent once to each pair of tiles it is in.  Products are keyed by (tile i, tile j, dates) and summed by
+    (tile i, tile j): a task holds two tiles and one square of ``block`` tickers, whatever the universe, and as many tasks run as there are pairs of tiles.
     """
     ship(rets.sparkSession)
-    means = {r[0]: r[1] for r in rets.groupBy("ticker").agg(F.avg("ret")).collect()}  # the universe, thousands at most
-    names = sorted(means)
-    place = {n: i for i, n in enumerate(names)}
-    n, centre = len(names), np.array([means[x] for x in names])
-    days = rets.agg(F.countDistinct("t")).first()[0]
-    vectors = rets.groupBy("t").agg(F.collect_list("ticker").alias("who"), F.collect_list("ret").alias("what"))
-    out = pa.schema([("bi", pa.int32()), ("bj", pa.int32()), ("sums", pa.binary())])
-    corners = [(i, j) for i in range(0, n, block) for j in range(i, n, block)]
-
-    def partial(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for s in range(0, batch.num_rows, 64):
-                x = np.zeros((min(64, batch.num_rows - s), n))
-                for k, (who, what) in enumerate(zip(batch.column(1).slice(s, 64).to_pylist(), batch.column(2).slice(s, 64).to_pylist(), strict=True)):
-                    at = [place[y] for y in who]
-                    x[k, at] = np.array(what, float) - centre[at]
-                for i, j in corners:
-                    one = x[:, i : i + block].T @ x[:, j : j + block]
-                    sums[i, j] = sums[i, j] + one if (i, j) in sums else one
-        for (i, j), one in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([one.tobytes()], pa.binary())], schema=out)
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        wide, high = min(block, n - j), min(block, n - i)
-        c = sum(np.frombuffer(x).reshape(high, wide) for x in pdf["sums"]) / (days - 1) * year
-        ti, tj = np.repeat(names[i : i + high], wide), np.tile(names[j : j + wide], high)
-        half = np.ones((high, wide), bool) if i != j else np.triu(np.ones((high, wide), bool))
-        half = half.ravel()
-        rows = pd.DataFrame({"ti": ti[half], "tj": tj[half], "cov": c.ravel()[half]})
-        other = rows[rows["ti"] != rows["tj"]].rename(columns={"ti": "tj", "tj": "ti"})
-        return pd.concat([rows, other[["ti", "tj", "cov"]]])
-
-    parts = vectors.coalesce(GRAM_TASKS).mapInArrow(partial, "bi int, bj int, sums binary")
-    return parts.groupBy("bi", "bj").applyInPandas(total, "ti string, tj string, cov double")
+    places = written(rets.groupBy("ticker").agg(F.avg("ret").alias("mean")), "means")
+    count = places.count()
+    dates = written(rets.select("t").distinct(), "dates")
+    n_days = dates.count()
+    # tickers and dates are numbered by ranges of their order: a window over each of some thousands
+    order = lambda df, key: df.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1)
+    names = order(places, "ticker").select("ticker", "mean", F.floor(F.col("at") / block).cast("int").alias("tile"), (F.col("at") % block).cast("int").alias("col"))
+    times = order(dates, "t").select("t", F.floor(F.col("at") / days).cast("int").alias("chunk"), (F.col("at") % days).cast("int").alias("row"))
+    tiles = -(-count // block)
+    cells = rets.join(names, "ticker").join(times, "t").select("tile", "chunk", "col", "row", (F.col("ret") - F.col("mean")).alias("x"))
+
+    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1))
+        x[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = pdf["x"].to_numpy(float)
+        return pd.DataFrame({"tile": [key[0]], "chunk": [key[1]], "high": [x.shape[0]], "wide": [x.shape[1]], "x": [x.tobytes()]})
+
+    packs = cells.groupBy("tile", "chunk").applyInPandas(packed, "tile int, chunk int, high int, wide int, x binary")
+    pair = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(tiles - 1, 0)))))
+    pair = pair.select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "chunk", "tile", "high", "wide", "x")
+
+    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        of = {int(r.tile): np.frombuffer(r.x).reshape(r.high, r.wide) for r in pdf.itertuples()}
+        if key[0] not in of or key[1] not in of:
+            return pd.DataFrame({"i": [], "j": [], "high": [], "wide": [], "sums": []})  # one of the two has no rows at these dates
+        a, b = of[key[0]], of[key[1]]
+        rows = min(len(a), len(b))
+        c = a[:rows].T @ b[:rows]
+        return pd.DataFrame({"i": [key[0]], "j": [key[1]], "high": [c.shape[0]], "wide": [c.shape[1]], "sums": [c.tobytes()]})
+
+    products = pair.groupBy("i", "j", "chunk").applyInPandas(product, "i int, j int, high int, wide int, sums binary")
+
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        high, wide = int(pdf["high"].max()), int(pdf["wide"].max())
+        c = np.zeros((high, wide))
+        for r in pdf.itertuples():
+            c[: r.high, : r.wide] += np.frombuffer(r.sums).reshape(r.high, r.wide)
+        c *= year / max(n_days - 1, 1)
+        a, b = np.divmod(np.arange(c.size), wide)
+        half = a <= b if key[0] == key[1] else np.ones(c.size, bool)
+        return pd.DataFrame({"i": key[0], "ci": a[half], "j": key[1], "cj": b[half], "cov": c.ravel()[half]})
+
+    half = products.groupBy("i", "j").applyInPandas(total, "i int, ci int, j int, cj int, cov double")
+    own = names.select("ticker", "tile", "col")
+    named = half.join(own.toDF("ti", "i", "ci"), ["i", "ci"]).join(own.toDF("tj", "j", "cj"), ["j", "cj"]).select("ti", "tj", "cov")
+    both = F.when(F.col("ti") == F.col("tj"), F.array(F.struct("ti", "tj"))).otherwise(F.array(F.struct("ti", "tj"), F.struct(F.col("tj").alias("ti"), F.col("ti").alias("tj"))))
+    return named.select(F.explode(both).alias("x"), "cov").select("x.ti", "x.tj", "cov")
 
 
 @dataclass(frozen=True)

@@ -41,12 +41,23 @@ def bernoulli(ids: DataFrame, tickers: DataFrame, most: int, n: int, seed: int,
     return marked.where(F.when(F.col("k") >= least, F.col("gene")).otherwise(F.col("r") <= least)).select("candidate_id", "ticker")
 
 
+def numbered(tickers: DataFrame) -> tuple[DataFrame, int]:
+    """((at, ticker) by name, for broadcast; how many): places are from 0."""
+    names = sorted(r[0] for r in small(tickers).distinct().collect())
+    return F.broadcast(tickers.sparkSession.createDataFrame(list(enumerate(names)), "at long, ticker string")), len(names)
+
+
 def subsets(ids: DataFrame, tickers: DataFrame, least: int, most: int, seed: int) -> DataFrame:
-    """Uniform subsets of k tickers without replacement, k uniform in least .. most."""
+    """Uniform subsets of k tickers without replacement, k uniform in least .. most.
+
+    Floyd's draws: the j-th of the last k places draws one of the places up to it, and takes its own where that one is taken.  A candidate costs k draws, whatever the universe.
+    """
+    names, n = numbered(tickers)
     k = least + F.floor(uniform(seed, "k", F.col("candidate_id")) * (most - least + 1))
-    each = ids.select("candidate_id", k.alias("k")).join(small(tickers), F.lit(True))
-    r = F.row_number().over(Window.partitionBy("candidate_id").orderBy(digest(seed, "pick", F.col("candidate_id"), F.col("ticker"))))
-    return each.withColumn("r", r).where("r <= k").select("candidate_id", "ticker")
+    drawn = ids.select("candidate_id", k.alias("k")).withColumn("k", F.least("k", F.lit(n)))
+    turns = F.transform(F.sequence(F.lit(n) - F.col("k"), F.lit(n - 1).cast("long")), lambda j: F.struct(j.alias("own"), F.floor(uniform(seed, "pick", F.col("candidate_id"), j) * (j + 1)).alias("draw")))
+    places = F.aggregate(turns, F.array().cast("array<bigint>"), lambda got, j: F.array_append(got, F.when(F.array_contains(got, j["draw"]), j["own"]).otherwise(j["draw"])))
+    return drawn.where(F.col("k") > 0).select("candidate_id", F.explode(places).alias("at")).join(names, "at").select("candidate_id", "ticker")
 
 
 def best(fitness: DataFrame, n: int) -> DataFrame:
@@ -143,6 +154,37 @@ def fitness(genes: np.ndarray, x: Inputs, rules: Rules) -> np.ndarray:
     return np.where(bad, rules.penalty, out)
 
 
+def drawn_places(rng: np.random.Generator, count: int, n: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sizes) of ``count`` uniform subsets by Floyd's draws, ``most`` columns of which the first of each row's size count."""
+    most = min(most, n)
+    k = rng.integers(min(least, most), most + 1, count)
+    places = np.zeros((count, most), np.int64)
+    for step in range(most):
+        own = n - k + step
+        draw = (rng.random(count) * (own + 1)).astype(np.int64)
+        taken = (places[:, :step] == draw[:, None]).any(axis=1)
+        places[:, step] = np.where(taken, own, draw)
+    places[np.arange(most)[None, :] >= k[:, None]] = 0
+    return places, k
+
+
+def sparse_fitness(places: np.ndarray, k: np.ndarray, x: Inputs, rules: Rules) -> np.ndarray:
+    """``fitness`` of subsets given as places: gathers of k returns and k x k covariances, no row as wide as the universe."""
+    use = np.arange(places.shape[1])[None, :] < k[:, None]
+    ret = np.where(use, x.mu[places], 0.0).sum(axis=1) / np.maximum(k, 1)
+    total = np.zeros(len(k))
+    for i in range(places.shape[1]):
+        line = x.cov[places[:, [i]], places[:, : i + 1]]
+        line[:, :i] *= 2
+        total += np.where(use[:, [i]] & use[:, : i + 1], line, 0.0).sum(axis=1)
+    var = total / np.maximum(k, 1) ** 2
+    out = np.where(var > 0, ret / np.sqrt(np.maximum(var, 1e-300)), 0.0)
+    bad = (k < rules.least) | (k > rules.most)
+    if rules.min_return is not None:
+        bad |= ret < rules.min_return
+    return np.where(bad, rules.penalty, out)
+
+
 @dataclass(frozen=True)
 class Genetic:
     """One engine for all evolutionary strategies.  ``crossover``: uniform or single point; ``selection``: truncation or linear rank."""

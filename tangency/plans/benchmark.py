@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tangency.durable import written
 from tangency.operators import moments, stats
-from tangency.operators.search import Genetic, Inputs, Rules, best_over_islands, fitness, island_search
+from tangency.operators.search import Genetic, Inputs, Rules, best_over_islands, drawn_places, fitness, island_search, sparse_fitness
 from tangency.session import session, ship
 from tangency.sources.panels import wide_csv
 from tangency.sources.store import Store
@@ -54,13 +54,10 @@ def _monte_carlo(trials: int) -> Adapter:
                         return
                     count = min(BLOCK, trials - BLOCK * int(block))
                     rng = np.random.default_rng([seed, int(block)])
-                    k = rng.integers(rule.least, min(rule.most, n) + 1, count)
-                    order = np.argsort(rng.random((count, n)), axis=1)
-                    genes = np.zeros((count, n), bool)
-                    np.put_along_axis(genes, order, np.arange(n)[None, :] < k[:, None], axis=1)
-                    f = fitness(genes, data, rule)
+                    places, k = drawn_places(rng, count, n, rule.least, rule.most)
+                    f = sparse_fitness(places, k, data, rule)
                     i = int(np.argmax(f))
-                    yield pd.DataFrame({"seconds": [time.time() - began], "block": [int(block)], "fitness": [float(f[i])], "mean": [float(f.mean())], "holdings": [",".join(np.array(data.names)[genes[i]])]})
+                    yield pd.DataFrame({"seconds": [time.time() - began], "block": [int(block)], "fitness": [float(f[i])], "mean": [float(f.mean())], "holdings": [",".join(data.names[j] for j in sorted(places[i, : k[i]].tolist()))]})
 
         found = spark.range(-(-max(1, trials) // BLOCK)).mapInPandas(search, "seconds double, block long, fitness double, mean double, holdings string")
         # a row for each thousand trials; the best of each second are records

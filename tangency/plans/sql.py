@@ -104,9 +104,14 @@ PICK_K = u("'7'", "'k'", "range::VARCHAR")
 
 
 def subsets(count: int, most: int) -> str:
-    return f"""ks AS (SELECT range AS candidate_id, 3 + floor({PICK_K} * {most - 2}) AS k FROM range({count})),
-so AS (SELECT candidate_id, k, ticker, row_number() OVER (PARTITION BY candidate_id ORDER BY {md("'7'", "'pick'", "candidate_id::VARCHAR", "ticker")}) AS r FROM ks CROSS JOIN tk),
-sub AS (SELECT candidate_id, ticker FROM so WHERE r <= k)"""
+    """Floyd's draws of 3 .. ``most`` of all tickers."""
+    draw = f"floor({u(chr(39) + '7' + chr(39), chr(39) + 'pick' + chr(39), 'candidate_id::VARCHAR', 'j::VARCHAR')} * (j + 1))::BIGINT"
+    return f"""nt AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS place FROM tk), nn AS (SELECT count(*) AS n FROM tk),
+ks AS (SELECT range AS candidate_id, least(3 + floor({PICK_K} * {most - 2}), n)::BIGINT AS k, n FROM range({count}), nn),
+turns AS (SELECT candidate_id, j, {draw} AS draw FROM (SELECT candidate_id, unnest(range(n - k, n)) AS j FROM ks)),
+lines AS (SELECT candidate_id, list([draw, j] ORDER BY j) AS x FROM turns GROUP BY 1),
+got AS (SELECT candidate_id, list_reduce(list_prepend([]::BIGINT[], x), lambda acc, y: list_append(acc, CASE WHEN list_contains(acc, y[1]) THEN y[2] ELSE y[1] END)) AS places FROM lines),
+sub AS (SELECT candidate_id, ticker FROM (SELECT candidate_id, unnest(places) AS place FROM got) JOIN nt USING (place))"""
 
 
 def fitness(source: str) -> str:
@@ -114,6 +119,10 @@ def fitness(source: str) -> str:
 fv AS (SELECT a.candidate_id, sum(cov) AS total FROM {source} a JOIN {source} b USING (candidate_id) JOIN cov ON ti = a.ticker AND tj = b.ticker GROUP BY 1)"""
 
 
+#: Fitness of candidates on four islands, ranked.
+RANKED = f"""{fitness("sub")}, al AS (SELECT candidate_id, round(CASE WHEN total <= 0 THEN 0 ELSE ret / sqrt(total / (k * k)) END, 9) AS fitness FROM fs JOIN fv USING (candidate_id)),
+best AS (SELECT candidate_id, candidate_id % 4 AS island, fitness, row_number() OVER (PARTITION BY candidate_id % 4 ORDER BY fitness DESC, candidate_id) AS rank FROM al)"""
+
 R, B = returns("brand"), panel("brand", share("n", 0.95))
 COVER_RULES = (("int 0.95", "floor(n * 0.95::DOUBLE)"), ("exact 0.95", "n * 0.95::DOUBLE"), ("tenth 0.1", "floor(n / 10.0::DOUBLE)"), ("int 0.9", "floor(n * 0.9::DOUBLE)"), ("nulls 0.98", "floor(n * 0.98::DOUBLE) + 1"))
 GRID_OUT = "SELECT ticker, t, date, round(close, 6) AS close FROM"
@@ -153,8 +162,8 @@ SQL: dict[str, str] = {
     "mc_candidates": f"WITH {B}{TK}, {subsets(100, 10)} SELECT candidate_id, ticker FROM sub",
     "mc_best": f"WITH {R}{MOMENTS}{TK}, {subsets(20000, 10)}, {fitness('sub')}, al AS (SELECT candidate_id, k, CASE WHEN total <= 0 THEN 0 ELSE ret / sqrt(total / (k * k)) END AS fitness FROM fs JOIN fv USING (candidate_id)) SELECT candidate_id, k, round(fitness, 6) AS fitness FROM al ORDER BY round(al.fitness, 9) DESC, candidate_id LIMIT 5",
     "milp_select": f"WITH {R}{MOMENTS}, sc AS (SELECT ticker, mu + 20 - 0.8 * sqrt(variance) AS score FROM mu JOIN va USING (ticker)) SELECT ticker, round(score, 6) AS score FROM sc WHERE sc.score > 0 ORDER BY sc.score DESC, ticker LIMIT 10",
-    "ga_select": f"WITH {SCORED} SELECT island, candidate_id, rank FROM best WHERE rank <= 3",
-    "ga_migrate": f"WITH {SCORED} SELECT (island + 1) % 4 AS island, candidate_id, round(fitness, 6) AS fitness FROM best WHERE rank <= 2",
+    "ga_select": f"WITH {R}{MOMENTS}{TK}, {subsets(400, 10)}, {RANKED} SELECT island, candidate_id, rank FROM best WHERE rank <= 3",
+    "ga_migrate": f"WITH {R}{MOMENTS}{TK}, {subsets(400, 10)}, {RANKED} SELECT (island + 1) % 4 AS island, candidate_id, round(fitness, 6) AS fitness FROM best WHERE rank <= 2",
     "ga_crossover": f"WITH {B}{TK}, {offspring()} SELECT island, child, ticker, gene FROM off",
     "ga_mutate": f"WITH {B}{TK}, {offspring()} SELECT island, child, ticker, CASE WHEN {u(chr(39) + '7' + chr(39), chr(39) + 'flip' + chr(39), 'island::VARCHAR', 'child::VARCHAR', 'ticker')} < 0.1 THEN 1 - gene ELSE gene END AS gene FROM off",
     "backtest_path": f"WITH {STEPS} SELECT portfolio_id, step, round(ret, 6) AS ret, degenerate FROM steps",
