@@ -29,10 +29,15 @@ def covered(panel: DataFrame, rule: str = "int", share: float = 0.95) -> DataFra
     return panel.join(keep, "ticker", "left_semi")
 
 
-def grid(panel: DataFrame) -> DataFrame:
-    """All dates for each ticker.  The dates travel as one array, so no ordering of the whole panel is needed for ordinals."""
-    dates = panel.agg(F.sort_array(F.collect_set("date")).alias("dates"))  # trading days, one row
-    own = panel.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("date", "close"))).alias("closes"))
+def grid(panel: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """All dates (of ``among``, or of the panel) for each ticker.  The dates travel as one array, so no ordering of the whole panel is needed for ordinals.
+
+    Of rows that repeat a ticker and date the largest close counts.
+    """
+    dates = (panel if among is None else among).agg(F.sort_array(F.collect_set("date")).alias("dates"))  # trading days, one row
+    # by ticker first: one shuffle serves both aggregates
+    once = panel.where("date is not null").repartition("ticker").groupBy("ticker", "date").agg(F.max("close").alias("close"))
+    own = once.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("date", "close"))).alias("closes"))
     laid = own.join(F.broadcast(dates), F.lit(True)).select("ticker", "closes", F.posexplode("dates").alias("t", "date"))
     return laid.select("ticker", "t", "date", F.try_element_at("closes", F.col("date")).alias("close"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Symbols of common stocks, and words in names of other securities.
@@ -36,6 +36,7 @@ def restrict(panel: DataFrame, tickers: DataFrame) -> DataFrame:
 
 
 def latest_by(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key: an upsert's view of an append-only table."""
-    w = Window.partitionBy(*key).orderBy(F.desc(order))
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The last row of each key; of rows with one ``order`` the largest by the other columns in turn.  An aggregate, so rows are combined before the shuffle."""
+    rest = [c for c in df.columns if c not in (*key, order)]
+    last = df.groupBy(*key).agg(F.max(F.struct(order, *rest)).alias("x"))
+    return last.select(*[F.col(c) if c in key else F.col("x")[c].alias(c) for c in df.columns])

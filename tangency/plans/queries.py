@@ -589,6 +589,16 @@ def load_prices(s, d):
     return have.prices("US", "2024-01-05", "2024-01-20", ["click", "view"]).select("ticker", "date", "close")
 
 
+@query
+def load_panel(s, d):
+    """Brands' months from the store, in one call: dates, coverage, fill.  A third of the rows are saved a second time, one higher."""
+    have = store(s)
+    px = brand_month(s, d)
+    have.save_prices(px, "US", source="lineitem")
+    have.save_prices(px.where("month(date) % 3 = 0").withColumn("close", F.col("close") + 1), "US", source="lineitem")
+    return have.panel("US", "1993-01-01", "1997-06-30", None, 0.95)
+
+
 @query
 def save_forecast(s, d):
     r = rets(s, d)

@@ -41,10 +41,23 @@ rets AS (SELECT ticker, t, date, CASE WHEN close / prev > 0 AND prev <> 0 THEN l
 MOMENTS = """,
 mu AS (SELECT ticker, avg(ret) * 252 AS mu FROM rets GROUP BY ticker), va AS (SELECT ticker, var_samp(ret) * 252 AS variance FROM rets GROUP BY ticker),
 cov AS (SELECT a.ticker AS ti, b.ticker AS tj, covar_samp(a.ret, b.ret) * 252 AS cov FROM rets a JOIN rets b ON a.t = b.t GROUP BY 1, 2)"""
+PICK_K = u("'7'", "'k'", "range::VARCHAR")
+
+
+def subsets(count: int, most: int, tickers: str = "tk") -> str:
+    """Floyd's draws of 3 .. ``most`` of all tickers."""
+    draw = f"floor({u(chr(39) + '7' + chr(39), chr(39) + 'pick' + chr(39), 'candidate_id::VARCHAR', 'j::VARCHAR')} * (j + 1))::BIGINT"
+    return f"""fl_names AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS place FROM {tickers}), fl_n AS (SELECT count(*) AS n FROM {tickers}),
+fl_k AS (SELECT range AS candidate_id, least(3 + floor({PICK_K} * {most - 2}), n)::BIGINT AS k, n FROM range({count}), fl_n),
+fl_turns AS (SELECT candidate_id, j, {draw} AS draw FROM (SELECT candidate_id, unnest(range(n - k, n)) AS j FROM fl_k)),
+fl_lines AS (SELECT candidate_id, list([draw, j] ORDER BY j) AS x FROM fl_turns GROUP BY 1),
+fl_got AS (SELECT candidate_id, list_reduce(list_prepend([]::BIGINT[], x), lambda acc, y: list_append(acc, CASE WHEN list_contains(acc, y[1]) THEN y[2] ELSE y[1] END)) AS places FROM fl_lines),
+sub AS (SELECT candidate_id, ticker FROM (SELECT candidate_id, unnest(places) AS place FROM fl_got) JOIN fl_names USING (place))"""
+
+
 CHOSEN = f""",
-ids AS (SELECT range AS c FROM range(8)), ks AS (SELECT c, 3 + floor({u("'7'", "'k'", "c::VARCHAR")} * 4) AS k FROM ids),
-ord AS (SELECT c, k, ticker, row_number() OVER (PARTITION BY c ORDER BY {md("'7'", "'pick'", "c::VARCHAR", "ticker")}) AS r FROM ks CROSS JOIN (SELECT DISTINCT ticker FROM rets)),
-chosen AS (SELECT 'p' || c AS portfolio_id, ticker FROM ord WHERE r <= k),
+tks AS (SELECT DISTINCT ticker FROM rets), {subsets(8, 6, "tks")},
+chosen AS (SELECT 'p' || candidate_id AS portfolio_id, ticker FROM sub),
 us AS (SELECT *, {u("'7'", "'weight'", "portfolio_id", "ticker")} AS u FROM chosen), held AS (SELECT portfolio_id, ticker, u / sum(u) OVER (PARTITION BY portfolio_id) AS weight FROM us)"""
 PAIRS = """,
 pairs AS (SELECT i.portfolio_id, i.ticker AS ti, i.weight AS wi, j.weight AS wj, cov FROM held i JOIN held j USING (portfolio_id) JOIN cov ON ti = i.ticker AND tj = j.ticker),
@@ -100,18 +113,6 @@ UNION ALL SELECT c_custkey::VARCHAR, coalesce(c_name, ''), 'etf', 1 FROM custome
 dd AS (SELECT ticker, name, asset_type FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY prio, name) AS r FROM uni) WHERE r = 1)"""
 DESCRIBE = "count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS q2, round(quantile_cont(x, 0.75), 6) AS q3, round(max(x), 6) AS max"
 QUANT = "round(quantile_cont({0}, 0.5), 6) AS median, round(quantile_cont({0}, 0.25), 6) AS p25, round(quantile_cont({0}, 0.75), 6) AS p75"
-PICK_K = u("'7'", "'k'", "range::VARCHAR")
-
-
-def subsets(count: int, most: int) -> str:
-    """Floyd's draws of 3 .. ``most`` of all tickers."""
-    draw = f"floor({u(chr(39) + '7' + chr(39), chr(39) + 'pick' + chr(39), 'candidate_id::VARCHAR', 'j::VARCHAR')} * (j + 1))::BIGINT"
-    return f"""nt AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS place FROM tk), nn AS (SELECT count(*) AS n FROM tk),
-ks AS (SELECT range AS candidate_id, least(3 + floor({PICK_K} * {most - 2}), n)::BIGINT AS k, n FROM range({count}), nn),
-turns AS (SELECT candidate_id, j, {draw} AS draw FROM (SELECT candidate_id, unnest(range(n - k, n)) AS j FROM ks)),
-lines AS (SELECT candidate_id, list([draw, j] ORDER BY j) AS x FROM turns GROUP BY 1),
-got AS (SELECT candidate_id, list_reduce(list_prepend([]::BIGINT[], x), lambda acc, y: list_append(acc, CASE WHEN list_contains(acc, y[1]) THEN y[2] ELSE y[1] END)) AS places FROM lines),
-sub AS (SELECT candidate_id, ticker FROM (SELECT candidate_id, unnest(places) AS place FROM got) JOIN nt USING (place))"""
 
 
 def fitness(source: str) -> str:
@@ -202,6 +203,10 @@ SQL: dict[str, str] = {
     "metadata_filter": "SELECT c_custkey, c_mktsegment AS sector, c_nationkey::VARCHAR AS country FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "upsert_prices": f"WITH px AS ({PX['type']}) SELECT ticker, date, round(CASE WHEN day(date) % 3 = 0 THEN close + 1 ELSE close END, 6) AS close, (CASE WHEN day(date) % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS ingest FROM px",
     "ensure_tickers": "SELECT c_custkey::VARCHAR AS ticker FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+    "load_panel": f"""WITH {panel("brand")}, now AS (SELECT ticker, date, CASE WHEN month(date) % 3 = 0 THEN close + 1 ELSE close END AS close FROM px WHERE close IS NOT NULL AND date BETWEEN DATE '1993-01-01' AND DATE '1997-06-30'),
+n1 AS (SELECT count(DISTINCT date) AS n FROM now), k1 AS (SELECT ticker FROM now, n1 GROUP BY ticker, n HAVING count(close) >= {share("n", 0.95)}), d1 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM now)),
+g1 AS (SELECT k1.ticker, t, d1.date, now.close FROM k1 CROSS JOIN d1 LEFT JOIN now ON now.ticker = k1.ticker AND now.date = d1.date)
+SELECT ticker, t, date, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS close FROM g1""",
     "load_prices": f"WITH px AS ({PX['type']}) SELECT ticker, date, round(close, 6) AS close FROM px WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND ticker IN ('click', 'view')",
     "save_forecast": f"WITH {R}{MOMENTS}, h AS (SELECT ticker, {u(chr(39) + '7' + chr(39), chr(39) + 'null' + chr(39), 'ticker')} AS u FROM mu) SELECT ticker, CASE WHEN u < 0.7 THEN round(mu, 6) END AS mu, CASE WHEN u > 0.3 THEN round(variance, 6) END AS variance FROM h JOIN mu USING (ticker) JOIN va USING (ticker)",
     "latest_forecast": "SELECT l_partkey::VARCHAR AS ticker, round(sum(l_extendedprice), 6) AS mu, round(sum(l_quantity), 6) AS variance FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1",
