@@ -78,11 +78,15 @@ def six_arms(spark: SparkSession, laid: DataFrame, forecast: DataFrame, portfoli
     cc = written(cardinality_portfolios(spark, x, rules, genetic, seeds, box).select("portfolio", "ticker"), "cc")
     cc_f = written(cardinality_portfolios(spark, Inputs.of(mu_f, cov_f), rules, genetic, seeds, box).select("portfolio", "ticker"), "cc-forecast")
     picked = written(subsets(spark.range(portfolios).withColumnRenamed("id", "candidate_id"), mu.select("ticker"), min(rules.least, len(x.names)), min(rules.most, len(x.names)), seed).withColumnRenamed("candidate_id", "portfolio"), "random")
+    plain, formed = named(cc, "cc_optimised").unionByName(named(picked, "random_optimised")), named(cc_f, "cc_forecast")
+    copulae = named(cc, "cc_copulae")
     own_var = cov.where("ti = tj").select(F.col("ti").alias("ticker"), F.col("cov").alias("variance"))
-    cov_c = forecast_.copula_covariances(named(cc, "cc_copulae"), train, own_var)
-    best = lambda chosen, m, c: optimal_weights(chosen, m, c).select("portfolio_id", "ticker", "weight")
-    held = best(named(cc, "cc_optimised"), mu, cov).unionByName(best(named(cc, "cc_copulae"), mu, cov_c)).unionByName(best(named(cc_f, "cc_forecast"), mu_f, cov_f))
-    held = held.unionByName(random_weights(named(cc, "cc_random_weights"), seed)).unionByName(best(named(picked, "random_optimised"), mu, cov)).unionByName(random_weights(named(picked, "random_random"), seed))
+    # all optimised arms are solved together, each portfolio with its arm's returns and covariances
+    pairs = lambda chosen, c: chosen.withColumnRenamed("ticker", "ti").join(chosen.withColumnRenamed("ticker", "tj"), "portfolio_id").join(c, ["ti", "tj"]).select("portfolio_id", "ti", "tj", "cov")
+    cells = pairs(plain, cov).unionByName(pairs(formed, cov_f)).unionByName(forecast_.copula_covariances(copulae, train, own_var))
+    returns = plain.unionByName(copulae).join(mu, "ticker").unionByName(formed.join(mu_f, "ticker"))
+    held = optimal_weights(written(plain.unionByName(copulae).unionByName(formed), "optimised"), returns, cells).select("portfolio_id", "ticker", "weight")
+    held = held.unionByName(random_weights(named(cc, "cc_random_weights"), seed)).unionByName(random_weights(named(picked, "random_random"), seed))
     held = written(held, "arms")
     last = rets.agg((F.max("t") + 1 - leave).alias("edge"))
     steps = written(path(held, rets.join(F.broadcast(last), F.col("t") >= F.col("edge")).drop("edge")), "steps")

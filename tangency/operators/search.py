@@ -305,17 +305,13 @@ class Box:
 def optimised_fitness(genes: np.ndarray, x: Inputs, rules: Rules, box: Box = Box()) -> np.ndarray:
     """Of 0/1 rows: the best ratio of the chosen names (-1 below two), less the squared excess or lack of names.
 
-    All different rows of up to ``2 * rules.most`` names are solved together; larger ones, which the penalty rules out, one by one.
+    Each different row is solved once, exactly (``weights.max_sharpe``).
     """
     different, of = np.unique(genes, axis=0, return_inverse=True)
     k = different.sum(axis=1)
     out = np.full(len(different), -1.0)
-    together = np.flatnonzero((k >= 2) & (k <= 2 * rules.most))
-    for s in range(0, len(together), 256):
-        part = together[s : s + 256]
-        out[part] = weights.best_ratios([x.mu[different[i]] for i in part], [x.cov[np.ix_(different[i], different[i])] for i in part], box.low, box.high)
-    for i in np.flatnonzero(k > 2 * rules.most):
-        out[i] = weights.best_ratios([x.mu[different[i]]], [x.cov[np.ix_(different[i], different[i])]], box.low, box.high)[0]
+    for i in np.flatnonzero(k >= 2):
+        out[i] = weights.best_ratio(x.mu[different[i]], x.cov[np.ix_(different[i], different[i])], box.low, box.high)
     return (out - np.maximum(0, k - rules.most) ** 2 - np.maximum(0, rules.least - k) ** 2)[of.ravel()]
 
 

@@ -161,5 +161,13 @@ def performance_profile(records: DataFrame, budget: float, share: float = 0.95,
     times = records.join(target, "seed").groupBy("algorithm", "seed").agg(F.coalesce(F.min(F.when(F.col("best") >= F.col("target"), F.col("time"))), F.lit(2.0 * budget)).alias("time"))
     fastest = times.groupBy("seed").agg(F.min("time").alias("fastest"))
     ratio = times.join(fastest, "seed").select("algorithm", F.coalesce(F.try_divide("time", "fastest"), F.lit(1.0)).alias("ratio"))
-    taus = records.sparkSession.range(points).select((1 + F.col("id") * ((highest - 1) / (points - 1))).alias("tau"))
-    return ratio.join(F.broadcast(taus), F.lit(True)).groupBy("algorithm", "tau").agg(F.avg((F.col("ratio") <= F.col("tau")).cast("double")).alias("solved"))
+    step = (highest - 1) / (points - 1)
+    # each ratio falls to the first tau that is not below it; a running count by algorithm does the rest
+    tau = lambda i: 1 + i * step
+    near = F.ceil((F.col("ratio") - 1) / step)
+    first = F.when(tau(near - 1) >= F.col("ratio"), near - 1).when(tau(near) >= F.col("ratio"), near).otherwise(near + 1)
+    counts = ratio.withColumn("id", F.greatest(first, F.lit(0))).groupBy("algorithm", "id").agg(F.count("*").alias("n"))
+    every = counts.groupBy("algorithm").agg(F.sum("n").alias("all")).select("algorithm", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("id"))
+    w = Window.partitionBy("algorithm").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = every.join(counts, ["algorithm", "id"], "left").withColumn("below", F.sum(F.coalesce("n", F.lit(0))).over(w))
+    return sums.select("algorithm", tau(F.col("id")).alias("tau"), (F.col("below") / F.col("all")).alias("solved"))

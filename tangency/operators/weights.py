@@ -208,7 +208,7 @@ def risk_parity(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> tuple[n
 
 def _cells(chosen: DataFrame, mu: DataFrame, cov: DataFrame) -> DataFrame:
     """(portfolio_id, ti, tj, x): expected returns (tj null) and covariances of each portfolio's holdings."""
-    named = chosen.join(mu, "ticker", "left")
+    named = chosen.join(mu, [c for c in ("portfolio_id", "ticker") if c in mu.columns], "left")
     cells = chosen.withColumnRenamed("ticker", "ti").join(chosen.withColumnRenamed("ticker", "tj"), "portfolio_id").join(cov, [c for c in ("portfolio_id", "ti", "tj") if c in cov.columns])
     return named.select("portfolio_id", F.col("ticker").alias("ti"), F.lit(None).cast("string").alias("tj"), F.col("mu").alias("x")).unionByName(cells.select("portfolio_id", "ti", "tj", F.col("cov").alias("x")))
 
@@ -228,7 +228,7 @@ def _inputs_of(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 def solve(chosen: DataFrame, mu: DataFrame, cov: DataFrame, how: str = "sharpe", low: float = 0.0, high: float | None = 0.3333, **targets: float | None) -> DataFrame:
     """(portfolio_id, ticker, weight, status) for each portfolio of (portfolio_id, ticker).  A portfolio's covariance is the size of its holdings.
 
-    ``cov`` (ti, tj, cov) is one for all, or with a portfolio_id one for each.  A portfolio with a ticker that ``mu`` has not gets no weights and the status "unknown ticker".
+    ``mu`` (ticker, mu) and ``cov`` (ti, tj, cov) are one for all, or with a portfolio_id one for each.  A portfolio with a ticker that ``mu`` has not gets no weights and the status "unknown ticker".
     """
     ship(chosen.sparkSession)
 
@@ -289,79 +289,15 @@ def checked(chosen: DataFrame, least: int = 1) -> DataFrame:
 
 def optimal_weights(chosen: DataFrame, mu: DataFrame, cov: DataFrame) -> DataFrame:
     """``solve`` for the largest ratio with no weight over ``ceiling``.  Under two holdings: ValueError; a ticker without history: KeyError."""
-    unknown = checked(chosen, 2).join(mu, "ticker", "left_anti").select("ticker").distinct().orderBy("ticker").limit(20).collect()
+    unknown = checked(chosen, 2).join(mu, [c for c in ("portfolio_id", "ticker") if c in mu.columns], "left_anti").select("ticker").distinct().orderBy("ticker").limit(20).collect()
     if unknown:
         raise KeyError(f"tickers without history: {', '.join(r[0] for r in unknown)}")
     return solve(chosen, mu, cov, "sharpe", 0.0, None)
 
 
-def project_rows(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """``project`` of many rows, each with its own bounds."""
-    points = np.sort(np.concatenate([v - low, v - high], axis=1), axis=1)
-    sums = np.clip(v[:, None, :] - points[:, :, None], low[:, None, :], high[:, None, :]).sum(axis=2)
-    i = np.clip((sums >= 1).sum(axis=1), 1, points.shape[1] - 1)
-    at = np.arange(len(v))
-    a, b, sa, sb = points[at, i - 1], points[at, i], sums[at, i - 1], sums[at, i]
-    part = np.clip((sa - 1) / np.where(sa > sb, sa - sb, 1.0), 0.0, 1.0) * (sa > sb)
-    return np.clip(v - (a + (b - a) * part)[:, None], low, high)
-
-
-def best_ratios(mus: list[np.ndarray], covs: list[np.ndarray], low: float, high: float, steps: int = 120) -> np.ndarray:
-    """The largest ratio of each of many small universes within the box: for searches, which compare many portfolios.
-
-    ``max_sharpe``'s frontier walk on all of them at once, with fewer steps: a grid of tilts, then a golden section; some tenths of a percent below it at most.
-    Where the box allows no weights, the ratio of equal ones.
-    """
-    m, k = len(mus), max(len(x) for x in mus)
-    mu, cov, lo, hi = np.zeros((m, k)), np.zeros((m, k, k)), np.zeros((m, k)), np.zeros((m, k))
-    for i, (x, c) in enumerate(zip(mus, covs, strict=True)):
-        n = len(x)
-        mu[i, :n], cov[i, :n, :n] = x, c
-        fits = n * high >= 1 - 1e-12 and n * low <= 1 + 1e-12
-        lo[i, :n], hi[i, :n] = (low, high) if fits else (1 / n, 1 / n)
-    norm = np.maximum(np.linalg.norm(cov, 2, axis=(1, 2)), 1e-12)
-    size = (0.5 / norm)[:, None]
-    real = hi > 0
-    spread = np.where(real, mu, -np.inf).max(axis=1) - np.where(real, mu, np.inf).min(axis=1)
-    far = 1e4 * norm / np.maximum(spread, 1e-12)
-    pull = np.where(real, mu - mu.sum(axis=1, keepdims=True) / real.sum(axis=1, keepdims=True), 0.0)
-
-    def ratios(w):
-        v = np.einsum("ij,ijk,ik->i", w, cov, w)
-        return np.where(v > 0, (w * mu).sum(axis=1) / np.sqrt(np.maximum(v, 1e-300)), 0.0)
-
-    def walk(w, tilt):
-        w, y, t = project_rows(w, lo, hi), w, np.ones(m)
-        for _ in range(steps):
-            new = project_rows(y - size * (2 * np.einsum("ijk,ik->ij", cov, y) - tilt[:, None] * pull), lo, hi)
-            t = np.where(((y - new) * (new - w)).sum(axis=1) > 0, 1.0, t)
-            s = 0.5 * (1 + np.sqrt(1 + 4 * t * t))
-            y, t = new + ((t - 1) / s)[:, None] * (new - w), s
-            moved = np.abs(new - w).max()
-            w = new
-            if moved < 1e-9:
-                break
-        return w
-
-    w = np.where(real, 1.0 / real.sum(axis=1)[:, None], 0.0)
-    grid = np.concatenate([[0.0], np.logspace(-6, 0, 13)])
-    found = []
-    for g in grid:
-        w = walk(w, far * g)
-        found.append(w)
-    values = np.array([ratios(x) for x in found])
-    i = values.argmax(axis=0)
-    best, w = values.max(axis=0), np.array(found)[i, np.arange(m)]
-    a, b = far * grid[np.maximum(i - 1, 0)], far * grid[np.minimum(i + 1, len(grid) - 1)]
-    gold = (np.sqrt(5) - 1) / 2
-    for _ in range(8):
-        c, d = b - gold * (b - a), a + gold * (b - a)
-        wc, wd = walk(w, c), walk(w, d)
-        rc, rd = ratios(wc), ratios(wd)
-        better = np.maximum(rc, rd) > best
-        w = np.where(better[:, None], np.where((rc >= rd)[:, None], wc, wd), w)
-        best = np.maximum(best, np.maximum(rc, rd))
-        a, b = np.where(rc >= rd, a, c), np.where(rc >= rd, d, b)
-    return best
-
-
+def best_ratio(mu: np.ndarray, cov: np.ndarray, low: float, high: float) -> float:
+    """The largest ratio within the box; where it allows no weights, that of equal ones."""
+    n = len(mu)
+    if n * high < 1 - 1e-12 or n * low > 1 + 1e-12:
+        return ratio(np.full(n, 1 / n), mu, cov)
+    return ratio(max_sharpe(mu, cov, low, high)[0], mu, cov)

@@ -1,7 +1,11 @@
-"""Price panels.  Inside the library a panel is long: (ticker STRING, date DATE, close DOUBLE); wide files are unpivoted at the edge."""
+"""Price panels.  Inside the library a panel is long: (ticker STRING, date DATE, close DOUBLE); wide files are melted at the edge."""
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +38,38 @@ def type_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date")).agg(F.avg("value").alias("close"))
 
 
+CELLS = 1 << 20  # of a wide file that a task melts at once
+
+
 def wide_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A wide price file (first column the date, one column a ticker) as a long panel; empty and NaN cells are missing."""
-    wide = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    first, tickers = wide.columns[0], wide.columns[1:]
+    """A wide price file (first column the date, one column a ticker) as a long panel; empty and NaN cells are missing.
+
+    Lines are melted as they are read, some at a time, so neither the plan nor a task grows with the number of columns.  Files of one path have one header.  A short line lacks its
+    last cells, what a line has beyond the header is left out.
+    """
+    named = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    tickers = named.columns[1:]
     if not tickers:
         raise ValueError("a price file needs a column for each ticker")
-    long = wide.unpivot([first], tickers, "ticker", "close")
-    close = F.expr("try_cast(close as double)")
-    return long.select("ticker", F.to_date(F.substring(first, 1, 10)).alias("date"), F.when(~F.isnan(close), close).alias("close")).dropna()
+    lines = spark.read.text(path)
+    header = lines.where("trim(value) <> ''").first()["value"]
+    ship(spark)
+    several = max(1, CELLS // len(tickers))
+
+    def melted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, several):
+                who, when, what = [], [], []
+                for cells in csv.reader(x for x in batch.column(0).slice(start, several).to_pylist() if x.strip()):
+                    own = [(t, c) for t, c in zip(tickers, cells[1:], strict=False) if c and not c.isspace()]
+                    who += [t for t, _ in own]
+                    what += [c for _, c in own]
+                    when += [cells[0]] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (who, when, what)], names=["ticker", "day", "said"])
+
+    long = lines.where(F.col("value") != header).mapInArrow(melted, "ticker string, day string, said string")
+    close = F.expr("try_cast(said as double)")
+    return long.select("ticker", F.to_date(F.substring("day", 1, 10)).alias("date"), F.when(~F.isnan(close), close).alias("close")).dropna()
 
 
 def to_wide(panel: DataFrame) -> DataFrame:
