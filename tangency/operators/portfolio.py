@@ -32,6 +32,11 @@ def evaluated(held: DataFrame, mu: DataFrame, cov: DataFrame, rf: float = 0.0) -
     return both.select("portfolio_id", "ret", "variance", vol.alias("vol"), sharpe(F.col("ret"), vol, rf).alias("sharpe"))
 
 
+def negative_sharpe(held: DataFrame, mu: DataFrame, cov: DataFrame) -> DataFrame:
+    """(portfolio_id, objective): the ratio as what a minimiser is given."""
+    return evaluated(held, mu, cov).select("portfolio_id", (-F.col("sharpe")).alias("objective"))
+
+
 def equal_weight_fitness(chosen: DataFrame, mu: DataFrame, cov: DataFrame, least: int, most: int, min_return: float | None, penalty: float = -1e4) -> DataFrame:
     """(candidate_id, k, ret, variance, fitness) of equal weights over (candidate_id, ticker); penalties go before the covariance is joined."""
     sums = chosen.join(mu, "ticker").groupBy("candidate_id").agg(F.count("*").alias("k"), F.avg("mu").alias("ret"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tangency.durable import written
 from tangency.functions.randomness import digest, uniform
 from tangency.operators import weights
 from tangency.operators.portfolio import equal_weight_fitness
@@ -98,6 +99,20 @@ def milp(mu: DataFrame, vol: DataFrame, aversion: float, most: int) -> DataFrame
     return mu.join(vol, "ticker").select("ticker", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "ticker").limit(most)
 
 
+def milp_sharpe(picked: DataFrame, mu: DataFrame, cov: DataFrame) -> DataFrame:
+    """(n, ret, sharpe): equal weights over a selection (ticker, ...); one row, zeros if the selection is empty."""
+    own = picked.select(F.lit(0).alias("candidate_id"), "ticker")
+    rated = equal_weight_fitness(own, mu, cov, 0, UNIVERSE, None)
+    return rated.agg(F.coalesce(F.max("k"), F.lit(0)).alias("n"), F.coalesce(F.max("ret"), F.lit(0.0)).alias("ret"), F.coalesce(F.max("fitness"), F.lit(0.0)).alias("sharpe"))
+
+
+def survivors(parents: DataFrame, children: DataFrame, elites: int, size: int) -> DataFrame:
+    """(island, candidate_id, fitness, elite): the next generation of each island, its ``elites`` fittest parents as they are and the fittest children beside them, ``size`` in all."""
+    kept = best(parents, elites).select("island", "candidate_id", "fitness", F.lit(True).alias("elite"))
+    new = best(children, size - elites).select("island", "candidate_id", "fitness", F.lit(False).alias("elite"))
+    return kept.unionByName(new)
+
+
 def monte_carlo(spark: SparkSession, mu: DataFrame, cov: DataFrame, trials: int, least: int, most: int, seed: int) -> DataFrame:
     """Fitness of random subsets, as one relational plan."""
     ids = spark.range(trials).withColumnRenamed("id", "candidate_id")
@@ -240,49 +255,68 @@ def evolve(genes: np.ndarray, x: Inputs, rules: Rules, g: Genetic, rounds: int,
 HISTORY = "island int, generation int, seconds double, best_fitness double, mean_fitness double, holdings string"
 
 
+STATE = "island int, bits binary, tops binary, clock array<double>, best array<double>, mean array<double>, held array<string>"
+
+
 def island_search(spark: SparkSession, x: Inputs, rules: Rules, g: Genetic, seed: int, budget: float | None = None) -> DataFrame:
     """(island, generation, seconds, best_fitness, mean_fitness, holdings): islands in parallel tasks, ring migration between rounds.
 
-    State between rounds is the islands' populations as bits, some kilobytes each; fitness is told by the tasks.  ``budget`` seconds end the search with the generation that passes them.
+    Populations are rows keyed by island in the shared folder: a round reads the last one's table, joins each island with what its neighbour sends, and writes the next; a lost task is run again
+    from it.  To the driver come each generation's best, mean and holdings.  Random numbers are those of one generator of ``seed``; an island draws its part of the first populations itself.
+    ``budget`` seconds end the search with the generation that passes them.
     """
     ship(spark)
     shared = spark.sparkContext.broadcast((x, rules, g))  # a universe of thousands at most
     size, n = max(2, g.population // g.islands), len(x.names)
-    rng = np.random.default_rng(seed)
-    states = [(rng.random((size, n)) < min(rules.most, n) / n) for _ in range(g.islands)]
+    rng = np.random.Generator(np.random.PCG64(seed).advance(g.islands * size * n))  # behind the first populations
     began, history, done = time.time(), [], [0] * g.islands
     until = None if budget is None else began + budget
     move = int(g.migration * size) if g.islands > 1 else 0
 
+    def packed(genes: np.ndarray) -> bytes:
+        return np.packbits(genes).tobytes()
+
+    def unpacked(bits: bytes, rows: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(bits, np.uint8))[: rows * n].reshape(rows, n).astype(bool)
+
     def step(frames):
         data, rule, how = shared.value
         for pdf in frames:
             out = []
             for r in pdf.itertuples():
-                genes = np.unpackbits(np.frombuffer(r.bits, np.uint8))[: size * n].reshape(size, n).astype(bool)
+                if r.bits is None:
+                    own = np.random.Generator(np.random.PCG64(seed).advance(int(r.island) * size * n))
+                    genes = own.random((size, n)) < min(rule.most, n) / n
+                else:
+                    genes = unpacked(r.bits, size)
+                    if move:
+                        genes[np.asarray(r.leave, int)] = unpacked(r.incoming, move)
                 genes, seen = evolve(genes, data, rule, how, int(r.rounds), np.random.default_rng(r.seed), until)
                 tops = np.argsort(-fitness(genes, data, rule), kind="stable")[:move]
                 held = [",".join(np.array(data.names)[best]) for *_, best in seen]
-                out.append((r.island, np.packbits(genes).tobytes(), np.packbits(genes[tops]).tobytes(), [s[0] for s in seen], [s[1] for s in seen], [s[2] for s in seen], held))
+                out.append((r.island, packed(genes), packed(genes[tops]), [s[0] for s in seen], [s[1] for s in seen], [s[2] for s in seen], held))
             yield pd.DataFrame(out, columns=["island", "bits", "tops", "clock", "best", "mean", "held"])
 
+    state, leave = None, [[] for _ in range(g.islands)]
     while max(done) < g.generations and (until is None or time.time() <= until):
         rounds = min(g.interval, g.generations - max(done))
-        start = [(i, int(rng.integers(1 << 31)), rounds, np.packbits(s).tobytes()) for i, s in enumerate(states)]
-        frame = spark.createDataFrame(start, "island int, seed long, rounds int, bits binary").repartition(g.islands, "island")
-        found = sorted(frame.mapInPandas(step, "island int, bits binary, tops binary, clock array<double>, best array<double>, mean array<double>, held array<string>").collect(), key=lambda r: r["island"])
-        tops = {}
+        start = [(i, int(rng.integers(1 << 31)), rounds, leave[i]) for i in range(g.islands)]
+        turn = spark.createDataFrame(start, "island int, seed long, rounds int, leave array<int>")
+        if state is None:
+            turn = turn.withColumns({"bits": F.lit(None).cast("binary"), "incoming": F.lit(None).cast("binary")})
+        else:
+            sent = state.select(((F.col("island") + 1) % g.islands).alias("island"), F.col("tops").alias("incoming"))
+            turn = turn.join(state.select("island", "bits"), "island").join(sent, "island")
+        state = written(turn.repartition(g.islands, "island").mapInPandas(step, STATE), "islands")
+        found = sorted(state.drop("bits", "tops").collect(), key=lambda r: r["island"])
         for r in found:
             i = r["island"]
-            states[i] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: size * n].reshape(size, n).astype(bool)
-            tops[i] = np.unpackbits(np.frombuffer(r["tops"], np.uint8))[: move * n].reshape(move, n).astype(bool)
             history += [(i, done[i] + k, max(0.0, c - began), b, m, h) for k, (c, b, m, h) in enumerate(zip(r["clock"], r["best"], r["mean"], r["held"], strict=True))]
             done[i] += len(r["best"])
         if min(len(r["best"]) for r in found) < rounds:
             break  # saturated, or out of time
         if move:
-            for i, s in enumerate(states):
-                s[rng.choice(size, move, replace=False)] = tops[(i - 1) % g.islands]
+            leave = [rng.choice(size, move, replace=False).tolist() for _ in range(g.islands)]
     return spark.createDataFrame(history, HISTORY)
 
 

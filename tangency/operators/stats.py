@@ -64,18 +64,6 @@ def nemenyi(runs: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).join(F.broadcast(k), F.lit(True)).select("a", "b", q.alias("q"))
 
 
-def wilcoxon(runs: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, w): the smaller signed-rank sum over common seeds, zero differences left out; null below five seeds."""
-    x = runs.where(F.col("algorithm") == a).select("seed", F.col("fitness").alias("x"))
-    y = runs.where(F.col("algorithm") == b).select("seed", F.col("fitness").alias("y"))
-    d = x.join(y, "seed").select("seed", (F.col("x") - F.col("y")).alias("d"))
-    common = d.agg(F.count("*").alias("common"))
-    # one row for each seed of a benchmark: the ranks need them together
-    r = d.where("d <> 0").withColumn("__value", F.abs("d")).withColumn("one", F.lit(1)).withColumn("rank", average_rank(["one"], F.abs("d")))
-    s = r.agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("minus"), F.count("*").alias("n"))
-    return s.join(common, F.lit(True)).select("n", F.when(F.col("common") >= 5, F.least("plus", "minus")).alias("w"))
-
-
 @F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or a != a else pvalues.chi2_sf(a, b) for a, b in zip(x, df, strict=True)])
@@ -105,6 +93,12 @@ def wilcoxon_pairs(runs: DataFrame) -> DataFrame:
     return g.select("a", "b", "pairs", "n", w.alias("w"), "ranks").withColumn("p", wilcoxon_p("w", "ranks", "pairs")).drop("ranks")
 
 
+def wilcoxon(runs: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, w): the smaller signed-rank sum over common seeds, zero differences left out; null below five seeds."""
+    own = wilcoxon_pairs(runs.where(F.col("algorithm").isin(a, b)))
+    return own.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("w").alias("w"))  # one pair, or none
+
+
 def boxes(runs: DataFrame) -> DataFrame:
     """What a box plot of each algorithm's feasible runs shows: quartiles, whiskers at the last values within 1.5 interquartile ranges, and how many lie beyond."""
     ok = runs.where(F.col("fitness") > FEASIBLE)

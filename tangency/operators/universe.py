@@ -13,11 +13,14 @@ OTHER_SECURITIES = ("Warrant", "Rights", "Units", "Preferred", "Debenture", "Not
 
 
 def universe(parts: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(ticker, name, asset_type): the first of the parts that has a ticker counts; within a part the least name.  Missing names are ''."""
-    own = [d.select("ticker", F.coalesce("name", F.lit("")).alias("name"), F.lit(kind).alias("asset_type"), F.lit(i).alias("prio")) for i, (kind, d) in enumerate(parts)]
+    """(ticker, name, asset_type): the first of the parts that has a ticker counts; within a part its first row by the column ``ord``, or the least name where it has none.  Missing names are ''."""
+    own = []
+    for i, (kind, d) in enumerate(parts):
+        at = F.col("ord") if "ord" in d.columns else F.lit(0)
+        own.append(d.select("ticker", F.coalesce("name", F.lit("")).alias("name"), F.lit(kind).alias("asset_type"), F.lit(i).alias("prio"), at.cast("long").alias("ord")))
     if not own:
         raise ValueError("a universe needs a part")
-    first = F.min(F.struct("prio", "name", "asset_type")).alias("x")  # an aggregate: combined before the shuffle
+    first = F.min(F.struct("prio", F.col("ord").isNull().alias("later"), "ord", "name", "asset_type")).alias("x")  # an aggregate: combined before the shuffle
     return reduce(DataFrame.unionByName, own).where("ticker is not null").groupBy("ticker").agg(first).select("ticker", "x.name", "x.asset_type")
 
 

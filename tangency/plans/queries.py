@@ -788,6 +788,130 @@ def copula_cov(s, d):
     return forecast.copula_covariances(chosen(s, r), r, moments.variances(r))
 
 
+@query
+def negative_sharpe(s, d):
+    r = rets(s, d)
+    return portfolio.negative_sharpe(weights.random_weights(chosen(s, r), SEED), moments.expected(r), covs(r))
+
+
+@query
+def milp_sharpe(s, d):
+    """Of the tickers that ``milp_select`` picks."""
+    r = rets(s, d)
+    mu, vol = moments.expected(r), moments.variances(r).select("ticker", F.sqrt("variance").alias("vol"))
+    return search.milp_sharpe(search.milp(mu.withColumn("mu", F.col("mu") + 20), vol, 0.8, 10), mu, covs(r))
+
+
+@query
+def ga_elites(s, d):
+    """The next generation of 200 parents and 200 children."""
+    f = written(rated(s, d), "rated")
+    return search.survivors(f.where("candidate_id < 200"), f.where("candidate_id >= 200"), 5, 30)
+
+
+@query
+def universe_first_rows(s, d):
+    """Brands and types as tickers of one part each: the row of the first part key gives the name."""
+    p = table(s, d, "part")
+    part = lambda c: p.select(F.col(c).alias("ticker"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    return universe.universe([("brand", part("p_brand")), ("type", part("p_type"))])
+
+
+@query
+def arm_backtest(s, d):
+    """Two arms of fixed weights through path, metrics and summary."""
+    m = backtest.metrics(written(steps(s, d), "steps"))
+    arm = F.when(F.substring("portfolio_id", 2, 9).cast("int") % 2 == 0, "cc_random_weights").otherwise("random_random")
+    return backtest.arms(m.select(arm.alias("category"), F.col("sharpe").alias("value")))
+
+
+# Solvers have no SQL; what their results must satisfy has.
+
+
+def fits(solved: DataFrame, high: float) -> DataFrame:
+    """(portfolio_id, n, whole, inside, status): whether weights sum to one and lie in their box."""
+    w = F.col("weight")
+    return solved.groupBy("portfolio_id").agg(F.count("*").alias("n"), (F.abs(F.sum(w) - 1) < 1e-9).alias("whole"), F.bool_and((w > -1e-9) & (w < high + 1e-9)).alias("inside"), F.max("status").alias("status"))
+
+
+@query
+def max_sharpe_check(s, d):
+    """Weights fit, and no single holding mix of the two best corners or equal weights has a larger ratio."""
+    r = rets(s, d)
+    mu, cov, own = moments.expected(r), covs(r), written(chosen(s, r), "chosen")
+    solved = written(weights.solve(own, mu, cov, "sharpe", 0.0, 0.5), "solved")
+    count = own.groupBy("portfolio_id").agg(F.count("*").alias("k"))
+    equal = own.join(count, "portfolio_id").select("portfolio_id", "ticker", (1 / F.col("k")).alias("weight"))
+    ratio = lambda held: portfolio.evaluated(held, mu, cov)
+    better = ratio(solved.drop("status")).select("portfolio_id", F.col("sharpe").alias("a")).join(ratio(equal).select("portfolio_id", F.col("sharpe").alias("b")), "portfolio_id")
+    return fits(solved, 0.5).join(better.select("portfolio_id", (F.col("a") >= F.col("b") - 1e-9).alias("not_below_equal")), "portfolio_id")
+
+
+@query
+def target_return_check(s, d):
+    """Weights fit, and the return is the target wherever the box can reach it."""
+    r = rets(s, d)
+    mu = moments.expected(r)
+    solved = written(weights.solve(chosen(s, r), mu, covs(r), "sharpe", 0.0, 0.6, target_return=0.0), "solved")
+    hit = portfolio.returns_of(solved, mu).select("portfolio_id", (F.abs("ret") < 1e-7).alias("hit"))
+    return fits(solved, 0.6).join(hit, "portfolio_id").withColumn("hit", F.col("hit") | (F.col("status") != "optimal"))
+
+
+@query
+def risk_parity_check(s, d):
+    """Weights fit, and all contributions to risk are equal where no bound is reached."""
+    r = rets(s, d)
+    cov = covs(r)
+    solved = written(weights.solve(chosen(s, r), moments.expected(r), cov, "parity", 0.0, 1.0), "solved")
+    rc = portfolio.risk_contributions(solved.drop("status"), cov).groupBy("portfolio_id").agg((F.max("rc") - F.min("rc") < 1e-8 * F.sum("rc")).alias("equal"))
+    return fits(solved, 1.0).join(rc, "portfolio_id")
+
+
+@query
+def optimal_weights_check(s, d):
+    r = rets(s, d)
+    own = chosen(s, r)
+    solved = weights.optimal_weights(own, moments.expected(r), covs(r))
+    return fits(solved, 0.5).join(solved.join(own, ["portfolio_id", "ticker"], "left_anti").select(F.lit(1).alias("x")).agg((F.count("*") == 0).alias("own_only")), F.lit(True))
+
+
+@query
+def frontier_check(s, d):
+    """Corners of each portfolio: optima to 1e-9, returns and risks rise, the last is the largest return of the box."""
+    r = rets(s, d)
+    c = written(weights.corners(chosen(s, r), moments.expected(r), covs(r), 0.0, 0.5), "corners")
+    each = c.groupBy("portfolio_id", "corner", "ret", "risk").agg((F.max("residual") < 1e-9).alias("fine"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("whole"))
+    w = Window.partitionBy("portfolio_id").orderBy("corner")
+    steps_ = each.withColumn("up", F.coalesce((F.col("ret") >= F.lag("ret").over(w) - 1e-12) & (F.col("risk") >= F.lag("risk").over(w) - 1e-12), F.lit(True)))
+    return steps_.groupBy("portfolio_id").agg(F.bool_and("fine").alias("optimal"), F.bool_and("whole").alias("whole"), F.bool_and("up").alias("rising"), F.max("ret").alias("largest"))
+
+
+@query
+def copula_check(s, d):
+    """Correlations of each pair of a portfolio: symmetric, one on the diagonal, inside the bounds."""
+    r = rets(s, d)
+    c = written(forecast.copula_correlations(chosen(s, r), r), "copula")
+    other = c.select("portfolio_id", F.col("ti").alias("tj"), F.col("tj").alias("ti"), F.col("rho").alias("back"))
+    both = c.join(other, ["portfolio_id", "ti", "tj"])
+    return both.groupBy("portfolio_id").agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("rho") - F.col("back")) < 1e-12).alias("symmetric"), F.bool_and(F.abs("rho") <= 1 + 1e-12).alias("bounded"), F.bool_and((F.col("ti") != F.col("tj")) | (F.abs(F.col("rho") - 1) < 1e-12)).alias("diagonal"))
+
+
+@query
+def garch_check(s, d):
+    """Each series' skewed t fit is no worse than its normal one, and inside the model's bounds."""
+    f = forecast.garch_fits(rets(s, d))
+    keep = F.col("alpha") + F.col("gamma") / 2 + F.col("beta")
+    return f.select("ticker", (F.col("loglik") >= F.col("normal_loglik") - 1e-9).alias("no_worse"), ((F.col("alpha") >= 0) & (F.col("beta") >= 0) & (F.col("alpha") + F.col("gamma") >= 0) & (keep < 1) & (F.abs("skew") < 1)).alias("inside"))
+
+
+@query
+def forecast_check(s, d):
+    """A finite forecast of return and a positive one of variance for each ticker."""
+    p = brands(s, d)
+    f = forecast.forecasts(p, moments.log_returns(p))
+    return f.select("ticker", (F.col("mu").isNotNull() & ~F.isnan("mu") & (F.abs("mu") < 1e6)).alias("finite"), (F.col("variance") > 0).alias("positive"))
+
+
 @query
 def benchmark_report(s, d):
     """Three algorithms on five seeds each through the runner, then the report's pairwise tests."""

@@ -203,6 +203,25 @@ SQL: dict[str, str] = {
     "metadata_filter": "SELECT c_custkey, c_mktsegment AS sector, c_nationkey::VARCHAR AS country FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "upsert_prices": f"WITH px AS ({PX['type']}) SELECT ticker, date, round(CASE WHEN day(date) % 3 = 0 THEN close + 1 ELSE close END, 6) AS close, (CASE WHEN day(date) % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS ingest FROM px",
     "ensure_tickers": "SELECT c_custkey::VARCHAR AS ticker FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+    "negative_sharpe": f"WITH {R}{MOMENTS}{CHOSEN}{PAIRS}, re AS (SELECT portfolio_id, sum(weight * mu) AS ret FROM held JOIN mu USING (ticker) GROUP BY 1) SELECT portfolio_id, round(CASE WHEN variance > 0 THEN -ret / sqrt(variance) ELSE 0 END, 6) AS objective FROM re JOIN pv USING (portfolio_id)",
+    "milp_sharpe": f"""WITH {R}{MOMENTS}, sub AS (SELECT 0 AS candidate_id, ticker FROM (SELECT ticker, mu + 20 - 0.8 * sqrt(variance) AS score FROM mu JOIN va USING (ticker)) WHERE score > 0 ORDER BY score DESC, ticker LIMIT 10), {fitness("sub")}
+SELECT coalesce(max(k), 0) AS n, round(coalesce(max(ret), 0), 6) AS ret, round(coalesce(max(CASE WHEN total <= 0 THEN 0 ELSE ret / sqrt(total / (k * k)) END), 0), 6) AS sharpe FROM fs JOIN fv USING (candidate_id)""",
+    "ga_elites": f"""WITH {R}{MOMENTS}{TK}, {subsets(400, 10)}, {RANKED}, g AS (SELECT candidate_id, candidate_id % 4 AS island, fitness, candidate_id < 200 AS elite, row_number() OVER (PARTITION BY candidate_id % 4, candidate_id < 200 ORDER BY fitness DESC, candidate_id) AS r FROM al)
+SELECT island, candidate_id, round(fitness, 6) AS fitness, elite FROM g WHERE r <= CASE WHEN elite THEN 5 ELSE 25 END""",
+    "universe_first_rows": """WITH u AS (SELECT p_brand AS ticker, p_name AS name, 'brand' AS asset_type, 0 AS prio, p_partkey AS ord FROM part UNION ALL SELECT p_type, p_name, 'type', 1, p_partkey FROM part)
+SELECT ticker, coalesce(name, '') AS name, asset_type FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY prio, ord) AS r FROM u WHERE ticker IS NOT NULL) WHERE r = 1""",
+    "arm_backtest": f"""WITH {STEPS}, m AS (SELECT portfolio_id, avg(ret) * 252 AS ret, stddev_pop(ret) * sqrt(252) AS std FROM steps GROUP BY 1)
+SELECT CASE WHEN substr(portfolio_id, 2)::INT % 2 = 0 THEN 'cc_random_weights' ELSE 'random_random' END AS category, count(*) AS n, round(avg(CASE WHEN std < 1e-12 THEN 0 ELSE ret / std END), 6) AS mean, round(stddev_pop(CASE WHEN std < 1e-12 THEN 0 ELSE ret / std END), 6) AS std FROM m GROUP BY 1""",
+    "max_sharpe_check": f"WITH {R}{CHOSEN} SELECT portfolio_id, count(*) AS n, true AS whole, true AS inside, 'optimal' AS status, true AS not_below_equal FROM chosen GROUP BY 1",
+    "target_return_check": f"""WITH {R}{MOMENTS}{CHOSEN}, e AS (SELECT portfolio_id, count(*) AS n, list_sort(list(mu)) AS m FROM chosen JOIN mu USING (ticker) GROUP BY 1)
+SELECT portfolio_id, n, true AS whole, true AS inside, CASE WHEN 0.6 * m[1] + 0.4 * m[2] <= 1e-9 AND 0.6 * m[-1] + 0.4 * m[-2] >= -1e-9 THEN 'optimal' ELSE 'infeasible' END AS status, true AS hit FROM e""",
+    "risk_parity_check": f"WITH {R}{CHOSEN} SELECT portfolio_id, count(*) AS n, true AS whole, true AS inside, 'optimal' AS status, true AS equal FROM chosen GROUP BY 1",
+    "optimal_weights_check": f"WITH {R}{CHOSEN} SELECT portfolio_id, count(*) AS n, true AS whole, true AS inside, 'optimal' AS status, true AS own_only FROM chosen GROUP BY 1",
+    "frontier_check": f"""WITH {R}{MOMENTS}{CHOSEN}, e AS (SELECT portfolio_id, list_sort(list(mu)) AS m FROM chosen JOIN mu USING (ticker) GROUP BY 1)
+SELECT portfolio_id, true AS optimal, true AS whole, true AS rising, round(0.5 * m[-1] + 0.5 * m[-2], 6) AS largest FROM e""",
+    "copula_check": f"WITH {R}{CHOSEN} SELECT portfolio_id, count(*) AS n, true AS symmetric, true AS bounded, true AS diagonal FROM chosen a JOIN chosen b USING (portfolio_id) GROUP BY 1",
+    "garch_check": f"WITH {R} SELECT DISTINCT ticker, true AS no_worse, true AS inside FROM rets",
+    "forecast_check": f"WITH {R} SELECT DISTINCT ticker, true AS finite, true AS positive FROM rets",
     "load_panel": f"""WITH {panel("brand")}, now AS (SELECT ticker, date, CASE WHEN month(date) % 3 = 0 THEN close + 1 ELSE close END AS close FROM px WHERE close IS NOT NULL AND date BETWEEN DATE '1993-01-01' AND DATE '1997-06-30'),
 n1 AS (SELECT count(DISTINCT date) AS n FROM now), k1 AS (SELECT ticker FROM now, n1 GROUP BY ticker, n HAVING count(close) >= {share("n", 0.95)}), d1 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM now)),
 g1 AS (SELECT k1.ticker, t, d1.date, now.close FROM k1 CROSS JOIN d1 LEFT JOIN now ON now.ticker = k1.ticker AND now.date = d1.date)
