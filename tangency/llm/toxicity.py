@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), where: object
 
     seen = map_arrow(joined, run, "toxic int, at array<int>")
     # at most p.sample rows, each with the buckets of a text
-    s, n, k = Sample.of(seen.orderBy("toxic", "at").toArrow(), p.least_docs)
+    s, n, k = Sample.of(seen.toArrow(), p.least_docs)
     size, hits = len(s.edge) - 1, s.toxic
     y = (np.arange(size) < hits).astype(float)
     share = hits / max(size, 1)
