@@ -825,6 +825,36 @@ def arm_backtest(s, d):
     return backtest.arms(m.select(arm.alias("category"), F.col("sharpe").alias("value")))
 
 
+def kinds(s: SparkSession, d: str) -> DataFrame:
+    """Returns of the universe of over a thousand names."""
+    px = written(panels.kind_month(s, d), "kind-month")
+    return written(moments.log_returns(clean.backward_fill(clean.forward_fill(clean.grid(clean.covered(px, "tenth"), px)))), "returns")
+
+
+@query
+def wide_covariances(s, d):
+    """Tile by tile; of each name the sum and the largest of its covariances, and its own."""
+    c = moments.covariances_gram(kinds(s, d), block=256)
+    return c.groupBy(F.col("ti").alias("ticker")).agg(F.count("*").alias("n"), F.sum("cov").alias("total"), F.max("cov").alias("largest"), F.max(F.when(F.col("ti") == F.col("tj"), F.col("cov"))).alias("own"))
+
+
+@query
+def wide_monte_carlo(s, d):
+    """A million trials over the universe of over a thousand names."""
+    r = kinds(s, d)
+    x = search.Inputs.of(moments.expected(r), written(moments.covariances_gram(r), "covariances"))
+    value, names, _ = benchmark._monte_carlo(1_000_000)(s, x, search.Rules(8, 20, None), SEED, None)
+    return s.createDataFrame([(value, names)], "fitness double, holdings string")
+
+
+@query
+def wide_cardinality(s, d):
+    """Eight searches of 100 individuals and 6 generations over the universe of over a thousand names."""
+    r = kinds(s, d)
+    x = search.Inputs.of(moments.expected(r), written(moments.covariances_gram(r), "covariances"))
+    return search.cardinality_portfolios(s, x, search.Rules(3, 15, None), search.CARDINALITY, list(range(8)))
+
+
 # Solvers have no SQL; what their results must satisfy has.
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 PX = {
     "brand": "SELECT p_brand AS ticker, date_trunc('month', l_shipdate)::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "user": "SELECT user_id::VARCHAR AS ticker, ts::DATE AS date, avg(value) AS close FROM events GROUP BY 1, 2",
+    "kind": "SELECT p_brand || '/' || p_size AS ticker, date_trunc('month', l_shipdate)::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "type": "SELECT event_type AS ticker, ts::DATE AS date, avg(value) AS close FROM events GROUP BY 1, 2",
 }
 
@@ -222,6 +223,10 @@ SELECT portfolio_id, true AS optimal, true AS whole, true AS rising, round(0.5 *
     "copula_check": f"WITH {R}{CHOSEN} SELECT portfolio_id, count(*) AS n, true AS symmetric, true AS bounded, true AS diagonal FROM chosen a JOIN chosen b USING (portfolio_id) GROUP BY 1",
     "garch_check": f"WITH {R} SELECT DISTINCT ticker, true AS no_worse, true AS inside FROM rets",
     "forecast_check": f"WITH {R} SELECT DISTINCT ticker, true AS finite, true AS positive FROM rets",
+    "wide_covariances": f"""WITH {panel("kind", "floor(n / 10.0::DOUBLE)")}, bf AS (SELECT ticker, t, first_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM filled),
+lagged AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY t) AS prev FROM bf), rets AS (SELECT ticker, t, CASE WHEN close / prev > 0 AND prev <> 0 THEN ln(close / prev) ELSE 0 END AS ret FROM lagged),
+cov AS (SELECT a.ticker AS ti, b.ticker AS tj, covar_samp(a.ret, b.ret) * 252 AS cov FROM rets a JOIN rets b ON a.t = b.t GROUP BY 1, 2)
+SELECT ti AS ticker, count(*) AS n, round(sum(cov), 6) AS total, round(max(cov), 6) AS largest, round(max(cov) FILTER (ti = tj), 6) AS own FROM cov GROUP BY 1""",
     "load_panel": f"""WITH {panel("brand")}, now AS (SELECT ticker, date, CASE WHEN month(date) % 3 = 0 THEN close + 1 ELSE close END AS close FROM px WHERE close IS NOT NULL AND date BETWEEN DATE '1993-01-01' AND DATE '1997-06-30'),
 n1 AS (SELECT count(DISTINCT date) AS n FROM now), k1 AS (SELECT ticker FROM now, n1 GROUP BY ticker, n HAVING count(close) >= {share("n", 0.95)}), d1 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM now)),
 g1 AS (SELECT k1.ticker, t, d1.date, now.close FROM k1 CROSS JOIN d1 LEFT JOIN now ON now.ticker = k1.ticker AND now.date = d1.date)

@@ -26,6 +26,15 @@ def brand_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("ticker", "date").agg((F.sum("v") / F.sum("q")).alias("close"))
 
 
+def kind_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit price of each brand and size in each month of shipping: a universe of over a thousand."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_size").alias("ticker"))
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", F.trunc("l_shipdate", "month").alias("date"), "l_extendedprice", "l_quantity")
+    sums = line.groupBy("l_partkey", "date").agg(F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"))
+    joined = sums.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.groupBy("ticker", "date").agg((F.sum("price") / F.sum("quantity")).alias("close"))
+
+
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean event value of each user on each day: a panel with holes."""
     e = table(spark, sf_dir, "events")
