@@ -25,7 +25,7 @@ def project(v: np.ndarray, low: float, high: float) -> np.ndarray:
 
 def tilted(mu: np.ndarray, cov: np.ndarray, low: float, high: float, tilt: float, start: np.ndarray, steps: int = 1500) -> np.ndarray:
     """Minimises w'Cw - tilt w'mu over the box simplex by accelerated projected gradient: a point of the efficient frontier."""
-    size = 0.5 / max(float(np.linalg.norm(cov, 2)), 1e-300)
+    size = 0.5 / max(float(np.linalg.norm(cov, 2)), 1e-12)
     mu = mu - mu.mean()  # the same on the simplex, and no large common part in the steps
     w = project(start, low, high)
     y, t = w, 1.0
@@ -77,13 +77,13 @@ def ratio(w: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> float:
     return float(w @ mu) / np.sqrt(v) if v > 0 else 0.0
 
 
-def _on_corners(upper: Frontier, mu: np.ndarray, cov: np.ndarray, low: float, high: float, target_return: float | None, target_risk: float | None, min_return: float | None, hi: float, lo: float) -> tuple[np.ndarray, str]:
+def _on_corners(upper: Frontier, mu: np.ndarray, low: float, high: float, target_return: float | None, target_risk: float | None, min_return: float | None, hi: float, lo: float) -> tuple[np.ndarray, str]:
     least, top = upper.weights[0], upper.weights[-1]
 
     def at_return(r: float) -> np.ndarray:
         if r >= float(least @ mu):
             return upper.at_return(r)
-        lower = frontier(-mu, cov, low, high)
+        lower = frontier(-mu, upper.cov, low, high)
         if lower is None:
             raise np.linalg.LinAlgError("no lower frontier")
         return lower.at_return(-r)
@@ -108,7 +108,7 @@ def _on_corners(upper: Frontier, mu: np.ndarray, cov: np.ndarray, low: float, hi
 def max_sharpe(mu: np.ndarray, cov: np.ndarray, low: float = 0.0, high: float = 0.3333, target_return: float | None = None, target_risk: float | None = None, min_return: float | None = None) -> tuple[np.ndarray, str]:
     """(weights, status).  Target return and target risk are equalities and exclude each other; min_return is an inequality.
 
-    Points of the frontier's segments (``frontier``); where its corners cannot be walked (a covariance that is singular on free weights), by projected gradients.
+    Points of the frontier's segments (``frontier``), for a singular covariance of one with a billionth more variance; where corners cannot be walked, by projected gradients.
     """
     n = len(mu)
     if target_return is not None and target_risk is not None:
@@ -118,8 +118,13 @@ def max_sharpe(mu: np.ndarray, cov: np.ndarray, low: float = 0.0, high: float =
     top, bottom = extreme_return(mu, low, high), extreme_return(mu, low, high, False)
     hi, lo = float(top @ mu), float(bottom @ mu)
     upper = frontier(mu, cov, low, high)
+    if upper is None:  # a singular covariance: a little more variance of each name's own tells equal mixes apart
+        upper = frontier(mu, cov + np.eye(n) * (1e-9 * float(np.diag(cov).mean()) or 1e-6), low, high)
     if upper is not None:
-        return _on_corners(upper, mu, cov, low, high, target_return, target_risk, min_return, hi, lo)
+        try:
+            return _on_corners(upper, mu, low, high, target_return, target_risk, min_return, hi, lo)
+        except np.linalg.LinAlgError:  # the lower frontier cannot be walked
+            pass
     far = 1e4 * max(float(np.linalg.norm(cov, 2)), 1e-12) / max(float(np.ptp(mu)), 1e-12)
     gain = lambda w: float(w @ mu)
     risk = lambda w: float(np.sqrt(max(w @ cov @ w, 0.0)))
