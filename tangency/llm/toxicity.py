@@ -137,19 +137,24 @@ class Sample:
     def of(found: pa.Table, least_docs: int) -> tuple[Sample, np.ndarray, np.ndarray]:
         """The sample with buckets of so many rows at least, and the rows and toxic rows of each."""
         labels = found.column("toxic").to_numpy()
-        order = np.argsort(-labels, kind="stable")
-        lists = found.column("at").combine_chunks().take(pa.array(order))
-        lists = lists if isinstance(lists, pa.ListArray) else lists.combine_chunks()
-        sizes, at = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        lists = found.column("at").combine_chunks()
+        del found  # tens of MB each, and the driver is small
+        lists = lists.take(pa.array(np.argsort(-labels, kind="stable")))
+        offsets, at = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         toxic = int(labels.sum())
         n = np.bincount(at, minlength=1 << BITS)
+        k = np.bincount(at[: int(offsets[toxic] - offsets[0])], minlength=1 << BITS)
         buckets = np.flatnonzero(n >= least_docs)
         place = np.full(1 << BITS, -1, np.int32)
         place[buckets] = np.arange(len(buckets), dtype=np.int32)
-        k = np.bincount(at[: int(sizes[:toxic].sum())], minlength=1 << BITS)
         own = place[at]
-        row = np.repeat(np.arange(len(sizes)), sizes)[own >= 0]
-        return Sample(buckets, own[own >= 0], np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes)))), toxic), n[buckets], k[buckets]
+        del lists, at
+        kept = own >= 0
+        before = np.zeros(len(own) + 1, np.int32)
+        np.cumsum(kept, out=before[1:])
+        edge = before[offsets - offsets[0]].astype(np.int64)
+        del before
+        return Sample(buckets, own[kept], edge, toxic), n[buckets], k[buckets]
 
     def only(self, kept: np.ndarray) -> list[np.ndarray]:
         """Rows with places in ``kept`` (ascending places) only."""
@@ -239,6 +244,7 @@ def _paired(spark: SparkSession, s: Sample, n: np.ndarray, k: np.ndarray, hits:
                 yield pa.RecordBatch.from_arrays([pa.array(telling_in_pairs(*shared.value, hits, p, part, parts))], names=["at"])
 
     found = map_arrow(spark.range(0, parts, 1, parts), run, "at long").distinct().toArrow()  # places of buckets
+    shared.destroy()
     return np.sort(found.column(0).to_numpy())
 
 
