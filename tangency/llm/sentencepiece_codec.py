@@ -26,7 +26,6 @@ import struct
 from array import array
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -110,10 +109,10 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 600_000) -> None:
         self.v, self.limit = vocabulary, limit
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids of 32 bits
         self.held = 0
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.ids_of: dict[str, tuple[int, ...]] = {}
+        self.ids_of: dict[str, bytes] = {}
         self.stand_in = MARK
         self.usable = self.tails = None
         if vocabulary.bpe:
@@ -204,7 +203,7 @@ class Encoder:
         k = self.v.ids.get(piece)
         return (k,) if k is not None else tuple(self.v.bytes[b] for b in piece.replace(self.stand_in, MARK).encode("utf-8", "surrogatepass"))
 
-    def _ids(self, last: list[str], starts: array, end: int) -> tuple[int, ...]:
+    def _ids(self, last: list[str], starts: array, end: int) -> bytes:
         """Ids of the prefix of length ``end``, read back from its state."""
         back = []
         while end:
@@ -212,14 +211,14 @@ class Encoder:
             end = starts[end]
         return self._of(reversed(back))
 
-    def _of(self, pieces: Iterable[str]) -> tuple[int, ...]:
-        out: list[int] = []
+    def _of(self, pieces: Iterable[str]) -> bytes:
+        out: list[bytes] = []
         for p in pieces:
             own = self.ids_of.get(p)
             if own is None:
-                own = self.ids_of[p] = self.piece_ids(p)
-            out += own
-        return tuple(out)
+                own = self.ids_of[p] = array("i", self.piece_ids(p)).tobytes()
+            out.append(own)
+        return b"".join(out)
 
     def learn(self, distinct: Iterable[str]) -> None:
         """Encodes words in sorted order, a depth-first walk of their trie: states of the common prefix stay on the stack."""
@@ -244,23 +243,32 @@ class Encoder:
             words[word] = self._ids(last, starts, len(word))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [marked_words(t) if MARK not in t else None for t in texts]
-        fresh = {w for ws in cut if ws for w in ws}
+        return [memoryview(x).cast("i").tolist() for x in self.coded(texts)]
+
+    def coded(self, texts: list[str]) -> Iterable[bytes]:
+        """The ids of each text, 32 bits each.  Texts are cut into words twice, so that only different words are held together."""
+        fresh: set[str] = set()
+        for t in texts:
+            if MARK not in t:
+                fresh.update(marked_words(t))
         if len(self.words) > self.limit or self.held > HELD_CHARS:
             self.words.clear()
             self.held = 0
         known = self.words
-        self.learn(fresh.difference(known))
-        return [self._with_marks(t) if ws is None else list(chain.from_iterable(map(known.__getitem__, ws))) for t, ws in zip(texts, cut, strict=True)]
+        fresh.difference_update(known)
+        self.learn(fresh)
+        del fresh
+        for t in texts:
+            yield self._with_marks(t) if MARK in t else b"".join(map(known.__getitem__, marked_words(t)))
 
-    def _with_marks(self, text: str) -> list[int]:
+    def _with_marks(self, text: str) -> bytes:
         """A text that has U+2581 itself: a character that it does not have stands for it, outside every vocabulary piece."""
         own = copy.copy(self)
         own.words, own.ids_of, own.pairs = {}, {}, {}
         own.stand_in = next(c for c in map(chr, range(0x10FFFF, 0xE000, -1)) if c not in text and c not in self.v.ids)
         words = marked_words(text, own.stand_in)
         own.learn(set(words))
-        return [i for w in words for i in own.words[w]]
+        return b"".join(map(own.words.__getitem__, words))
 
 
 def marked_words(text: str, stand_in: str = MARK) -> list[str]:
@@ -285,15 +293,15 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         encoder = Encoder(shared.value)
-        gc.disable()  # hundreds of thousands of tuples live long and have no cycles
+        gc.disable()  # hundreds of thousands of words live long and have no cycles
         try:
             for part in slices(batches, 2000):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = encoder.encode(texts)
-                sizes = np.array([len(x) for x in ids], np.int64)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                ids = list(encoder.coded(texts))
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
-                yield rows(out, part.column(0), lists, sizes, [decode(encoder.v, x) == t for x, t in zip(ids, texts, strict=True)])
+                yield rows(out, part.column(0), lists, sizes, [decode(encoder.v, memoryview(x).cast("i")) == t for x, t in zip(ids, texts, strict=True)])
         finally:
             gc.enable()
 
